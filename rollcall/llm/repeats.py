@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm import codes as C
-from rollcall.llm.common import bits_of, binaries, documents, i64, may_hold, rebatched
+from rollcall.llm.common import binaries, bits_of, documents, i64, may_hold, rebatched
 from rollcall.storage import materialize
 
 
@@ -105,6 +105,8 @@ def _anchors(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 
 def _blocks(plan: Plan, bits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Where the blocks are whose anchor the filter may hold."""
+
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(batches):
             for r in runs(batch.column(1), plan):
@@ -112,24 +114,40 @@ def _blocks(plan: Plan, bits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                 if not len(hit):
                     continue
                 first, count = r.first[hit], r.count[hit]
-                end = first + count + plan.window - 1
-                body = C.spans(C.prefix(r.symbols), first, end)
-                if plan.unit == "word":
-                    each = C.windows(r.symbols, plan.window)
-                    payload = binaries(each.view(np.uint8), first * 8, (first + count) * 8)
-                else:
-                    payload = binaries(r.raw, first, end)
+                body = C.spans(C.prefix(r.symbols), first, first + count + plan.window - 1)
                 doc = pa.array(r.doc[hit])
                 yield pa.RecordBatch.from_arrays(
-                    [i64(r.key[hit]), i64(r.at[hit] - first), i64(count), i64(body), batch.column(0).take(doc), batch.column(2).take(doc), i64(first + r.base[hit]), payload],
-                    names=["a", "d", "n", "body", "doc_id", "text_key", "start", "payload"],
+                    [i64(r.key[hit]), i64(r.at[hit] - first), i64(count), i64(body), batch.column(0).take(doc), batch.column(2).take(doc), i64(first + r.base[hit])],
+                    names=[*BLOCK, "doc_id", "text_key", "start"],
                 )
 
     return f
 
 
+def _payloads(plan: Plan, bits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What is in the blocks that the filter may hold, once for each batch: the bytes, or the hash of every word window."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rebatched(batches):
+            for r in runs(batch.column(0), plan):
+                end = r.first + r.count + plan.window - 1
+                body = C.spans(C.prefix(r.symbols), r.first, end)
+                hit = np.flatnonzero(may_hold(bits.value, r.key ^ body))
+                hit = hit[np.unique(r.key[hit] ^ body[hit], return_index=True)[1]]
+                if not len(hit):
+                    continue
+                first, count = r.first[hit], r.count[hit]
+                if plan.unit == "word":
+                    payload = binaries(C.windows(r.symbols, plan.window).view(np.uint8), first * 8, (first + count) * 8)
+                else:
+                    payload = binaries(r.raw, first, end[hit])
+                yield pa.RecordBatch.from_arrays([i64(r.key[hit]), i64(r.at[hit] - first), i64(count), i64(body[hit]), payload], names=[*BLOCK, "payload"])
+
+    return f
+
+
 BLOCK = ["a", "d", "n", "body"]
-SCHEMA = "a long, d long, n long, body long, doc_id long, text_key long, start long, payload binary"
+BLOCK_SCHEMA = "a long, d long, n long, body long"
 
 
 def occurrences(docs: DataFrame, plan: Plan, repeated: str) -> DataFrame:
@@ -139,13 +157,16 @@ def occurrences(docs: DataFrame, plan: Plan, repeated: str) -> DataFrame:
     anchors = few.select("doc_id", "text").mapInArrow(_anchors(plan), "a long, low long, high long, c long")
     again = anchors.groupBy("a").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("c").alias("c")).where(repeated)
     bits = spark.sparkContext.broadcast(bits_of(again.select("a"), "a", plan.filter_bits))
-    return materialize(few.mapInArrow(_blocks(plan, bits), SCHEMA), "blocks")
+    return materialize(few.mapInArrow(_blocks(plan, bits), f"{BLOCK_SCHEMA}, doc_id long, text_key long, start long"), "blocks")
 
 
-def variants(blocks: DataFrame) -> DataFrame:
-    """Blocks whose anchor has other blocks too; only their windows may repeat beyond the block's own copies."""
+def variants(docs: DataFrame, plan: Plan, blocks: DataFrame) -> DataFrame:
+    """Blocks whose anchor has other blocks too, with their payload; only their windows may repeat beyond the block's own copies."""
     several = blocks.groupBy("a").agg(F.count("*").alias("of_anchor")).where("of_anchor > 1")
-    return blocks.join(several, "a")
+    several = materialize(blocks.join(several, "a"), "variants")
+    bits = docs.sparkSession.sparkContext.broadcast(bits_of(several.select(F.col("a").bitwiseXOR(F.col("body")).alias("k")), "k", plan.filter_bits))
+    payload = documents(docs).select("text").mapInArrow(_payloads(plan, bits), f"{BLOCK_SCHEMA}, payload binary")
+    return several.join(payload.groupBy(*BLOCK).agg(F.first("payload").alias("payload")), BLOCK)
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -157,21 +178,50 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[new, 0], reach[last]], axis=1)
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """documents() with an array `spans` of (start, end), null where a document has none. spans: doc_id, text_key, s, e."""
+def _span_list(row: pa.Scalar) -> np.ndarray | None:
+    if not row.is_valid or not len(row):
+        return None
+    v = row.values
+    return merged(np.stack([np.asarray(v.field("s")), np.asarray(v.field("e"))], axis=1))
+
+
+REMOVED = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+
+
+def finish(docs: DataFrame, spans: DataFrame, digest: Callable[[str | None, list[list[int]]], tuple], kinds: list[tuple[str, pa.DataType, str]], filter_bits: int = 23) -> DataFrame:
+    """doc_id and the digest of every text and its merged intervals. spans: doc_id, text_key, s, e.
+
+    Texts that a filter of fixed size rules out are settled where they are read; only the others are shuffled to meet
+    their intervals. kinds: name, Arrow type and Spark type of the digest's columns.
+    """
     few = documents(docs)
-    each = spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    each = each.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "spans")
-    return few.join(each, few.doc_id.eqNullSafe(each["_d"]) & (few.text_key == each["_k"]), "left").select("doc_id", "text", "spans")
+    each = materialize(spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+    bits = docs.sparkSession.sparkContext.broadcast(bits_of(each.select("text_key"), "text_key", filter_bits))
+    names, types = [k[0] for k in kinds], [k[1] for k in kinds]
 
+    def columns(rows: list[tuple | None]) -> list[pa.Array]:
+        return [pa.array([None if r is None else r[i] for r in rows], t) for i, t in enumerate(types)]
 
-def span_arrays(column: pa.Array) -> list[np.ndarray | None]:
-    """Per row the merged intervals of a column made by with_spans()."""
-    out = []
-    for row in column:
-        if row.is_valid and len(row):
-            v = row.values
-            out.append(merged(np.stack([np.asarray(v.field("s")), np.asarray(v.field("e"))], axis=1)))
-        else:
-            out.append(None)
-    return out
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rebatched(batches):
+            hit = may_hold(bits.value, np.asarray(batch.column(2)).view(np.uint64)).tolist()
+            texts = batch.column(1).to_pylist()
+            rows = [None if h else digest(t, []) for t, h in zip(texts, hit, strict=True)]
+            left = pa.array([t if h else None for t, h in zip(texts, hit, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), left, batch.column(2), pa.array(hit, pa.bool_()), *columns(rows)], names=["doc_id", "text", "text_key", "open", *names])
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rebatched(batches):
+            rows = []
+            for text, span in zip(batch.column(1), batch.column(2), strict=True):
+                span = _span_list(span)
+                rows.append(digest(text.as_py(), [] if span is None else span.tolist()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns(rows)], names=["doc_id", *names])
+
+    schema = ", ".join(f"{n} {s}" for n, _, s in kinds)
+    part = few.mapInArrow(settle, f"doc_id long, text string, text_key long, open boolean, {schema}")
+    part = materialize(part, "settled")
+    each = each.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "spans")
+    todo = part.where("open").select("doc_id", "text", "text_key")
+    todo = todo.join(each, todo.doc_id.eqNullSafe(each["_d"]) & (todo.text_key == each["_k"]), "left").select("doc_id", "text", "spans")
+    return part.where("not open").select("doc_id", *names).unionByName(todo.mapInArrow(close, f"doc_id long, {schema}"))

@@ -3,56 +3,42 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import rebatched
-from rollcall.llm.repeats import BLOCK, Plan, occurrences, span_arrays, variants, with_spans
+from rollcall.llm.repeats import BLOCK, REMOVED, Plan, finish, occurrences, variants
 
 WINDOW = 50
-SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<s: long, e: long>>"
+KINDS = [("n_words", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("kept_sha256", pa.string(), "string"), ("removed", REMOVED, "array<struct<s: long, e: long>>")]
 
 
-def _apply(keep_text: bool):
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rebatched(batches):
-            rows = []
-            for text, spans in zip(batch.column(1), span_arrays(batch.column(2)), strict=True):
-                words = (text.as_py() or "").encode().split()
-                n = len(words)
-                if spans is not None:
-                    kept, at = [], 0
-                    for s, e in spans.tolist():
-                        kept += words[at:s]
-                        at = e
-                    words = kept + words[at:]
-                body = b" ".join(words)
-                rows.append((n, n - len(words), hashlib.sha256(body).hexdigest(), [] if spans is None else [{"s": s, "e": e} for s, e in spans.tolist()], body.decode() if keep_text else None))
-            cols = list(zip(*rows, strict=True))
-            arrays = [batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256", "removed"]
-            if keep_text:
-                arrays.append(pa.array(cols[4], pa.string()))
-                names.append("kept")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+def digest(keep_text: bool):
+    def f(text: str | None, spans: list[list[int]]) -> tuple:
+        words = (text or "").encode().split()
+        n, kept, at = len(words), [], 0
+        for s, e in spans:
+            kept += words[at:s]
+            at = e
+        kept = kept + words[at:] if spans else words
+        body = b" ".join(kept)
+        out = (n, n - len(kept), hashlib.sha256(body).hexdigest(), [{"s": s, "e": e} for s, e in spans])
+        return (*out, body.decode()) if keep_text else out
 
     return f
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = 8) -> DataFrame:
     """(doc_id, text_key, s, e): stretches of words that windows starting in a document of smaller doc_id cover."""
-    occ = occurrences(docs, Plan("word", window, min(gram, window)), "low < high")
-    blocks = occ.groupBy(*BLOCK).agg(F.min("doc_id").alias("owner"), F.first("payload").alias("payload"))
+    plan = Plan("word", window, min(gram, window))
+    occ = occurrences(docs, plan, "low < high")
+    blocks = occ.groupBy(*BLOCK).agg(F.min("doc_id").alias("owner"))
     # windows of blocks that differ from another block of their anchor, one row each, counted by their hash
-    each = variants(blocks).select(*BLOCK, "owner", F.posexplode(F.expr("transform(sequence(0, int(n) - 1), i -> substring(payload, 8 * i + 1, 8))")).alias("j", "h"))
+    each = variants(docs, plan, blocks).select(*BLOCK, "owner", F.posexplode(F.expr("transform(sequence(0, int(n) - 1), i -> substring(payload, 8 * i + 1, 8))")).alias("j", "h"))
     first = each.groupBy("h").agg(F.min("owner").alias("first"))
     earlier = each.join(first, "h").where("first < owner").groupBy(*BLOCK).agg(F.collect_list("j").alias("earlier"))
     known = blocks.select(*BLOCK, "owner").join(earlier, BLOCK, "left")
-    seen = occ.drop("payload").join(known, BLOCK).where("doc_id > owner or earlier is not null")
+    seen = occ.join(known, BLOCK).where("doc_id > owner or earlier is not null")
     whole = seen.where("doc_id > owner").select("doc_id", "text_key", F.col("start").alias("s"), (F.col("start") + F.col("n") + window - 1).alias("e"))
     part = seen.where("doc_id = owner").select("doc_id", "text_key", "start", F.explode("earlier").alias("j"))
     part = part.select("doc_id", "text_key", (F.col("start") + F.col("j")).alias("s"), (F.col("start") + F.col("j") + window).alias("e"))
@@ -68,5 +54,5 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = 8, keep_t
     they never remove from each other. Texts shorter than the window are left alone. An empty table gives no rows.
     """
     assert 0 < gram <= window
-    out = with_spans(docs, repeated_spans(docs, window, gram))
-    return out.mapInArrow(_apply(keep_text), SCHEMA + (", kept string" if keep_text else ""))
+    kinds = [*KINDS, ("kept", pa.string(), "string")] if keep_text else KINDS
+    return finish(docs, repeated_spans(docs, window, gram), digest(keep_text), kinds)
