@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollcall.llm import toxicity
+from rollcall.llm.jaccard import jaccard_components
+from rollcall.llm.packing import pack_documents
 from rollcall.llm.substring import substring_dedup
+from rollcall.llm.suffix import suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +22,24 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = toxicity.score_toxicity(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    return out.select("doc_id", F.coalesce(toxicity.fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP2_SQL = rf"""
@@ -35,9 +57,37 @@ FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
 
+OP6_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 3], ' ')) AS h
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1)) AS i FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT e.x, r.c FROM r JOIN e ON e.y = r.doc_id WHERE r.c < e.x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, min(r.c)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id, n.n
+"""
+
+OP8_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+win AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 400)) AS h FROM (SELECT doc_id, x, unnest(range(0, n - 199)) AS i FROM d)),
+twice AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT win.doc_id, win.i, lag(win.i) OVER (PARTITION BY win.doc_id ORDER BY win.i) AS before FROM win JOIN twice USING (h)),
+num AS (SELECT doc_id, i, count(*) FILTER (before IS NULL OR i > before + 200) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM hit),
+span AS (SELECT doc_id, k, min(i) AS s, max(i) + 200 AS e FROM num GROUP BY doc_id, k),
+gap AS (SELECT doc_id, e AS s, lead(s) OVER (PARTITION BY doc_id ORDER BY s) AS e FROM span
+        UNION ALL SELECT doc_id, 0, min(s) FROM span GROUP BY doc_id),
+kept AS (SELECT gap.doc_id, string_agg(substr(x, 2 * gap.s + 1, 2 * (coalesce(gap.e, n) - gap.s)), '' ORDER BY gap.s) AS x FROM gap JOIN d USING (doc_id) GROUP BY gap.doc_id),
+sums AS (SELECT doc_id, sum(e - s)::BIGINT AS gone, count(*) AS spans FROM span GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.x, d.x))) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op6_ngram_jaccard": OP6_SQL, "op8_suffix_dedup": OP8_SQL}
