@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.llm import toxicity
+from rollcall.llm.fingerprint import compare_edited
 from rollcall.llm.jaccard import jaccard_components
 from rollcall.llm.packing import pack_documents
 from rollcall.llm.substring import substring_dedup
 from rollcall.llm.suffix import suffix_dedup
+from rollcall.llm.warc import archive_round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +32,14 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(_table(spark, sf_dir, "pages")).drop("url")
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_edited(_table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -69,6 +79,16 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, min(r.c
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id, n.n
 """
 
+OP7_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(encode(coalesce(html, ''))) AS h FROM pages),
+bits AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, h,
+         list_aggregate([lpad(bin(('0x' || substr(h, 10 * i + 1, 10))::BIGINT), 40, '0') for i in range(4)], 'string_agg', '') AS x FROM p),
+r AS (SELECT page_id, payload_bytes, h, min(page_id) OVER (PARTITION BY h) AS first,
+      list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (list_sum([(substr(x, 5 * j + k, 1)::INT * (2 ** (5 - k))::INT) for k in range(1, 6)]) + 1)::INT, 1) for j in range(32)], 'string_agg', '') AS payload_digest FROM bits)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to FROM r
+"""
+
 OP8_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
 win AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 400)) AS h FROM (SELECT doc_id, x, unnest(range(0, n - 199)) AS i FROM d)),
@@ -90,4 +110,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op6_ngram_jaccard": OP6_SQL, "op8_suffix_dedup": OP8_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op6_ngram_jaccard": OP6_SQL, "op7_warc": OP7_SQL, "op8_suffix_dedup": OP8_SQL}
