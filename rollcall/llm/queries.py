@@ -11,8 +11,10 @@ from rollcall.llm import toxicity
 from rollcall.llm.fingerprint import compare_edited
 from rollcall.llm.jaccard import jaccard_components
 from rollcall.llm.packing import pack_documents
+from rollcall.llm.search import build_index, search
 from rollcall.llm.substring import substring_dedup
 from rollcall.llm.suffix import suffix_dedup
+from rollcall.llm.token_counts import document_token_counts
 from rollcall.llm.warc import archive_round_trip
 
 
@@ -20,6 +22,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark passage whose id is divisible by 20, over all documents."""
+    passages = _table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text")
+    return search(build_index(_table(spark, sf_dir, "documents")), passages, 10)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_token_counts(_table(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -50,8 +62,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(toxicity.fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+OP1_SQL = rf"""
+WITH d AS (SELECT doc_id, {WORDS.replace("coalesce(text, '')", LOWERED)} AS w FROM documents),
+q AS (SELECT item_id AS query_id, {WORDS.replace("coalesce(text, '')", LOWERED)} AS w FROM benchmark WHERE item_id % 20 = 0),
+s AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS mean FROM d),
+t AS (SELECT doc_id, len(w) AS size, unnest(w) AS term FROM d),
+tf AS (SELECT doc_id, size, term, count(*) AS tf FROM t GROUP BY ALL),
+df AS (SELECT term, count(*)::DOUBLE AS df FROM tf GROUP BY term),
+qt AS (SELECT query_id, term, count(*) AS c FROM (SELECT query_id, unnest(w) AS term FROM q) GROUP BY ALL),
+r AS (SELECT query_id, doc_id, round(sum(c * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score
+      FROM qt JOIN tf USING (term) JOIN df USING (term), s GROUP BY query_id, doc_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM r
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10
+"""
+
 OP2_SQL = rf"""
 WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
 win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
@@ -110,4 +137,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op6_ngram_jaccard": OP6_SQL, "op7_warc": OP7_SQL, "op8_suffix_dedup": OP8_SQL}
+    return {"op1_top_k_search": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op6_ngram_jaccard": OP6_SQL, "op7_warc": OP7_SQL, "op8_suffix_dedup": OP8_SQL}
