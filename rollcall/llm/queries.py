@@ -11,6 +11,7 @@ from rollcall.llm import toxicity
 from rollcall.llm.fingerprint import compare_edited
 from rollcall.llm.jaccard import jaccard_components
 from rollcall.llm.packing import pack_documents
+from rollcall.llm.pieces import encode_documents
 from rollcall.llm.search import build_index, search
 from rollcall.llm.substring import substring_dedup
 from rollcall.llm.suffix import suffix_dedup
@@ -32,6 +33,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, with the scores of its three best segmentations and whether decoding gives it back."""
+    out = encode_documents(_table(spark, sf_dir, "documents"), 3)
+    return out.select("doc_id", "n_pieces", "ids_crc32", *(F.get("scores", F.lit(i)).alias(f"score_{i + 1}") for i in range(3)), "decoded")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
