@@ -7,9 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _modules() -> list:
+    from rollcall.plans import relational
+
+    return [relational]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: f for m in _modules() for k, f in vars(m).items() if k[:1] == "q" and k[1:2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """A query named q12_name has its SQL in Q12 of its module."""
+    out = {}
+    for m in _modules():
+        for k in vars(m):
+            if k[:1] == "q" and k[1:2].isdigit() and hasattr(m, sql := k.split("_")[0].upper()):
+                out[k] = getattr(m, sql)
+    return out
