@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm.repeats import BLOCK, REMOVED, Plan, finish, occurrences, variants
+from rollcall.storage import materialize
 
 WINDOW = 50
 KINDS = [("n_words", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("kept_sha256", pa.string(), "string"), ("removed", REMOVED, "array<struct<s: long, e: long>>")]
@@ -37,12 +38,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = 8) -> Data
     each = variants(docs, plan, blocks).select(*BLOCK, "owner", F.posexplode(F.expr("transform(sequence(0, int(n) - 1), i -> substring(payload, 8 * i + 1, 8))")).alias("j", "h"))
     first = each.groupBy("h").agg(F.min("owner").alias("first"))
     earlier = each.join(first, "h").where("first < owner").groupBy(*BLOCK).agg(F.collect_list("j").alias("earlier"))
-    known = blocks.select(*BLOCK, "owner").join(earlier, BLOCK, "left")
-    seen = occ.join(known, BLOCK).where("doc_id > owner or earlier is not null")
-    whole = seen.where("doc_id > owner").select("doc_id", "text_key", F.col("start").alias("s"), (F.col("start") + F.col("n") + window - 1).alias("e"))
-    part = seen.where("doc_id = owner").select("doc_id", "text_key", "start", F.explode("earlier").alias("j"))
-    part = part.select("doc_id", "text_key", (F.col("start") + F.col("j")).alias("s"), (F.col("start") + F.col("j") + window).alias("e"))
-    return whole.unionByName(part)
+    # one row per distinct block; written, so that a block with very many occurrences can be split in the join below
+    known = materialize(blocks.select(*BLOCK, "owner").join(earlier, BLOCK, "left"), "owners")
+    whole = F.array(F.struct(F.col("start").alias("s"), (F.col("start") + F.col("n") + window - 1).alias("e")))
+    part = F.transform("earlier", lambda j: F.struct((F.col("start") + j).alias("s"), (F.col("start") + j + window).alias("e")))
+    seen = occ.join(known, BLOCK).select("doc_id", "text_key", F.explode(F.when(F.col("doc_id") > F.col("owner"), whole).when(F.col("doc_id") == F.col("owner"), part)).alias("x"))
+    return seen.select("doc_id", "text_key", "x.s", "x.e")
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = 8, keep_text: bool = False) -> DataFrame:
