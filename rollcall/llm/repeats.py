@@ -9,7 +9,7 @@ differ from another block of their anchor need their windows compared one by one
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -188,16 +188,17 @@ def _span_list(row: pa.Scalar) -> np.ndarray | None:
 REMOVED = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
 
 
-def finish(docs: DataFrame, spans: DataFrame, digest: Callable[[str | None, list[list[int]]], tuple], kinds: list[tuple[str, pa.DataType, str]], filter_bits: int = 23) -> DataFrame:
-    """doc_id and the digest of every text and its merged intervals. spans: doc_id, text_key, s, e.
+def finish(docs: DataFrame, spans: DataFrame, digest: Callable[[str | None, list[list[int]]], tuple], kinds: list[tuple[str, pa.DataType, str]], filter_bits: int = 23, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, the columns of docs named in carry, and the digest of every text and its merged intervals.
 
-    Texts that a filter of fixed size rules out are settled where they are read; only the others are shuffled to meet
-    their intervals. kinds: name, Arrow type and Spark type of the digest's columns.
+    spans: doc_id, text_key, s, e. Texts that a filter of fixed size rules out are settled where they are read; only the
+    others are shuffled to meet their intervals. kinds: name, Arrow type and Spark type of the digest's columns, which
+    are kept apart from carried columns of the same name until the end.
     """
-    few = documents(docs)
+    few = documents(docs, F.struct(F.lit(True).alias("row"), *(F.col(f"`{c}`") for c in carry)).alias("carried"))
     each = materialize(spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
     bits = docs.sparkSession.sparkContext.broadcast(bits_of(each.select("text_key"), "text_key", filter_bits))
-    names, types = [k[0] for k in kinds], [k[1] for k in kinds]
+    names, types = [f"out_{k[0]}" for k in kinds], [k[1] for k in kinds]
 
     def columns(rows: list[tuple | None]) -> list[pa.Array]:
         return [pa.array([None if r is None else r[i] for r in rows], t) for i, t in enumerate(types)]
@@ -208,7 +209,7 @@ def finish(docs: DataFrame, spans: DataFrame, digest: Callable[[str | None, list
             texts = batch.column(1).to_pylist()
             rows = [None if h else digest(t, []) for t, h in zip(texts, hit, strict=True)]
             left = pa.array([t if h else None for t, h in zip(texts, hit, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), left, batch.column(2), pa.array(hit, pa.bool_()), *columns(rows)], names=["doc_id", "text", "text_key", "open", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), left, batch.column(2), batch.column(3), pa.array(hit, pa.bool_()), *columns(rows)], names=["doc_id", "text", "text_key", "carried", "open", *names])
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(batches):
@@ -216,12 +217,13 @@ def finish(docs: DataFrame, spans: DataFrame, digest: Callable[[str | None, list
             for text, span in zip(batch.column(1), batch.column(2), strict=True):
                 span = _span_list(span)
                 rows.append(digest(text.as_py(), [] if span is None else span.tolist()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns(rows)], names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), *columns(rows)], names=["doc_id", "carried", *names])
 
-    schema = ", ".join(f"{n} {s}" for n, _, s in kinds)
-    part = few.mapInArrow(settle, f"doc_id long, text string, text_key long, open boolean, {schema}")
-    part = materialize(part, "settled")
+    schema = ", ".join(f"{n} {k[2]}" for n, k in zip(names, kinds, strict=True))
+    carried = f"carried {few.schema['carried'].dataType.simpleString()}"
+    part = materialize(few.mapInArrow(settle, f"doc_id long, text string, text_key long, {carried}, open boolean, {schema}"), "settled")
     each = each.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "spans")
-    todo = part.where("open").select("doc_id", "text", "text_key")
-    todo = todo.join(each, todo.doc_id.eqNullSafe(each["_d"]) & (todo.text_key == each["_k"]), "left").select("doc_id", "text", "spans")
-    return part.where("not open").select("doc_id", *names).unionByName(todo.mapInArrow(close, f"doc_id long, {schema}"))
+    todo = part.where("open").select("doc_id", "text", "text_key", "carried")
+    todo = todo.join(each, todo.doc_id.eqNullSafe(each["_d"]) & (todo.text_key == each["_k"]), "left").select("doc_id", "text", "spans", "carried")
+    out = part.where("not open").select("doc_id", "carried", *names).unionByName(todo.mapInArrow(close, f"doc_id long, {carried}, {schema}"))
+    return out.select("doc_id", *(F.col(f"carried.`{c}`").alias(c) for c in carry), *(F.col(n).alias(k[0]) for n, k in zip(names, kinds, strict=True)))

@@ -193,7 +193,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = 32, hot: i
     twice = each.groupBy("h").agg(F.sum("copies").alias("times")).where("times > 1").select("h")
     found = found.unionByName(each.where("copies = 1").join(twice, "h").select(*BLOCK, F.col("j").cast("long").alias("j"), F.lit(1).cast("long").alias("m")))
     whole = blocks.where("copies > 1").select(*BLOCK, F.lit(0).cast("long").alias("j"), F.col("n").alias("m"))
-    parts = whole.unionByName(found).groupBy(*BLOCK).agg(F.collect_list(F.struct("j", "m")).alias("parts"))
+    # one row per distinct block; written, so that a block with very many occurrences can be split in the join below
+    parts = materialize(whole.unionByName(found).groupBy(*BLOCK).agg(F.collect_list(F.struct("j", "m")).alias("parts")), "parts")
     return occ.join(parts, BLOCK).select("doc_id", "text_key", "start", F.explode("parts").alias("p")).select("doc_id", "text_key", (F.col("start") + F.col("p.j")).alias("s"), (F.col("start") + F.col("p.j") + F.col("p.m") + window - 1).alias("e"))
 
 
@@ -222,3 +223,15 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = 32, keep_tex
     assert 0 < gram <= window
     kinds = [*KINDS, ("kept", pa.string(), "string")] if keep_text else KINDS
     return finish(docs, repeated_spans(docs, window, gram, hot), digest(keep_text), kinds)
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = 32, hot: int = HOT) -> DataFrame:
+    """docs with the same columns: text without its repeated bytes, and n_chars, if there is one, counted anew.
+
+    Rows that lose everything stay with empty text; null texts stay null.
+    """
+    carry = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = finish(docs, repeated_spans(docs, window, gram, hot), lambda text, spans: digest(True)(text, spans)[-1:], [("text", pa.string(), "string")], carry=carry)
+    if "n_chars" in carry:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)).select(*docs.columns)
