@@ -21,7 +21,7 @@ from rollcall.llm import codes as C
 from rollcall.llm.common import documents, rebatched
 from rollcall.llm.tokens import vocabulary_path
 
-MARK, LONGEST, BLOCK = "▁", 24, 1 << 22
+MARK, LONGEST, BLOCK = "▁", 24, 1 << 20
 PENALTY = 10.0
 
 
