@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm import codes as C
-from rollcall.llm.common import documents, i64, rebatched
+from rollcall.llm.common import documents, i64, prepare, rebatched
 
 #: At most so many labelled rows are fitted on, chosen by a hash of their ids.
 MAX_LABELLED = 24_000
@@ -222,3 +222,20 @@ def score_toxicity(docs: DataFrame, model: Model, drift: float = DRIFT) -> DataF
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample that it was fitted on
     return documents(docs).select("doc_id", "text").mapInArrow(_score(shared, drift), SCHEMA)
+
+
+def drop_toxic(docs: DataFrame, model: Model, drift: float = DRIFT) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below a half; null and empty texts stay."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    prepare(docs.sparkSession)
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = shared.value
+        for batch in rebatched(batches):
+            score = [m.probability(n, max((s[2] for s in segments), default=0.0), sum(s[2] for s in segments)) for n, segments in _scan(batch.column(at), m, drift)]
+            text = batch.column(at)
+            keep = np.array(score) < 0.5
+            keep |= np.asarray(text.is_null()) | (np.asarray([len(t or "") == 0 for t in text.to_pylist()]) if not keep.all() else False)
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(f, docs.schema)
