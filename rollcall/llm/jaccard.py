@@ -8,6 +8,7 @@ different components are compared further.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,14 @@ from rollcall.operators.graph import connected_components
 from rollcall.storage import materialize
 
 NGRAM, PERCENT = 4, 85
-#: log2 of the counters that order shingles by how frequent they are. Fixed, so the table may be broadcast.
-SKETCH_BITS = 18
+#: log2 of the counters that tell very frequent shingles, and of the slots for those whose documents were counted exactly.
+#: Both tables have a fixed size, so they may be broadcast; when they fill up, fewer shingles are told apart.
+SKETCH_BITS, HOT_BITS = 18, 22
+#: Shingles at the rare end of more than so many documents are put behind rarer ones.
+HOT = 8
 PARTS = 32
+#: Documents of a shingle that meet in one group; pairs that are filtered at once.
+GROUP, PAIRS = 512, 1 << 20
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -37,8 +43,9 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarra
         begin = C.ragged(offs[:-1], count)
         doc = np.repeat(np.arange(j - i), count)
         h = C.spans(C.prefix(words), begin, begin + np.minimum(size, n)[doc])
-        order = np.lexsort((h, doc))
-        h, doc = h[order], doc[order]
+        edge = np.searchsorted(doc, np.arange(j - i + 1)).tolist()
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            h[a:b].sort()
         keep = np.ones(len(h), dtype=bool)
         keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
         h, doc = h[keep], doc[keep]
@@ -58,17 +65,31 @@ def _frequencies(n: int):
     return f
 
 
+def grade(n: np.ndarray) -> np.ndarray:
+    """0 to 255, growing with the logarithm of a count."""
+    return np.minimum(255, np.floor(8 * np.log2(np.maximum(n, 0) + 1))).astype(np.uint8)
+
+
 def frequency_classes(docs: DataFrame, n: int) -> np.ndarray:
-    """For each slot of the sketch a class that grows with how many documents have its shingles; counted over all documents."""
+    """For each slot of the sketch how frequent its most frequent shingle may be, beyond what slots hold anyway; over all documents."""
     slots = docs.select("text").mapInArrow(_frequencies(n), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(1 << SKETCH_BITS, dtype=np.float64)
     counts[slots["slot"].to_numpy()] = slots["n"].to_numpy()
-    return np.minimum(255, np.floor(4 * np.log2(counts + 1))).astype(np.uint8)
+    usual = np.median(counts)
+    return grade(counts - usual - 6 * np.sqrt(usual + 1))
+
 
+@dataclass
+class Order:
+    """A total order of shingles, rare ones first; any order gives the same links, a good one gives fewer candidates."""
 
-def ordered(h: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Shingles as numbers that sort rare ones first: the frequency class, then 56 bits of the hash."""
-    return (classes[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (h & np.uint64((1 << 56) - 1))
+    sketch: np.ndarray
+    hot: np.ndarray
+
+    def keys(self, h: np.ndarray) -> np.ndarray:
+        """Shingles as numbers in this order: the grade of their frequency, then 56 bits of the hash."""
+        known = np.maximum(self.sketch[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], self.hot[(h & np.uint64((1 << HOT_BITS) - 1)).astype(np.int64)])
+        return (known.astype(np.uint64) << np.uint64(56)) | (h & np.uint64((1 << 56) - 1))
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -76,10 +97,45 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - -(-n * percent // 100) + 1, 0)
 
 
+def _first(key: np.ndarray, offs: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest `take` keys of each text, ascending, and their places in the whole."""
+    key = key.copy()
+    edge = offs.tolist()
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        key[a:b].sort()
+    return key[C.ragged(offs[:-1], take)], np.concatenate([[0], np.cumsum(take)])
+
+
+def _rare_ends(n: int, percent: int, order):
+    """The shingles that are, or may become, part of a prefix, with how many texts of the batch have them there."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rebatched(batches):
+            found = []
+            for _, _, h, offs in shingle_sets(batch.column(0), n):
+                size = np.diff(offs)
+                found.append(_first(order.value.keys(h), offs, np.minimum(size, prefix_length(size, percent) * 3 // 2))[0])
+            key, count = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([i64(key), i64(count)], names=["token", "n"])
+
+    return f
+
+
+def rare_first(docs: DataFrame, n: int, percent: int, hot: int = HOT) -> Order:
+    """Order by a sketch of all shingles, then, at the rare end that it gives, by exact counts of documents."""
+    spark = docs.sparkSession
+    order = Order(frequency_classes(docs, n), np.zeros(1 << HOT_BITS, dtype=np.uint8))
+    ends = docs.select("text").mapInArrow(_rare_ends(n, percent, spark.sparkContext.broadcast(order)), "token long, n long")
+    often = ends.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > hot)
+    slots = often.groupBy(F.col("token").bitwiseAND(F.lit((1 << HOT_BITS) - 1)).alias("slot")).agg(F.max("n").alias("n")).toPandas()
+    order.hot[slots["slot"].to_numpy(np.int64)] = grade(slots["n"].to_numpy(np.float64))
+    return order
+
+
 DIGEST = "doc_id long, n_shingles long, s1 long, s2 long, parts binary, prefix array<long>"
 
 
-def _digests(n: int, percent: int, classes):
+def _digests(n: int, percent: int, order):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(batches):
             for i, j, h, offs in shingle_sets(batch.column(1), n):
@@ -87,17 +143,30 @@ def _digests(n: int, percent: int, classes):
                 doc = np.repeat(np.arange(j - i), size)
                 both = [C.spans(C.prefix(x), offs[:-1], offs[1:]) for x in (h, C.mix(h ^ np.uint64(0x5851F42D4C957F2D)))]
                 parts = np.bincount(doc * PARTS + (C.mix(h) >> np.uint64(59)).astype(np.int64), minlength=(j - i) * PARTS).astype(np.uint32)
-                key = ordered(h, classes.value)
-                key = key[np.lexsort((key, doc))]
-                take = prefix_length(size, percent)
-                ends = np.concatenate([[0], np.cumsum(take)])
-                prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), i64(key[C.ragged(offs[:-1], take)]))
+                key, ends = _first(order.value.keys(h), offs, prefix_length(size, percent))
+                prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), i64(key))
                 blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * PARTS), j - i, [None, pa.py_buffer(parts)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), i64(size), i64(both[0]), i64(both[1]), blob, prefix], names=["doc_id", "n_shingles", "s1", "s2", "parts", "prefix"])
 
     return f
 
 
+def _postings(bits):
+    """Prefix shingles that the filter may hold: doc, n, pos, token."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rebatched(batches):
+            lists = batch.column(2)
+            token = np.asarray(lists.flatten()).view(np.uint64)
+            size = np.asarray(lists.value_lengths()).astype(np.int64)
+            hit = np.flatnonzero(may_hold(bits.value, token))
+            row = pa.array(np.repeat(np.arange(len(size)), size)[hit])
+            pos = C.ragged(np.zeros(len(size), np.int64), size)[hit]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), i64(pos), i64(token[hit])], names=["doc", "n", "pos", "token"])
+
+    return f
+
+
 def _sets(n: int, bits):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(batches):
@@ -162,6 +231,67 @@ def verified(docs: DataFrame, pairs: DataFrame, digests: DataFrame, n: int, perc
     return materialize(out.groupBy("x", "y").agg(F.max("linked").alias("linked")), "verified")
 
 
+def _pairs(percent: int):
+    """Pairs of different components within sorted groups of a shingle's documents that pass all filters."""
+
+    def pairs(g: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        group = np.flatnonzero(np.concatenate([[True], (g["token"][1:] != g["token"][:-1]) | (g["b1"][1:] != g["b1"][:-1]) | (g["b2"][1:] != g["b2"][:-1])]))
+        size = np.diff(np.append(group, len(g["token"])))
+        rest = np.repeat(group + size, size) - np.arange(len(g["token"])) - 1
+        upto = np.cumsum(rest)
+        i = 0
+        while i < len(rest):
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + PAIRS, side="right")))
+            x = np.repeat(np.arange(i, j), rest[i:j])
+            y = C.ragged(np.arange(i, j) + 1, rest[i:j])
+            i = j
+            ok = (g["c"][x] != g["c"][y]) & ((g["b1"][x] == g["b2"][x]) | (g["block"][x] != g["block"][y]))
+            x, y = x[ok], y[ok]
+            nx, ny = g["n"][x], g["n"][y]
+            need = -(-percent * (nx + ny) // (100 + percent))
+            px, py = g["pos"][x], g["pos"][y]
+            ok = (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & (np.minimum(px, py) + np.minimum(nx - px, ny - py) >= need)
+            x, y, most = x[ok], y[ok], (nx + ny - 2 * need)[ok]
+            for k in range(0, len(x), PAIRS // 8):
+                a, b = x[k : k + PAIRS // 8], y[k : k + PAIRS // 8]
+                ok = np.abs(g["parts"][a] - g["parts"][b]).sum(axis=1) <= most[k : k + PAIRS // 8]
+                a, b = g["doc"][a[ok]], g["doc"][b[ok]]
+                if len(a):
+                    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+                    yield pa.RecordBatch.from_arrays([i64(both[:, 0]), i64(both[:, 1])], names=["x", "y"])
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held = ["token", "b1", "b2", "block", "doc", "n", "pos", "c"], None
+        for batch in rebatched(batches):
+            g = {k: np.asarray(batch.column(i)).astype(np.int64) for i, k in enumerate(names)}
+            g["parts"] = np.minimum(np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint32).reshape(-1, PARTS), 30000).astype(np.int16)
+            if held is not None:
+                g = {k: np.concatenate([held[k], v]) for k, v in g.items()}
+            last = len(g["token"]) - 1
+            open_ = (g["token"] == g["token"][last]) & (g["b1"] == g["b1"][last]) & (g["b2"] == g["b2"][last])
+            cut = int(np.flatnonzero(open_)[0])
+            held = {k: v[cut:] for k, v in g.items()}
+            if cut:
+                yield from pairs({k: v[:cut] for k, v in g.items()})
+        if held is not None:
+            yield from pairs(held)
+
+    return f
+
+
+def apart(rows: DataFrame, percent: int) -> DataFrame:
+    """(x, y): candidate pairs of documents of different components that share a prefix shingle.
+
+    rows: token, doc, n, pos, c, parts, and blocks, into how many the shingle's documents are split. Every two blocks of
+    a shingle meet in a group of their own, of bounded size; pairs are filtered where they are formed.
+    """
+    r = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    r = r.select("token", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "doc", "n", "pos", "c", "parts")
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = r.repartition(parts, "token", "b1", "b2").sortWithinPartitions("token", "b1", "b2", "doc")
+    return dealt.mapInArrow(_pairs(percent), "x long, y long").distinct()
+
+
 def _length_filter(a: str, b: str, percent: int) -> Column:
     return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
 
@@ -176,16 +306,18 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     """
     spark = docs.sparkSession
     few = documents(docs)
-    classes = spark.sparkContext.broadcast(frequency_classes(few, ngram))
-    digests = materialize(few.select("doc_id", "text").mapInArrow(_digests(ngram, percent, classes), DIGEST), "digests")
+    order = spark.sparkContext.broadcast(rare_first(few, ngram, percent))
+    digests = materialize(few.select("doc_id", "text").mapInArrow(_digests(ngram, percent, order), DIGEST), "digests")
 
     # equal sets: one representative each, the copies' rows are combined before the shuffle
     full = digests.where("n_shingles > 0 and doc_id is not null")
     classes_of = materialize(full.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts")), "classes")
     copies = full.select("doc_id", "n_shingles", "s1", "s2").join(classes_of.where("rep < last").select("n_shingles", "s1", "s2", "rep"), ["n_shingles", "s1", "s2"]).select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
 
-    # every prefix shingle links its documents to the smallest of them
-    postings = classes_of.select(F.col("rep").alias("doc"), F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token"))
+    # every prefix shingle links its documents to the smallest of them; those of one document only are left where they are
+    tokens = classes_of.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    bits = spark.sparkContext.broadcast(bits_of(tokens.select("token"), "token", 25))
+    postings = materialize(classes_of.select("rep", "n_shingles", "prefix").mapInArrow(_postings(bits), "doc long, n long, pos long, token long"), "postings")
     first = postings.groupBy("token").agg(F.min(F.struct("doc", "n", "pos")).alias("r"), F.max("doc").alias("last")).where("r.doc < last").drop("last")
     shared = materialize(postings.join(first, "token"), "shared")
     overlap = F.lit(1) + F.least("pos", "r.pos") + F.least(F.col("n") - F.col("pos"), F.col("r.n") - F.col("r.pos")) - 1
@@ -198,17 +330,9 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     # what is still apart although it shares a prefix shingle: documents of different components only
     comp = connected_components(links)
     placed = shared.select("token", "doc", "n", "pos").join(comp, shared.doc == comp.node, "left").select("token", "doc", "n", "pos", F.coalesce("component", "doc").alias("c"))
-    mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
-    placed = materialize(placed.join(mixed, "token"), "placed")
-    groups = placed.select("token", "c").distinct()
-    cross = groups.select("token", F.col("c").alias("c1")).join(groups.select("token", F.col("c").alias("c2")), "token").where("c1 < c2")
-    a = placed.select("token", F.col("c").alias("c1"), F.col("doc").alias("d1"), F.col("n").alias("n1"), F.col("pos").alias("p1"))
-    b = placed.select("token", F.col("c").alias("c2"), F.col("doc").alias("d2"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
-    cross = cross.join(a, ["token", "c1"]).join(b, ["token", "c2"]).where(_length_filter("n1", "n2", percent))
-    # shingles before the last one found in common have all been counted; at most the shorter rest can follow it
-    cross = cross.groupBy(F.least("d1", "d2").alias("x"), F.greatest("d1", "d2").alias("y")).agg(
-        F.count("*").alias("common"), F.min(F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2")) - 1).alias("rest"), F.first(F.col("n1") + F.col("n2")).alias("both")
-    ).where((F.col("common") + F.col("rest")) >= F.ceil(F.lit(percent) * F.col("both") / F.lit(100 + percent)))
+    placed = materialize(placed, "placed")
+    mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("token", F.ceil(F.col("size") / GROUP).cast("int").alias("blocks"))
+    cross = apart(placed.join(mixed, "token").join(reps, F.col("doc") == F.col("doc_id")), percent)
     cross = cross.select("x", "y").join(near.select("x", "y"), ["x", "y"], "left_anti")
     more = verified(docs, cross, reps, ngram, percent).where("linked").select(F.col("x").alias("src"), F.col("y").alias("dst"))
 
