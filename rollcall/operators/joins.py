@@ -198,11 +198,11 @@ def roles_of(ids: Column, roles: Column) -> Column:
     return F.transform(ids, lambda i: F.try_element_at(roles, i))
 
 
-def similarity_join(queries: DataFrame, bank: DataFrame, keys: list[str], top: int = 3) -> DataFrame:
+def similarity_join(queries: DataFrame, bank: DataFrame, keys: list[str], top: int = 3, block: int = 20_000) -> DataFrame:
     """JN10 with AGG2: mean of the `top` highest cosines per (query, character), inside the keys, by matrix products.
 
-    queries: keys, query_id, feature; bank: keys, character, pos, feature. Query vectors of a key are streamed in
-    batches against the key's bank, which must fit a task (a movie's exemplars); pairs never leave the function. A
+    queries: keys, query_id, feature; bank: keys, character, pos, feature. At most about `block` queries of a key meet the
+    key's bank in a task, so the bank of a key (a movie's exemplars) must fit one; pairs never leave the function. A
     character's pos is its smallest.
     """
     import numpy as np
@@ -225,14 +225,21 @@ def similarity_join(queries: DataFrame, bank: DataFrame, keys: list[str], top: i
             return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
         out, qm = [], unit(q["feature"])
-        for character, part in b.groupby("character", sort=False):
-            bm = unit(part["feature"])
+        whole = unit(b["feature"])
+        for character, part in b.reset_index(drop=True).groupby("character", sort=False)["pos"]:
+            bm = whole[part.index]
             for i in range(0, len(q), 4096):
                 sims = qm[i : i + 4096] @ bm.T
                 if sims.shape[1] > top:
                     sims = np.partition(sims, sims.shape[1] - top, axis=1)[:, -top:]
                 part_q = q.iloc[i : i + 4096]
-                out.append(part_q[[*keys, "query_id"]].assign(character=character, pos=int(part["pos"].min()), score=sims.mean(axis=1)))
+                out.append(part_q[[*keys, "query_id"]].assign(character=character, pos=int(part.min()), score=sims.mean(axis=1)))
         return pd.concat(out)[names]
 
-    return queries.select(*keys, "query_id", "feature").groupBy(*keys).cogroup(bank.select(*keys, "character", "pos", "feature").groupBy(*keys)).applyInPandas(score, schema)
+    # a key with very many queries is split into blocks, each of which meets the whole bank of the key
+    q = queries.select(*keys, "query_id", F.col("feature"))
+    blocks = q.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    q = q.join(blocks, keys).withColumn("_block", F.pmod(F.xxhash64("query_id"), F.col("_blocks")).cast("int")).drop("_blocks")
+    b = bank.select(*(F.col(k).alias(k) for k in keys), F.col("character").alias("character"), F.col("pos").alias("pos"), F.col("feature").alias("feature"))
+    b = b.join(blocks, keys).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(*(F.col(k).alias(k) for k in keys), F.col("_block").alias("_block"), F.col("character").alias("character"), F.col("pos").alias("pos"), F.col("feature").alias("feature"))
+    return q.groupBy(*keys, "_block").cogroup(b.groupBy(*keys, "_block")).applyInPandas(score, schema)

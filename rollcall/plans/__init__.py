@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules() -> list:
-    from rollcall.plans import relational
+    from rollcall.plans import recognition, relational
 
-    return [relational]
+    return [relational, recognition]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
