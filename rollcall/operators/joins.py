@@ -66,9 +66,23 @@ def pending(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(done.select(*keys), keys, "left_anti")
 
 
-def interval_overlap(a: DataFrame, b: DataFrame, keys: list[str], a_start: str, a_end: str, b_start: str, b_end: str) -> DataFrame:
-    """JN7: pairs of closed intervals of the same keys that touch or overlap."""
-    return a.join(b, keys).where((F.col(a_start) <= F.col(b_end)) & (F.col(a_end) >= F.col(b_start)))
+def _buckets(start: str, end: str, size: float) -> Column:
+    return F.explode(F.sequence(F.floor(F.col(start) / size).cast("long"), F.floor(F.col(end) / size).cast("long")))
+
+
+def interval_overlap(a: DataFrame, b: DataFrame, keys: list[str], a_start: str, a_end: str, b_start: str, b_end: str, bucket: float | None = None) -> DataFrame:
+    """JN7: pairs of closed intervals of the same keys that touch or overlap.
+
+    With `bucket`, a length of the order of the intervals', only those that meet in a stretch of that length are compared:
+    each goes to every stretch it covers, and a pair comes from the first one that both do. Worth it where a key has many.
+    """
+    touch = (F.col(a_start) <= F.col(b_end)) & (F.col(a_end) >= F.col(b_start))
+    if bucket is None:
+        return a.join(b, keys).where(touch)
+    left = a.where(F.col(a_start) <= F.col(a_end)).withColumn("_b", _buckets(a_start, a_end, bucket))
+    right = b.where(F.col(b_start) <= F.col(b_end)).withColumn("_b", _buckets(b_start, b_end, bucket))
+    first = F.floor(F.greatest(a_start, b_start) / bucket)
+    return left.join(right, [*keys, "_b"]).where(touch & (F.col("_b") == first)).drop("_b")
 
 
 def trim_to(frames: DataFrame, frame: str, start: str, end: str) -> DataFrame:
@@ -81,12 +95,17 @@ def trim_map(frames: Column, start: Column, end: Column) -> Column:
     return F.map_filter(frames, lambda k, _: k.between(start, end))
 
 
-def label_at(points: DataFrame, segments: DataFrame, keys: list[str], at: str, start: str, end: str, label: str, order: str) -> DataFrame:
+def label_at(points: DataFrame, segments: DataFrame, keys: list[str], at: str, start: str, end: str, label: str, order: str, bucket: float | None = None) -> DataFrame:
     """JN9: the label of the last listed segment whose [start, end) holds a point; null where none does.
 
-    points must be unique by keys and `at`.
+    points must be unique by keys and `at`. With `bucket` a point meets only segments that cover its stretch of that length.
     """
-    inside = points.select(*keys, at).join(segments, keys).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end)))
+    p, s, on = points.select(*keys, at), segments, list(keys)
+    if bucket is not None:
+        p = p.withColumn("_b", F.floor(F.col(at) / bucket).cast("long"))
+        s = s.where(F.col(start) < F.col(end)).withColumn("_b", _buckets(start, end, bucket))
+        on.append("_b")
+    inside = p.join(s, on).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end)))
     best = inside.groupBy(*keys, at).agg(F.max_by(label, order).alias(label))
     return points.join(best, [*keys, at], "left")
 

@@ -7,10 +7,11 @@ checked, since grouped functions cannot spill.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.operators.aggregates import track_mean_iou
@@ -19,11 +20,6 @@ from rollcall.storage import ship
 LARGEST_GROUP = 100_000
 
 
-def _bounded(g: pd.DataFrame) -> None:
-    if len(g) > LARGEST_GROUP:
-        raise ValueError(f"a group has {len(g)} rows; at most {LARGEST_GROUP} fit a task")
-
-
 def iou_matrix(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
     """IoU of every box of a with every box of b; eps is added to the denominator."""
     side = lambda i, j: np.minimum(a[:, None, j], b[None, :, j]) - np.maximum(a[:, None, i], b[None, :, i])
@@ -46,36 +42,98 @@ def suppress(boxes: np.ndarray, scores: np.ndarray, pos: np.ndarray, threshold:
 BOX = ["x0", "y0", "x1", "y1"]
 
 
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, list[tuple[int, int]]]]:
+    """Rows sorted by keys, in frames that hold whole groups only, with each group's first and last + 1 row.
+
+    One call of a function handles very many small groups; only a batch and one group are held.
+    """
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        new = np.zeros(len(batch), dtype=bool)
+        for k in keys:
+            v = batch[k].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+            new[0] |= bool(held) and held[-1][k].iloc[-1] != v[0]
+        at = np.flatnonzero(new)
+        if not len(at):
+            held.append(batch)
+            continue
+        head = batch.iloc[: at[-1]]
+        ready = pd.concat([*held, head], ignore_index=True) if held else head.reset_index(drop=True)
+        before = len(ready) - len(head)
+        edges = [0, *(before + at).tolist()] if before or at[0] else (before + at).tolist()
+        yield ready, list(zip(edges[:-1], edges[1:], strict=True))
+        held = [batch.iloc[at[-1] :]]
+    if held:
+        ready = pd.concat(held, ignore_index=True)
+        yield ready, [(0, len(ready))]
+
+
+def by_group(df: DataFrame, keys: list[str], order: list[Column | str], schema: str, f: Callable[[pd.DataFrame, list[tuple[int, int]]], pd.DataFrame]) -> DataFrame:
+    """f over frames of whole groups; a group larger than the bound is an error, as it could not spill."""
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, groups in whole_groups(batches, keys):
+            if max(b - a for a, b in groups) > LARGEST_GROUP:
+                raise ValueError(f"a group has more than {LARGEST_GROUP} rows, which may not fit a task")
+            yield f(frame, groups)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+def _schema(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def _iou(p: list[float], q: list[float], eps: float) -> float:
+    w, h = min(p[2], q[2]) - max(p[0], q[0]), min(p[3], q[3]) - max(p[1], q[1])
+    inter = w * h if w > 0 and h > 0 else 0.0
+    union = (p[2] - p[0]) * (p[3] - p[1]) + (q[2] - q[0]) * (q[3] - q[1]) - inter + eps
+    return inter / union if union else 0.0
+
+
 def nms(boxes: DataFrame, keys: list[str], threshold: float = 0.5, eps: float = 0.0, score: str = "score", pos: str = "pos") -> DataFrame:
     """ITR1: non-maximum suppression per image, whatever the class. eps 1e-6 is the metric's variant of IoU."""
-    ship(boxes.sparkSession)
 
-    def f(g: pd.DataFrame) -> pd.DataFrame:
-        _bounded(g)
-        return g.iloc[suppress(g[BOX].to_numpy(float), g[score].to_numpy(float), g[pos].to_numpy(), threshold, eps)]
+    def f(frame: pd.DataFrame, groups: list[tuple[int, int]]) -> pd.DataFrame:
+        box, keep = frame[BOX].to_numpy(float).tolist(), np.zeros(len(frame), dtype=bool)
+        for a, b in groups:
+            if b - a > 64:
+                keep[a + suppress(np.array(box[a:b]), np.zeros(b - a), np.arange(b - a), threshold, eps)] = True
+                continue
+            kept: list[list[float]] = []
+            for i in range(a, b):
+                if all(_iou(k, box[i], eps) < threshold for k in kept):
+                    kept.append(box[i])
+                    keep[i] = True
+        return frame[keep]
 
-    return boxes.groupBy(*keys).applyInPandas(f, boxes.schema)
+    return by_group(boxes, keys, [F.col(score).desc(), F.col(pos)], _schema(boxes), f)
 
 
-def greedy_match(pred: pd.DataFrame, gt: pd.DataFrame, thresholds: list[float]) -> pd.DataFrame:
-    """Predictions by score, each with the best free true box (first on ties); correct if IoU and label fit.
+def greedy_match(boxes: list[list[float]], labels: list, gt: list[list[float]], true: list, thresholds: list[float]) -> list[list[int]]:
+    """For each threshold which predictions, best score first, are correct: each takes the best free true box, first on ties.
 
     A wrong label or a low IoU leaves the box free, and the next best one is not tried.
     """
-    order = np.lexsort((pred["pos"].to_numpy(), -pred["score"].to_numpy(float)))
-    ious = iou_matrix(pred[BOX].to_numpy(float), gt[BOX].to_numpy(float), 1e-6) if len(gt) else np.zeros((len(pred), 0))
-    labels, true = pred["label"].tolist(), gt["label"].tolist()
+    ious = [[_iou(p, q, 1e-6) for q in gt] for p in boxes]
     out = []
     for t in thresholds:
-        free = np.ones(len(gt), dtype=bool)
-        for i in order:
-            tp = 0
-            if free.any():
-                j = int(np.argmax(np.where(free, ious[i], -1.0)))
-                if ious[i, j] > 0 and ious[i, j] >= t and labels[i] == true[j]:
-                    tp, free[j] = 1, False
-            out.append((t, float(pred["score"].iloc[i]), int(pred["pos"].iloc[i]), tp))
-    return pd.DataFrame(out, columns=["threshold", "score", "pos", "tp"])
+        free, row = [True] * len(gt), []
+        for i in range(len(boxes)):
+            best, at = 0.0, -1
+            for j, x in enumerate(ious[i]):
+                if free[j] and x > best:
+                    best, at = x, j
+            tp = at >= 0 and best >= t and labels[i] == true[at]
+            if tp:
+                free[at] = False
+            row.append(int(tp))
+        out.append(row)
+    return out
 
 
 THRESHOLDS = [round(0.5 + 0.05 * i, 2) for i in range(10)]
@@ -83,20 +141,26 @@ THRESHOLDS = [round(0.5 + 0.05 * i, 2) for i in range(10)]
 
 def detection_matches(pred: DataFrame, gt: DataFrame, keys: list[str], thresholds: list[float] | None = None) -> DataFrame:
     """JN14: (keys, threshold, score, pos, tp) for all thresholds in one pass over each image."""
-    ship(pred.sparkSession)
     thresholds = thresholds or THRESHOLDS
-    kinds = {f.name: f.dataType.simpleString() for f in pred.schema.fields}
-
-    def f(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        _bounded(a)
-        out = greedy_match(a, b, thresholds)
-        for name, value in zip(reversed(keys), reversed(key), strict=True):
-            out.insert(0, name, value)
-        return out
-
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", threshold double, score double, pos long, tp int"
-    cols = [*keys, *BOX, "label", "pos"]
-    return pred.select(*cols, "score").groupBy(*keys).cogroup(gt.select(*cols).groupBy(*keys)).applyInPandas(f, schema)
+    rows = pred.select(*keys, *BOX, "label", "score", "pos", F.lit(0).alias("side")).unionByName(gt.select(*keys, *BOX, "label", F.lit(None).cast("double").alias("score"), "pos", F.lit(1).alias("side")))
+
+    def f(frame: pd.DataFrame, groups: list[tuple[int, int]]) -> pd.DataFrame:
+        box, label, side = frame[BOX].to_numpy(float).tolist(), frame["label"].tolist(), frame["side"].to_numpy()
+        at, t, tp = [], [], []
+        for a, b in groups:
+            m = a + int((side[a:b] == 0).sum())
+            if m == a:
+                continue
+            for threshold, row in zip(thresholds, greedy_match(box[a:m], label[a:m], box[m:b], label[m:b], thresholds), strict=True):
+                at += range(a, m)
+                t += [threshold] * len(row)
+                tp += row
+        out = frame.iloc[at]
+        return pd.DataFrame({**{k: out[k].to_numpy() for k in keys}, "threshold": t, "score": out["score"].to_numpy(), "pos": out["pos"].to_numpy(), "tp": tp})
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", threshold double, score double, pos {kinds['pos']}, tp int"
+    return by_group(rows, keys, ["side", F.col("score").desc(), "pos"], schema, f)
 
 
 def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -128,22 +192,23 @@ def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
 
 def assign(pairs: DataFrame, keys: list[str], a: str, b: str, iou: str = "iou", least: float = 0.5) -> DataFrame:
     """JN13: optimal 1:1 assignment per group on 1 - IoU; pairs of at least `least` are accepted. Missing pairs have IoU 0."""
-    ship(pairs.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(*keys, a, b, iou).schema.fields)
-
-    def f(g: pd.DataFrame) -> pd.DataFrame:
-        rows, cols = sorted(g[a].unique()), sorted(g[b].unique())
-        if len(rows) * len(cols) > LARGEST_GROUP * 100:
-            raise ValueError("too many tracks in a shot")
-        m = np.zeros((len(rows), len(cols)), dtype=np.float32)
-        m[g[a].map({x: i for i, x in enumerate(rows)}), g[b].map({x: i for i, x in enumerate(cols)})] = g[iou]
-        got = [(rows[i], cols[j], float(m[i, j])) for i, j in hungarian(1.0 - m.astype(float)) if m[i, j] >= least]
-        out = pd.DataFrame(got, columns=[a, b, iou])
-        for k in reversed(keys):
-            out.insert(0, k, g[k].iloc[0])
-        return out
 
-    return pairs.select(*keys, a, b, iou).groupBy(*keys).applyInPandas(f, schema)
+    def f(frame: pd.DataFrame, groups: list[tuple[int, int]]) -> pd.DataFrame:
+        x, y, v, at = frame[a].tolist(), frame[b].tolist(), frame[iou].to_numpy(float), []
+        for i, j in groups:
+            rows, cols = {k: n for n, k in enumerate(sorted(set(x[i:j])))}, {k: n for n, k in enumerate(sorted(set(y[i:j])))}
+            if len(rows) == len(cols) == 1:
+                at += [i] if v[i] >= least else []
+                continue
+            m, where = np.zeros((len(rows), len(cols)), dtype=np.float32), {}
+            for k in range(i, j):
+                m[rows[x[k]], cols[y[k]]] = v[k]
+                where[rows[x[k]], cols[y[k]]] = k
+            at += [where[p] for p in hungarian(1.0 - m.astype(float)) if p in where and v[where[p]] >= least]
+        return frame.iloc[at]
+
+    few = pairs.select(*keys, a, b, iou)
+    return by_group(few, keys, [a, b], _schema(few), f)
 
 
 def link_tracks(boxes: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:
@@ -173,31 +238,33 @@ def components(links: DataFrame, keys: list[str]) -> DataFrame:
     Within a shot the smallest (set, track) spreads along links; a shot's links are few, so this happens in its group.
     Components are named by their smallest (set, track).
     """
-    ship(links.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in links.schema.fields}
 
-    def spread(g: pd.DataFrame) -> pd.DataFrame:
-        _bounded(g)
-        root: dict[tuple, tuple] = {}
-
-        def find(x: tuple) -> tuple:
-            root.setdefault(x, x)
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for a in g[["set_a", "track_a", "set_b", "track_b"]].itertuples(index=False):
-            x, y = find((a.set_a, a.track_a)), find((a.set_b, a.track_b))
-            root[max(x, y)] = min(x, y)
-        rows = [(*x, "_".join(map(str, find(x)))) for x in list(root)]
-        out = pd.DataFrame(rows, columns=["set_idx", "track_id", "component"])
-        for k in reversed(keys):
-            out.insert(0, k, g[k].iloc[0])
+    def spread(frame: pd.DataFrame, groups: list[tuple[int, int]]) -> pd.DataFrame:
+        ends = list(zip(*(frame[c].tolist() for c in ("set_a", "track_a", "set_b", "track_b")), strict=True))
+        at, nodes = [], []
+        for a, b in groups:
+            root: dict[tuple, tuple] = {}
+
+            def find(x: tuple, root: dict = root) -> tuple:
+                root.setdefault(x, x)
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            for e in ends[a:b]:
+                x, y = find(e[:2]), find(e[2:])
+                root[max(x, y)] = min(x, y)
+            for x in list(root):
+                at.append(a)
+                nodes.append((*x, "_".join(map(str, find(x)))))
+        out = pd.DataFrame({k: frame[k].iloc[at].to_numpy() for k in keys})
+        out[["set_idx", "track_id", "component"]] = pd.DataFrame(nodes, columns=["set_idx", "track_id", "component"])
         return out
 
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", set_idx {kinds['set_a']}, track_id {kinds['track_a']}, component string"
-    out = links.groupBy(*keys).applyInPandas(spread, schema)
+    out = by_group(links, keys, [], schema, spread)
     many = out.groupBy(*keys, "component").agg(F.count_distinct("set_idx").alias("n")).where("n >= 2").select(*keys, "component")
     return out.join(many, [*keys, "component"]).select(*keys, "set_idx", "track_id", "component")
 

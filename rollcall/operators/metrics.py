@@ -61,7 +61,7 @@ def mean_average_precision(aps: DataFrame, thresholds: int = 10) -> DataFrame:
 TICKS = 100  # per second
 
 
-def der_sweep(truth: DataFrame, predicted: DataFrame, clip: str = "clip", collar: float = 0.25, other: str = "Other") -> DataFrame:
+def der_sweep(truth: DataFrame, predicted: DataFrame, clip: str = "clip", collar: float = 0.25, other: str = "Other", bucket: float = 60.0) -> DataFrame:
     """Diarisation error of all clips together, with and without overlapped speech, by a sweep over segment edges.
 
     Both tables: clip, seg_pos, start, end (seconds), label. Time is counted in ticks of 10 ms; between two edges nothing
@@ -69,7 +69,7 @@ def der_sweep(truth: DataFrame, predicted: DataFrame, clip: str = "clip", collar
     clip is that of its truth; clips whose truth is only `other` are left out; of overlapping segments the last listed
     labels a tick; ticks near an edge of any true segment, and those whose truth is `other`, do not count. A clip
     without predictions has them all wrong. Returns error, total, der, and the same without overlap; der is null where
-    nothing is spoken.
+    nothing is spoken. Stretches meet only the segments that cover their `bucket` of seconds, so long clips stay linear.
     """
     c = round(collar * TICKS)
 
@@ -87,7 +87,9 @@ def der_sweep(truth: DataFrame, predicted: DataFrame, clip: str = "clip", collar
     edges = edges.join(clips, clip).where("t between t0 and t1 + 1")
     nxt = F.lead("t").over(Window.partitionBy(clip).orderBy("t"))
     pieces = edges.withColumn("u", nxt).where("u is not null").select(clip, "t", (F.col("u") - F.col("t")).alias("w"))
-    active = pieces.join(spans, clip, "left").where("s is null or (s <= t and e > t)")
+    size = round(bucket * TICKS)
+    cover = spans.withColumn("b", F.explode(F.sequence(F.floor(F.col("s") / size), F.floor((F.col("e") - 1) / size))))
+    active = pieces.withColumn("b", F.floor(F.col("t") / size)).join(cover, [clip, "b"]).where("s <= t and e > t")
     state = active.groupBy(clip, "t", "w").agg(
         F.max_by(F.when(F.col("k") == "g", F.col("l")), F.when(F.col("k") == "g", F.col("p"))).alias("truth"),
         F.max_by(F.when(F.col("k") == "p", F.col("l")), F.when(F.col("k") == "p", F.col("p"))).alias("guess"),

@@ -100,7 +100,7 @@ def _der_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
 def q25_der(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth, guess = _der_tables(spark, sf_dir)
-    out = M.der_sweep(truth, guess, collar=1.0)
+    out = M.der_sweep(truth, guess, collar=1.0, bucket=3600)
     return out.select(*(F.round(c, 2).alias(c) for c in ("error", "total", "error_alone", "total_alone")), F.round("der", 6).alias("der"), F.round("der_alone", 6).alias("der_alone"))
 
 

@@ -169,7 +169,7 @@ count(*) AS n, sum(c_custkey)::BIGINT AS keys FROM customer GROUP BY 1, 2"""
 def q16_interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = segments(spark, sf_dir)
     a, b = s.select("clip", F.col("seg_pos").alias("a"), F.col("start").alias("s1"), F.col("end").alias("e1")), s.select("clip", F.col("seg_pos").alias("b"), F.col("start").alias("s2"), F.col("end").alias("e2"))
-    pairs = J.interval_overlap(a, b, ["clip"], "s1", "e1", "s2", "e2").where("a < b")
+    pairs = J.interval_overlap(a, b, ["clip"], "s1", "e1", "s2", "e2", bucket=14400).where("a < b")
     shared = (F.least("e1", "e2") - F.greatest("s1", "s2")).alias("shared")
     return pairs.select("clip", "a", "b", shared, (F.least("e1", "e2") - F.greatest("s1", "s2") > 15).alias("long_enough"))
 
@@ -182,7 +182,7 @@ def q17_point_in_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = segments(spark, sf_dir)
     span = s.groupBy("clip").agg(F.min("start").alias("t0"))
     points = span.select("clip", F.explode(F.sequence(F.col("t0"), F.col("t0") + 86400, F.lit(600).cast("long"))).alias("t"))
-    return J.label_at(points, s, ["clip"], "t", "start", "end", "label", "seg_pos")
+    return J.label_at(points, s, ["clip"], "t", "start", "end", "label", "seg_pos", bucket=14400)
 
 
 Q17 = f"""WITH {SEGMENTS_SQL}, p AS (SELECT clip, unnest(range(min(start), min(start) + 86401, 600)) AS t FROM segments GROUP BY clip)
