@@ -26,9 +26,10 @@ NGRAM, PERCENT = 4, 85
 SKETCH_BITS, HOT_BITS = 18, 22
 #: Shingles at the rare end of more than so many documents are put behind rarer ones.
 HOT = 8
-PARTS = 32
-#: Documents of a shingle that meet in one group; pairs that are filtered at once.
-GROUP, PAIRS = 512, 1 << 20
+#: Parts of the hash space whose shingles the suffix filter counts.
+PARTS = 256
+#: Documents of one block of a group; every two blocks of a group meet in a task.
+GROUP = 512
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -142,10 +143,11 @@ def _digests(n: int, percent: int, order):
                 size = np.diff(offs)
                 doc = np.repeat(np.arange(j - i), size)
                 both = [C.spans(C.prefix(x), offs[:-1], offs[1:]) for x in (h, C.mix(h ^ np.uint64(0x5851F42D4C957F2D)))]
-                parts = np.bincount(doc * PARTS + (C.mix(h) >> np.uint64(59)).astype(np.int64), minlength=(j - i) * PARTS).astype(np.uint32)
+                parts = np.bincount(doc * PARTS + (C.mix(h) >> np.uint64(56)).astype(np.int64), minlength=(j - i) * PARTS)
+                parts = np.minimum(parts, 255).astype(np.uint8)  # capped counts differ by less, so the filter stays safe
                 key, ends = _first(order.value.keys(h), offs, prefix_length(size, percent))
                 prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), i64(key))
-                blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * PARTS), j - i, [None, pa.py_buffer(parts)]).cast(pa.binary())
+                blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(PARTS), j - i, [None, pa.py_buffer(parts)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), i64(size), i64(both[0]), i64(both[1]), blob, prefix], names=["doc_id", "n_shingles", "s1", "s2", "parts", "prefix"])
 
     return f
@@ -192,8 +194,8 @@ def _suffix_filter(percent: int):
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(batches):
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, PARTS).astype(np.int64) for i in (2, 3))
-            both = x.sum(axis=1) + y.sum(axis=1)
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int16) for i in (4, 5))
+            both = np.asarray(batch.column(2)) + np.asarray(batch.column(3))
             most = both - 2 * -(-percent * both // (100 + percent))
             yield batch.filter(pa.array(np.abs(x - y).sum(axis=1) <= most)).select([0, 1])
 
@@ -217,10 +219,10 @@ def _verify(percent: int):
 def verified(docs: DataFrame, pairs: DataFrame, digests: DataFrame, n: int, percent: int, filter_bits: int = 23) -> DataFrame:
     """(x, y, linked) for each pair that passes the suffix filter."""
     spark = docs.sparkSession
-    parts = digests.select("doc_id", "parts")
+    parts = digests.select("doc_id", "n_shingles", "parts")
     for side in ("x", "y"):
-        pairs = pairs.join(parts.select(F.col("doc_id").alias(side), F.col("parts").alias(f"parts_{side}")), side)
-    pairs = materialize(pairs.select("x", "y", "parts_x", "parts_y").mapInArrow(_suffix_filter(percent), "x long, y long").distinct(), "pairs")
+        pairs = pairs.join(parts.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("parts").alias(f"parts_{side}")), side)
+    pairs = materialize(pairs.select("x", "y", "n_x", "n_y", "parts_x", "parts_y").mapInArrow(_suffix_filter(percent), "x long, y long").distinct(), "pairs")
     ids = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct()
     hashed = ids.mapInArrow(lambda it: (pa.RecordBatch.from_arrays([i64(C.mix(np.asarray(b.column(0)).astype(np.uint64)))], names=["k"]) for b in it), "k long")
     bits = spark.sparkContext.broadcast(bits_of(hashed, "k", filter_bits))
@@ -232,49 +234,58 @@ def verified(docs: DataFrame, pairs: DataFrame, digests: DataFrame, n: int, perc
 
 
 def _pairs(percent: int):
-    """Pairs of different components within sorted groups of a shingle's documents that pass all filters."""
-
-    def pairs(g: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        group = np.flatnonzero(np.concatenate([[True], (g["token"][1:] != g["token"][:-1]) | (g["b1"][1:] != g["b1"][:-1]) | (g["b2"][1:] != g["b2"][:-1])]))
-        size = np.diff(np.append(group, len(g["token"])))
-        rest = np.repeat(group + size, size) - np.arange(len(g["token"])) - 1
-        upto = np.cumsum(rest)
-        i = 0
-        while i < len(rest):
-            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + PAIRS, side="right")))
-            x = np.repeat(np.arange(i, j), rest[i:j])
-            y = C.ragged(np.arange(i, j) + 1, rest[i:j])
-            i = j
-            ok = (g["c"][x] != g["c"][y]) & ((g["b1"][x] == g["b2"][x]) | (g["block"][x] != g["block"][y]))
-            x, y = x[ok], y[ok]
-            nx, ny = g["n"][x], g["n"][y]
-            need = -(-percent * (nx + ny) // (100 + percent))
-            px, py = g["pos"][x], g["pos"][y]
-            ok = (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & (np.minimum(px, py) + np.minimum(nx - px, ny - py) >= need)
-            x, y, most = x[ok], y[ok], (nx + ny - 2 * need)[ok]
-            for k in range(0, len(x), PAIRS // 8):
-                a, b = x[k : k + PAIRS // 8], y[k : k + PAIRS // 8]
-                ok = np.abs(g["parts"][a] - g["parts"][b]).sum(axis=1) <= most[k : k + PAIRS // 8]
-                a, b = g["doc"][a[ok]], g["doc"][b[ok]]
-                if len(a):
-                    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                    yield pa.RecordBatch.from_arrays([i64(both[:, 0]), i64(both[:, 1])], names=["x", "y"])
+    """Pairs of different components within sorted groups that share a token and pass the length and suffix filters."""
+
+    def pairs(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        doc, n, c, block = (np.array([r[k] for r in rows], dtype=np.int64) for k in (3, 4, 5, 6))
+        if c.min() == c.max():
+            return
+        size = np.array([len(r[7]) for r in rows])
+        _, token = np.unique(np.concatenate([r[7] for r in rows]), return_inverse=True)
+        parts = np.frombuffer(b"".join(r[8] for r in rows), np.uint8).reshape(-1, PARTS).astype(np.int16)
+        has = np.zeros((len(rows), int(token.max()) + 1), dtype=np.float32)
+        has[np.repeat(np.arange(len(rows)), size), token] = 1
+        across = rows[0][1] != rows[0][2]
+        for i in range(0, len(rows), 64):
+            part = slice(i, i + 64)
+            ok = (has[part] @ has.T > 0) & (c[part, None] != c[None]) & (100 * np.minimum(n[part, None], n[None]) >= percent * np.maximum(n[part, None], n[None]))
+            ok &= (block[part, None] < block[None]) if across else (np.arange(len(rows))[part, None] < np.arange(len(rows))[None])
+            x, y = np.nonzero(ok)
+            if not len(x):
+                continue
+            x += i
+            for k in range(0, len(x), 8192):
+                a, b = x[k : k + 8192], y[k : k + 8192]
+                both = n[a] + n[b]
+                close = np.abs(parts[a] - parts[b]).sum(axis=1) <= both - 2 * -(-percent * both // (100 + percent))
+                yield doc[a[close]], doc[b[close]]
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held = ["token", "b1", "b2", "block", "doc", "n", "pos", "c"], None
+        def flush(group: list[tuple]) -> None:
+            for a, b in pairs(group):
+                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+
+        def emit() -> pa.RecordBatch:
+            both = np.unique(np.concatenate(found), axis=0)
+            found.clear()
+            return pa.RecordBatch.from_arrays([i64(both[:, 0]), i64(both[:, 1])], names=["x", "y"])
+
+        held: list[tuple] = []
+        found: list[np.ndarray] = []
         for batch in rebatched(batches):
-            g = {k: np.asarray(batch.column(i)).astype(np.int64) for i, k in enumerate(names)}
-            g["parts"] = np.minimum(np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint32).reshape(-1, PARTS), 30000).astype(np.int16)
-            if held is not None:
-                g = {k: np.concatenate([held[k], v]) for k, v in g.items()}
-            last = len(g["token"]) - 1
-            open_ = (g["token"] == g["token"][last]) & (g["b1"] == g["b1"][last]) & (g["b2"] == g["b2"][last])
-            cut = int(np.flatnonzero(open_)[0])
-            held = {k: v[cut:] for k, v in g.items()}
-            if cut:
-                yield from pairs({k: v[:cut] for k, v in g.items()})
-        if held is not None:
-            yield from pairs(held)
+            tokens = batch.column(7)
+            flat, offs = np.asarray(tokens.flatten()), np.concatenate([[0], np.cumsum(np.asarray(tokens.value_lengths()))])
+            columns = [batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 5, 6, 8)]
+            for k, r in enumerate(zip(*columns, strict=True)):
+                if held and r[:3] != held[0][:3]:
+                    flush(held)
+                    held = []
+                held.append((*r[:7], flat[offs[k] : offs[k + 1]], r[7]))
+            if sum(map(len, found)) > 50_000:
+                yield emit()
+        flush(held) if held else None
+        if found:
+            yield emit()
 
     return f
 
@@ -282,13 +293,14 @@ def _pairs(percent: int):
 def apart(rows: DataFrame, percent: int) -> DataFrame:
     """(x, y): candidate pairs of documents of different components that share a prefix shingle.
 
-    rows: token, doc, n, pos, c, parts, and blocks, into how many the shingle's documents are split. Every two blocks of
-    a shingle meet in a group of their own, of bounded size; pairs are filtered where they are formed.
+    rows: r, doc, n, c, tokens, parts, and blocks. Shingles that have the same smallest document r form a group, so that
+    documents with many shingles in common meet once rather than for each. A group's documents are split into blocks,
+    every two of which meet in a task of bounded size, and pairs are filtered where they are formed.
     """
     r = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    r = r.select("token", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "doc", "n", "pos", "c", "parts")
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = r.repartition(parts, "token", "b1", "b2").sortWithinPartitions("token", "b1", "b2", "doc")
+    r = r.select("r", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "doc", "n", "c", "block", "tokens", "parts")
+    count = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = r.repartition(count, "r", "b1", "b2").sortWithinPartitions("r", "b1", "b2", "doc")
     return dealt.mapInArrow(_pairs(percent), "x long, y long").distinct()
 
 
@@ -323,16 +335,16 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     overlap = F.lit(1) + F.least("pos", "r.pos") + F.least(F.col("n") - F.col("pos"), F.col("r.n") - F.col("r.pos")) - 1
     star = shared.where("doc <> r.doc").where(_length_filter("n", "r.n", percent)).where(overlap >= needed(F.col("n"), F.col("r.n"), percent))
     star = star.select(F.col("r.doc").alias("x"), F.col("doc").alias("y")).distinct()
-    reps = classes_of.select(F.col("rep").alias("doc_id"), "parts")
+    reps = classes_of.select(F.col("rep").alias("doc_id"), "n_shingles", "parts")
     near = verified(docs, star, reps, ngram, percent)
     links = near.where("linked").select(F.col("x").alias("src"), F.col("y").alias("dst"))
 
     # what is still apart although it shares a prefix shingle: documents of different components only
     comp = connected_components(links)
-    placed = shared.select("token", "doc", "n", "pos").join(comp, shared.doc == comp.node, "left").select("token", "doc", "n", "pos", F.coalesce("component", "doc").alias("c"))
-    placed = materialize(placed, "placed")
-    mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("token", F.ceil(F.col("size") / GROUP).cast("int").alias("blocks"))
-    cross = apart(placed.join(mixed, "token").join(reps, F.col("doc") == F.col("doc_id")), percent)
+    lists = shared.groupBy(F.col("r.doc").alias("r"), "doc", "n").agg(F.collect_list("token").alias("tokens"))
+    placed = materialize(lists.join(comp, lists.doc == comp.node, "left").select("r", "doc", "n", "tokens", F.coalesce("component", "doc").alias("c")), "placed")
+    mixed = placed.groupBy("r").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("r", F.ceil(F.col("size") / GROUP).cast("int").alias("blocks"))
+    cross = apart(placed.join(mixed, "r").join(reps.select("doc_id", "parts"), F.col("doc") == F.col("doc_id")), percent)
     cross = cross.select("x", "y").join(near.select("x", "y"), ["x", "y"], "left_anti")
     more = verified(docs, cross, reps, ngram, percent).where("linked").select(F.col("x").alias("src"), F.col("y").alias("dst"))
 
