@@ -43,7 +43,7 @@ def model(name: str) -> Callable[..., Column]:
     def apply(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         run = factory()
         for batch in batches:
-            yield run(*batch)
+            yield run(*batch) if isinstance(batch, tuple) else run(batch)
 
     return apply
 

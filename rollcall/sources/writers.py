@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def nested_json(df: DataFrame, path: str, keys: list[str], value: str) -> None:
     """SNK1: one JSON object, keyed by one or two columns, in one file. A report's size, not a table's: the object is one row."""
+
+    def entries(key: str, item: str) -> Column:  # sorted by key only, as maps have no order
+        pairs = F.collect_list(F.struct(F.col(key).cast("string").alias("k"), F.col(item).alias("v")))
+        return F.map_from_entries(F.array_sort(pairs, lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)))
+
     if len(keys) == 1:
-        top = df.groupBy().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(keys[0], value)))).alias("m"))
+        top = df.groupBy().agg(entries(keys[0], value).alias("m"))
     else:
-        inner = df.groupBy(keys[0]).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(keys[1], value)))).alias("m"))
-        top = inner.groupBy().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(keys[0], "m")))).alias("m"))
+        inner = df.groupBy(keys[0]).agg(entries(keys[1], value).alias("_inner"))
+        top = inner.groupBy().agg(entries(keys[0], "_inner").alias("m"))
     top.select(F.to_json("m").alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
