@@ -184,3 +184,20 @@ def audio_path(video: Column) -> Column:
 def clean_audio_path(video: Column) -> Column:
     """PRJ6: a clip's cleaned audio file."""
     return F.replace(F.replace(video, F.lit("/vid/"), F.lit("/wav/clean/")), F.lit("mp4"), F.lit("wav"))
+
+
+def in_subset(movie: Column) -> Column:
+    """FLT27: one of the movies that have speech annotations."""
+    from rollcall.functions.text import MOVIE_SUBSET
+
+    return movie.isin(MOVIE_SUBSET)
+
+
+def nested_get(column: Column, path: str, default: Column) -> Column:
+    """JSON2: a value deep in a JSON text, or a default where any step is missing."""
+    return F.coalesce(F.get_json_object(column, f"$.{path}"), default)
+
+
+def encode_row(*columns: str) -> Column:
+    """JSON1: the row as a JSON object, without its nulls."""
+    return F.to_json(F.struct(*columns))

@@ -110,20 +110,22 @@ def label_at(points: DataFrame, segments: DataFrame, keys: list[str], at: str, s
     return points.join(best, [*keys, at], "left")
 
 
-def token_prefix_match(names: DataFrame, titles: DataFrame, name: str = "name", title: str = "title", pos: str = "pos") -> DataFrame:
+def token_prefix_match(names: DataFrame, titles: DataFrame, name: str = "name", title: str = "title", pos: str = "pos", keys: list[str] | None = None) -> DataFrame:
     """JN16: for each name the shortest title, first on ties, whose tokens prefix-pair with it.
 
     Every token of the one with fewer tokens must begin, or be the beginning of, some token of the other. Pairs are
-    formed on the first letters of tokens, as paired tokens share theirs; names without tokens match nothing.
+    formed on the first letters of tokens, as paired tokens share theirs; names without tokens match nothing. With keys
+    only names and titles of the same keys (a movie) meet.
     """
-    a = names.select(name).distinct().withColumn("ta", F.split(normalise_name(F.col(name)), " ")).where(normalise_name(F.col(name)) != "")
-    b = titles.select(title, pos).withColumn("tb", F.split(normalise_name(F.col(title)), " ")).where(normalise_name(F.col(title)) != "")
+    keys = keys or []
+    a = names.select(*keys, name).distinct().withColumn("ta", F.split(normalise_name(F.col(name)), " ")).where(normalise_name(F.col(name)) != "")
+    b = titles.select(*keys, title, pos).withColumn("tb", F.split(normalise_name(F.col(title)), " ")).where(normalise_name(F.col(title)) != "")
     initials = lambda c: F.array_distinct(F.transform(c, lambda t: F.substring(t, 1, 1)))
-    pairs = a.withColumn("i", F.explode(initials(F.col("ta")))).join(b.withColumn("i", F.explode(initials(F.col("tb")))), "i").drop("i").distinct()
+    pairs = a.withColumn("i", F.explode(initials(F.col("ta")))).join(b.withColumn("i", F.explode(initials(F.col("tb")))), [*keys, "i"]).drop("i").distinct()
     less = F.size("ta") <= F.size("tb")
     short, long = F.when(less, F.col("ta")).otherwise(F.col("tb")), F.when(less, F.col("tb")).otherwise(F.col("ta"))
     hit = pairs.withColumns({"short": short, "long": long}).where(F.forall("short", lambda s: F.exists("long", lambda x: F.startswith(x, s) | F.startswith(s, x))))
-    return hit.groupBy(name).agg(F.min_by(title, F.struct(F.length(title), pos)).alias(title))
+    return hit.groupBy(*keys, name).agg(F.min_by(title, F.struct(F.length(title), pos)).alias(title))
 
 
 def normalised_match(names: DataFrame, titles: DataFrame, name: str = "name", title: str = "title", pos: str = "pos") -> DataFrame:
@@ -262,3 +264,13 @@ def similarity_join(queries: DataFrame, bank: DataFrame, keys: list[str], top: i
     b = bank.select(*(F.col(k).alias(k) for k in keys), F.col("character").alias("character"), F.col("pos").alias("pos"), F.col("feature").alias("feature"))
     b = b.join(blocks, keys).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(*(F.col(k).alias(k) for k in keys), F.col("_block").alias("_block"), F.col("character").alias("character"), F.col("pos").alias("pos"), F.col("feature").alias("feature"))
     return q.groupBy(*keys, "_block").cogroup(b.groupBy(*keys, "_block")).applyInPandas(score, schema)
+
+
+def box_pairs(a: DataFrame, b: DataFrame, keys: list[str], least: float = 0.0, eps: bool = False) -> DataFrame:
+    """JN11: pairs of boxes of one image with their IoU, of at least `least`. b's columns get the prefix b_."""
+    from rollcall.functions.boxes import Box
+
+    right = b.select(*keys, *(F.col(c).alias(f"b_{c}") for c in b.columns if c not in keys))
+    one, two = Box.of(), Box.of("b_")
+    out = a.join(right, keys).withColumn("iou", one.iou_eps(two) if eps else F.coalesce(one.iou(two), F.lit(0.0)))
+    return out.where(F.col("iou") >= least)

@@ -62,7 +62,7 @@ TICKS = 100  # per second
 
 
 def der_sweep(truth: DataFrame, predicted: DataFrame, clip: str = "clip", collar: float = 0.25, other: str = "Other", bucket: float = 60.0) -> DataFrame:
-    """Diarisation error of all clips together, with and without overlapped speech, by a sweep over segment edges.
+    """AGG30: diarisation error of all clips together, with and without overlapped speech, by a sweep over segment edges.
 
     Both tables: clip, seg_pos, start, end (seconds), label. Time is counted in ticks of 10 ms; between two edges nothing
     changes, so each stretch between neighbouring edges is weighed by its ticks instead of visiting them. The span of a

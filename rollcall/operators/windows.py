@@ -218,3 +218,13 @@ def fill_missing(rows: DataFrame, fallback: DataFrame, keys: list[str], value: s
 def disjoint(a: Column, b: Column) -> Column:
     """SET7."""
     return ~F.arrays_overlap(a, b)
+
+
+def bag_union(*tables: DataFrame) -> DataFrame:
+    """SET5: all rows of all tables, by column name; columns that one lacks are null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
+def shot_order(movie: str = "movie", clip: str = "clip", shot: str = "shot_idx") -> list[Column]:
+    """SRT1: by movie, clip and the number of the shot; for presentation, as no operator relies on order."""
+    return [F.col(movie), F.col(clip), int_order(shot)]

@@ -91,3 +91,10 @@ def drop_near_seen(items: DataFrame, key: str, code: str = "code", pos: str = "p
         yield rows[keep][[key, pos, code]]
 
     return items.groupBy(key).applyInPandasWithState(f, f"{key} {kinds[key]}, {pos} {kinds[pos]}, {code} long", "kept array<bigint>", "append", GroupStateTimeout.NoTimeout)
+
+
+def frame_windows(frames: DataFrame, keys: list[str], time: str, size: str, step: str, late: str = "1 minute") -> DataFrame:
+    """STM6: rows per tumbling (step = size) or sliding window of event time, late rows dropped. time is a timestamp with zone."""
+    from pyspark.sql import functions as F
+
+    return frames.withWatermark(time, late).groupBy(F.window(time, size, step), *keys).agg(F.count("*").alias("n"))
