@@ -197,7 +197,24 @@ def q32_anchored_two_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = b.groupBy("character").agg(F.min("pos").alias("pos"))
     anchors, rest = b.join(first, ["character", "pos"], "left_semi"), b.join(first, ["character", "pos"], "left_anti")
     out = K.anchored_selection(rest, anchors, ["movie"], threshold=0.2, floor=0.1, quota=2)
-    return out.select("character", "pos", "image", F.round("own_sim", 5).alias("own_sim"), "rescued")
+    return out.select("character", "pos", "image", "own_sim", "rescued")
+
+
+def _sims(name: str, targets: str) -> str:
+    return f"""{name} AS (SELECT ch, pos, image, max(sim) FILTER (other = ch) AS own, max(sim) FILTER (other <> ch) AS rival
+  FROM (SELECT i.ch, i.pos, i.image, t.ch AS other, round(list_cosine_similarity(i.v, t.v), 6) AS sim FROM i, {targets} t) GROUP BY 1, 2, 3),
+best_{name} AS (SELECT * FROM {name} WHERE own IS NOT NULL AND (rival IS NULL OR round(own + 0.1::DOUBLE, 6) >= rival) QUALIFY row_number() OVER (PARTITION BY ch, image ORDER BY own DESC, pos) = 1)"""
+
+
+Q32 = f"""WITH b AS (SELECT label::VARCHAR AS ch, vec_id AS pos, vec_id % 20 AS image, embedding::DOUBLE[] AS v FROM embeddings),
+a AS (SELECT ch, min(pos) AS pos, arg_min(v, pos) AS v FROM b GROUP BY ch), i AS (SELECT * FROM b WHERE pos NOT IN (SELECT pos FROM a)),
+{_sims("one", "a")},
+m AS (SELECT ch, v FROM a WHERE ch IN (SELECT ch FROM i) UNION ALL SELECT i.ch, i.v FROM best_one JOIN i USING (ch, pos) WHERE own >= 0.2),
+p AS (SELECT ch, list(x ORDER BY k) AS v FROM (SELECT ch, k, avg(v[k]) AS x FROM m, range(1, 65) r(k) GROUP BY 1, 2) GROUP BY ch),
+{_sims("two", "p")},
+k AS (SELECT *, row_number() OVER (PARTITION BY ch ORDER BY own DESC, pos) AS r FROM best_two QUALIFY own >= 0.2 OR (r <= 2 AND own >= 0.1)),
+s AS (SELECT * FROM two WHERE own >= 0.1 AND ch NOT IN (SELECT ch FROM k) QUALIFY row_number() OVER (PARTITION BY ch ORDER BY own DESC, pos) = 1)
+SELECT ch AS character, pos, image, own AS own_sim, false AS rescued FROM k UNION ALL SELECT ch, pos, image, own, true FROM s"""
 
 
 def q33_visual_audio_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
