@@ -91,6 +91,28 @@ def q24_detection_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.detection_ap(m.crossJoin(F.broadcast(n)), ["threshold"]).select("threshold", F.round("ap", 6).alias("ap"))
 
 
+Q24 = f"""WITH RECURSIVE {BOXES_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY pos) AS id, (x1 - x0) * (y1 - y0) AS area FROM boxes),
+r AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, id) AS k FROM b),
+pairs AS (SELECT a.image, a.id AS i, b.id AS j, a.k AS ka, b.k AS kb, a.label = b.label AS same, b.line % 2 = 0 AND b.area >= 1296 AS is_gt,
+  greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) AS c, a.area + b.area AS s FROM r a JOIN r b ON a.image = b.image),
+u AS (SELECT *, c / (s - c + 1e-6::DOUBLE) AS iou FROM pairs),
+m AS (SELECT image, kb, list(ka) AS before FROM u WHERE ka < kb AND iou >= 0.5 GROUP BY 1, 2),
+n AS (SELECT image, 1 AS k, [1]::BIGINT[] AS kept FROM r WHERE k = 1
+  UNION ALL SELECT n.image, n.k + 1, CASE WHEN m.before IS NOT NULL AND list_has_any(m.before, n.kept) THEN n.kept ELSE list_append(n.kept, r.k) END
+  FROM n JOIN r ON r.image = n.image AND r.k = n.k + 1 LEFT JOIN m ON m.image = n.image AND m.kb = n.k + 1),
+f AS (SELECT image, arg_max(kept, k) AS kept FROM n GROUP BY image),
+p AS (SELECT r.*, row_number() OVER (PARTITION BY r.image ORDER BY score DESC, id) AS o FROM r JOIN f ON f.image = r.image AND list_contains(f.kept, r.k) WHERE area >= 1296),
+cand AS (SELECT image, i, list({{'j': j, 'iou': iou, 'same': same}} ORDER BY iou DESC, j) AS c FROM u WHERE is_gt AND iou > 0 GROUP BY 1, 2),
+q AS (SELECT p.image, p.o, p.score, p.id, coalesce(cand.c, []) AS c FROM p LEFT JOIN cand ON cand.image = p.image AND cand.i = p.id),
+t AS (SELECT round(0.5::DOUBLE + 0.05::DOUBLE * i, 2) AS t FROM range(10) x(i)),
+g AS (SELECT q.image, t, 0::BIGINT AS o, []::BIGINT[] AS used, 0 AS tp FROM q, t WHERE o = 1
+  UNION ALL SELECT image, t, o, CASE WHEN ok THEN list_append(used, best.j) ELSE used END, ok::INT FROM
+   (SELECT *, coalesce(best.iou >= t AND best.same, false) AS ok FROM
+    (SELECT g.image, g.t, q.o, g.used, list_filter(q.c, lambda x: NOT list_contains(g.used, x.j))[1] AS best FROM g JOIN q ON q.image = g.image AND q.o = g.o + 1))),
+h AS (SELECT g.t, g.tp, row_number() OVER w AS rank, sum(g.tp) OVER (w ROWS UNBOUNDED PRECEDING) AS tps FROM g JOIN q USING (image, o) WINDOW w AS (PARTITION BY g.t ORDER BY score DESC, image * 1000 + id))
+SELECT t AS threshold, round(sum(CASE WHEN tp = 1 THEN tps / rank::DOUBLE ELSE 0 END) / (SELECT count(*) FROM b WHERE line % 2 = 0 AND area >= 1296), 6) AS ap FROM h GROUP BY t"""
+
+
 def _der_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     s = segments(spark, sf_dir)
     truth = s.select("clip", "seg_pos", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), F.when(F.col("label") == "view", "Other").otherwise(F.col("label")).alias("label"))
@@ -182,6 +204,16 @@ def q29_greedy_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(top, "movie").select("movie", "speaker", "cluster", (F.col("cluster") == F.col("main")).alias("in_main"))
 
 
+Q29 = """WITH RECURSIVE e AS (SELECT label AS movie, vec_id AS speaker, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k, embedding::DOUBLE[] AS v FROM embeddings),
+n AS (SELECT a.movie, a.k, list(b.k) AS near FROM e a JOIN e b ON a.movie = b.movie AND b.k < a.k AND list_cosine_similarity(a.v, b.v) > 0.25 GROUP BY 1, 2),
+s AS (SELECT movie, 1 AS k, [0]::BIGINT[] AS c FROM e WHERE k = 1
+  UNION ALL SELECT s.movie, s.k + 1, list_append(s.c, coalesce(list_min(list_transform(n.near, lambda i: s.c[i])), list_max(s.c) + 1))
+  FROM s JOIN e ON e.movie = s.movie AND e.k = s.k + 1 LEFT JOIN n ON n.movie = s.movie AND n.k = s.k + 1),
+f AS (SELECT movie, arg_max(c, k) AS c FROM s GROUP BY movie), r AS (SELECT e.movie, e.speaker, f.c[e.k]::INT AS cluster FROM e JOIN f USING (movie)),
+m AS (SELECT movie, arg_max(cluster, (n, cluster)) AS main FROM (SELECT movie, cluster, count(*) AS n FROM r GROUP BY 1, 2) GROUP BY movie)
+SELECT r.movie, speaker, cluster, cluster = main AS in_main FROM r JOIN m USING (movie)"""
+
+
 def q30_agglomerative(spark: SparkSession, sf_dir: str) -> DataFrame:
     picked = K.dominant_cluster(_vectors(spark, sf_dir), ["movie"], "image", "speaker", cut=0.9, floor=0.0, quota=2)
     return picked.select("movie", "image", "speaker", F.round("sim", 4).alias("sim"))
