@@ -45,6 +45,15 @@ def rebatched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch
 
 
+def fetched(df: DataFrame) -> list[np.ndarray]:
+    """The columns, long or double, of a result whose size is bounded, on the driver; Arrow's copies are let go at once."""
+    table = df.toArrow()
+    out = [np.concatenate([np.asarray(c) for c in column.chunks]) if column.num_chunks else np.zeros(0, np.int64) for column in table.columns]
+    del table
+    pa.default_memory_pool().release_unused()
+    return out
+
+
 def bits_of(keys: DataFrame, column: str, log2_bits: int) -> np.ndarray:
     """A Bloom filter of 2 ** log2_bits bits with two probes over a long column.
 
@@ -52,9 +61,10 @@ def bits_of(keys: DataFrame, column: str, log2_bits: int) -> np.ndarray:
     """
     mask = (1 << log2_bits) - 1
     probes = F.explode(F.array(F.col(column).bitwiseAND(F.lit(mask)), F.shiftrightunsigned(F.col(column), 32).bitwiseAND(F.lit(mask)))).alias("p")
-    words = keys.select(probes).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toPandas()
+    words = keys.select(probes).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
+    w, b = fetched(words.select(F.col("w").cast("long"), "b"))
     out = np.zeros(1 << (log2_bits - 6), dtype=np.uint64)
-    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
+    out[w] = b.view(np.uint64)
     return out
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm import codes as C
-from rollcall.llm.common import bits_of, documents, i64, may_hold, rebatched
+from rollcall.llm.common import bits_of, documents, fetched, i64, may_hold, rebatched
 from rollcall.operators.graph import connected_components
 from rollcall.storage import materialize
 
@@ -73,9 +73,10 @@ def grade(n: np.ndarray) -> np.ndarray:
 
 def frequency_classes(docs: DataFrame, n: int) -> np.ndarray:
     """For each slot of the sketch how frequent its most frequent shingle may be, beyond what slots hold anyway; over all documents."""
-    slots = docs.select("text").mapInArrow(_frequencies(n), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    slots = docs.select("text").mapInArrow(_frequencies(n), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     counts = np.zeros(1 << SKETCH_BITS, dtype=np.float64)
-    counts[slots["slot"].to_numpy()] = slots["n"].to_numpy()
+    slot, n_slot = fetched(slots)
+    counts[slot] = n_slot
     usual = np.median(counts)
     return grade(counts - usual - 6 * np.sqrt(usual + 1))
 
@@ -128,8 +129,9 @@ def rare_first(docs: DataFrame, n: int, percent: int, hot: int = HOT) -> Order:
     order = Order(frequency_classes(docs, n), np.zeros(1 << HOT_BITS, dtype=np.uint8))
     ends = docs.select("text").mapInArrow(_rare_ends(n, percent, spark.sparkContext.broadcast(order)), "token long, n long")
     often = ends.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > hot)
-    slots = often.groupBy(F.col("token").bitwiseAND(F.lit((1 << HOT_BITS) - 1)).alias("slot")).agg(F.max("n").alias("n")).toPandas()
-    order.hot[slots["slot"].to_numpy(np.int64)] = grade(slots["n"].to_numpy(np.float64))
+    slots = often.groupBy(F.col("token").bitwiseAND(F.lit((1 << HOT_BITS) - 1)).alias("slot")).agg(F.max("n").alias("n"))
+    slot, most = fetched(slots)
+    order.hot[slot] = grade(most)
     return order
 
 

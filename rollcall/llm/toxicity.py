@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm import codes as C
-from rollcall.llm.common import documents, i64, prepare, rebatched
+from rollcall.llm.common import documents, fetched, i64, prepare, rebatched
 
 #: At most so many labelled rows are fitted on, chosen by a hash of their ids.
 MAX_LABELLED = 24_000
@@ -167,20 +167,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, pr
     try:
         train = few.where("fold < 4").select("text", "toxic")
         sizes = {r.toxic: r.n for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-        base = (sizes.get(1, 0) + 0.5) / (sum(sizes.values()) + 1.0)
+        base = (sizes.get(1, 0) + 0.5) / (sum(sizes.values()) + 2.0)
         counted = train.mapInArrow(_count, "level int, key long, parent long, n0 long, n1 long").groupBy("level", "key").agg(F.first("parent").alias("parent"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-        table = counted.where("n1 >= 2").toPandas()
+        level_of, key_of, parent_of, n0, n1 = fetched(counted.where("n1 >= 2").select(F.col("level").cast("long"), "key", "parent", "n0", "n1"))
         model = Model([], [])
-        prior_of: dict[int, float] = {}
+        known, known_share = np.zeros(0, np.int64), np.zeros(0)
         for level in range(len(LEVELS)):
-            t = table[table["level"] == level]
-            up = np.array([prior_of.get(p, base) for p in t["parent"]]) if level else np.full(len(t), base)
-            share = (t["n1"].to_numpy() + prior * up) / (t["n0"].to_numpy() + t["n1"].to_numpy() + prior)
-            prior_of = dict(zip(t["key"], share, strict=True))
-            keys = t["key"].to_numpy(np.int64).view(np.uint64)
-            order = np.argsort(keys)
-            model.keys.append(keys[order])
-            model.odds.append((np.log(share / (1 - share)) - np.log(base / (1 - base)))[order])
+            mine = np.flatnonzero(level_of == level)
+            mine = mine[np.argsort(key_of[mine].view(np.uint64))]
+            up = np.full(len(mine), base)
+            if len(known):
+                at = np.minimum(np.searchsorted(known.view(np.uint64), parent_of[mine].view(np.uint64)), len(known) - 1)
+                up = np.where(known[at] == parent_of[mine], known_share[at], base)
+            known, known_share = key_of[mine], (n1[mine] + prior * up) / (n0[mine] + n1[mine] + prior)
+            model.keys.append(known.view(np.uint64))
+            model.odds.append(np.log(known_share / (1 - known_share)) - np.log(base / (1 - base)))
         seen = few.where("fold = 4").select("text", "toxic").mapInArrow(_measure(model, drift), "toxic int, n long, best double, total double").toPandas()
     finally:
         few.unpersist()
