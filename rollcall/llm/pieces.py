@@ -21,7 +21,7 @@ from rollcall.llm import codes as C
 from rollcall.llm.common import documents, rebatched
 from rollcall.llm.tokens import vocabulary_path
 
-MARK, LONGEST, BLOCK = "▁", 24, 1 << 20
+MARK, LONGEST, BLOCK = "▁", 24, 1 << 21
 PENALTY = 10.0
 
 
@@ -55,23 +55,39 @@ class Pieces:
         size = np.array([len(p) for p in self.ids])
         ends = np.cumsum(size)
         h = C.spans(C.prefix(C.TABLE[np.frombuffer(blob, np.uint8)]), ends - size, ends)
-        order = np.argsort(h)
-        self.hashes, self.hash_ids = h[order], np.array(list(self.ids.values()))[order]
-        self.maybe = np.zeros(1 << 20, dtype=bool)
-        self.maybe[(h >> np.uint64(44)).astype(np.int64)] = True
+        # piece numbers by 20 bits of their hash; those whose place is taken go to the next table, by other bits
+        self.hash_of = np.zeros(self.size, dtype=np.uint64)
+        self.hash_of[list(self.ids.values())] = h
+        self.tables: list[tuple[np.uint64, np.ndarray]] = []
+        left = np.array(list(self.ids.values()))
+        for shift in (44, 22, 0):
+            slots = np.full(1 << 20, -1, dtype=np.int32)
+            at = self.places(self.hash_of[left], np.uint64(shift))
+            slots[at] = left
+            self.tables.append((np.uint64(shift), slots))
+            left = left[slots[at] != left]
+        if len(left):
+            raise ValueError("too many pieces share a place")
         used = set(blob)
         self.alone = np.array([c < 128 and c != 32 and c not in used for c in range(256)])  # such a byte is a unit by itself
         crossing = [p for p in self.ids if b" " in p.lstrip(b" ")]
         if crossing:
             raise ValueError("pieces with blanks inside are not supported")
 
+    @staticmethod
+    def places(h: np.ndarray, shift: np.uint64) -> np.ndarray:
+        return ((h >> shift) & np.uint64((1 << 20) - 1)).astype(np.int64)
+
     def lookup(self, h: np.ndarray) -> np.ndarray:
         """Piece id of each hash, -1 for none."""
-        out = np.full(len(h), -1, dtype=np.int64)
-        at = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
-        k = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
-        hit = self.hashes[k] == h[at]
-        out[at[hit]] = self.hash_ids[k[hit]]
+        shift, slots = self.tables[0]
+        out = slots[self.places(h, shift)].astype(np.int64)
+        out[self.hash_of[out] != h] = -1
+        for shift, slots in self.tables[1:]:
+            k = slots[self.places(h, shift)]
+            rare = np.flatnonzero(k >= 0)
+            hit = rare[self.hash_of[k[rare]] == h[rare]]
+            out[hit] = k[hit]
         return out
 
     def expand(self, char: bytes) -> list[int]:
@@ -187,7 +203,8 @@ def _encode_block(p: Pieces, raw: np.ndarray, offs: np.ndarray, n: int) -> Itera
     a, b = begin[first], end[first]
     border = np.append((raw & 0xC0) != 0x80, True)
     places = np.flatnonzero(border)
-    ca, cb = np.searchsorted(places, a), np.searchsorted(places, b)
+    rank = np.cumsum(border) - 1
+    ca, cb = rank[a], rank[b]
     length = cb - ca
     best, loss = np.zeros(len(a)), np.full(len(a), np.inf)
     ids: list[np.ndarray] = [np.zeros(0, np.int64)] * len(a)
