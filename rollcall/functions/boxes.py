@@ -133,9 +133,10 @@ def mono(left: Column, right: Column) -> Column:
     return F.zip_with(left, right, lambda a, b: (a + b) / 2)
 
 
-def linspace_indices(n: Column, points: int = 16) -> Column:
-    """SMP4, ARR4: `points` indices evenly spaced over 0..n, end excluded, truncated."""
-    return F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.floor(i * n / points).cast("int"))
+def linspace_indices(n: Column, points: int = 16, to_last: bool = False) -> Column:
+    """SMP4, ARR4: `points` indices evenly spaced over 0..n, end excluded, truncated; with to_last over 0..n - 1, end included."""
+    span, steps = (n - 1, points - 1) if to_last else (n, points)
+    return F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.floor(i * span / max(steps, 1)).cast("int"))
 
 
 def every_second(values: Column) -> Column:

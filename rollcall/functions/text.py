@@ -45,10 +45,10 @@ def drop_voice_suffix(role: Column, leading_space: bool = False) -> Column:
     return F.replace(role, F.lit(" (voice)"), F.lit("")) if leading_space else F.trim(F.replace(role, F.lit("(voice)"), F.lit("")))
 
 
-def voice_roles(credit: Column) -> Column:
-    """STR3, splitting form: roles of a credit with several, without `Additional voices`."""
-    parts = F.transform(F.split(credit, "/"), lambda x: F.trim(F.replace(x, F.lit("(voice)"), F.lit(""))))
-    return F.filter(parts, lambda x: (x != "") & (F.lower(x) != "additional voices"))
+def voiced_role(credit: Column) -> Column:
+    """STR3, cast form: the first of several roles, without `(voice)`; null if nothing is left or it is additional voices."""
+    role = F.trim(F.split_part(F.replace(credit, F.lit("(voice)"), F.lit("")), F.lit("/"), F.lit(1)))
+    return F.when((role != "") & ~F.contains(role, F.lit("Additional voices")), role)
 
 
 def title_id(link: Column) -> Column:
@@ -167,9 +167,9 @@ def character_category(categories: Column) -> Column:
 
 
 def repair_output(text: Column) -> Column:
-    """FLT31: empty where the model fell into its list form, else without braces and quotes around."""
-    clean = F.regexp_replace(F.translate(text, "{}", ""), r"^\s*'?summarized_AD'?\s*:\s*", "")
-    return F.when(F.contains(text, F.lit("1. Main characters:")), F.lit("")).otherwise(F.trim(clean))
+    """FLT31: without the wrapper of a one-entry dictionary and without braces; empty where the model fell into its list form."""
+    bare = F.replace(F.replace(text, F.lit("{'summarised_AD': '"), F.lit("")), F.lit("'}"), F.lit(""))
+    return F.when(F.contains(bare, F.lit("1. Main characters:")), F.lit("")).otherwise(F.translate(bare, "{}", ""))
 
 
 def unstable_output(text: Column, longest: int = 1500) -> Column:

@@ -176,14 +176,19 @@ def speaker(column: Column) -> Column:
     return F.coalesce(column, F.lit("Unknown"))
 
 
+def wav_path(video: Column) -> Column:
+    """PRJ6: mp4 becomes wav wherever it stands, folders included."""
+    return F.replace(video, F.lit("mp4"), F.lit("wav"))
+
+
 def audio_path(video: Column) -> Column:
-    """PRJ6: a clip's audio file."""
-    return F.replace(F.replace(video, F.lit("/vid/"), F.lit("/aud/")), F.lit("mp4"), F.lit("wav"))
+    """PRJ6: a clip's audio file in the sibling folder."""
+    return F.replace(F.replace(video, F.lit("/vid/"), F.lit("/aud/")), F.lit(".mp4"), F.lit(".wav"))
 
 
 def clean_audio_path(video: Column) -> Column:
     """PRJ6: a clip's cleaned audio file."""
-    return F.replace(F.replace(video, F.lit("/vid/"), F.lit("/wav/clean/")), F.lit("mp4"), F.lit("wav"))
+    return F.replace(F.replace(video, F.lit("/vid/"), F.lit("/wav/clean/")), F.lit(".mp4"), F.lit(".wav"))
 
 
 def in_subset(movie: Column) -> Column:

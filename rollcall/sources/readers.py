@@ -185,11 +185,12 @@ def api_pages(responses: DataFrame) -> DataFrame:
 
 
 def cast_list(responses: DataFrame) -> DataFrame:
-    """SRC20: (movie, actor, character, billing_pos) of stored cast answers, in billing order."""
+    """SRC20: (movie, actor, character, billing_pos) of stored cast answers, in billing order; nameless ones are dropped."""
     edge = "struct<node: struct<name: struct<nameText: struct<text: string>>, characters: array<struct<name: string>>>>"
-    edges = F.from_json(F.get_json_object("body", "$.data.title.credits.edges"), f"array<{edge}>")
+    edges = F.from_json(F.get_json_object("body", "$.data.title.cast.edges"), f"array<{edge}>")
     rows = responses.select("movie", F.posexplode(edges).alias("p", "e"))
-    rows = rows.select("movie", "p", F.col("e.node.name.nameText.text").alias("actor"), F.posexplode("e.node.characters").alias("q", "c"))
+    rows = rows.select("movie", "p", F.trim("e.node.name.nameText.text").alias("actor"), F.posexplode("e.node.characters").alias("q", "c"))
+    rows = rows.where("actor <> '' and c.name <> ''")
     return rows.select("movie", "actor", F.col("c.name").alias("character"), (F.col("p") * 1000 + F.col("q")).cast("long").alias("billing_pos"))
 
 

@@ -23,7 +23,7 @@ def test_names(spark):
     assert one(spark, X.normalise_name(s("A  Bug's Life"))) == ("bugs life",)
     assert one(spark, X.clean_name(s("Shrek (character)")), X.clean_name(s("A/B_C")), X.clean_name(s("(all)"))) == ("Shrek", "A-B C", "(all)")
     assert one(spark, X.title_id(s("x/title/tt0090633/")), X.title_id(F.lit(None).cast("string"))) == ("tt0090633", None)
-    assert one(spark, X.voice_roles(s("Red (voice) / Additional voices"))) == (["Red"],)
+    assert one(spark, X.voiced_role(s("Red (voice) / Blue")), X.voiced_role(s("Additional voices (voice)"))) == ("Red", None)
     assert one(spark, X.drop_voice_suffix(s("Red (voice)"), True)) == ("Red",)
 
 
@@ -48,7 +48,7 @@ def test_text_rules(spark):
     assert one(spark, X.character_list(F.array(s("A"), s("B")), F.array(s("red"), s("blue")))) == ("A (red), B (blue)",)
     assert one(spark, X.fill_template("{a} and {b}", a=s("x"), b=F.lit(None))) == ("x and ",)
     assert one(spark, X.stem(s("/a/b.c.mp4")), X.parent(s("/y/b.mp4")), X.basename(s("x"))) == ("b.c", "y", "x")
-    assert one(spark, X.repair_output(s("1. Main characters: x")), X.repair_output(s("{hi}"))) == ("", "hi")
+    assert one(spark, X.repair_output(s("1. Main characters: x")), X.repair_output(s("{'summarised_AD': 'hi}'}"))) == ("", "hi")
 
 
 def test_vectors(spark):
@@ -84,6 +84,7 @@ def test_boxes(spark):
 
 def test_time(spark):
     assert one(spark, linspace_indices(F.lit(32))) == ([2 * i for i in range(16)],)
+    assert one(spark, linspace_indices(F.lit(31), 4, to_last=True)) == ([0, 10, 20, 30],)
     assert one(spark, every_second(F.array(*map(F.lit, "abcd")))) == (["a", "c"],)
     assert one(spark, fps_grid(F.lit(10), F.lit(4))) == ([2, 6],)
     assert one(spark, time_to_frame(s(1.99), F.lit(25)), time_to_frame(s(9.0), F.lit(25), F.lit(100))) == (49, 99)

@@ -90,7 +90,7 @@ def test_expressions(spark):
     html = F.lit('<ul class="x trending y"><li><a href="/a">A</a><a href="/a">A</a></li></ul><a href="/z">')
     r = spark.range(1).select(readers.trending_links(html), readers.trending_links(F.lit("")), readers.first_description(F.lit("short"), F.lit("y" * 31))).first()
     assert tuple(r) == (["/a"], [], "y" * 31)
-    body = json.dumps({"data": {"title": {"credits": {"edges": [{"node": {"name": {"nameText": {"text": "Act"}}, "characters": [{"name": "A"}, {"name": "B"}]}}]}}}})
+    body = json.dumps({"data": {"title": {"cast": {"edges": [{"node": {"name": {"nameText": {"text": "Act"}}, "characters": [{"name": "A"}, {"name": "B"}]}}]}}}})
     cast = readers.cast_list(spark.createDataFrame([("m", body)], "movie string, body string")).orderBy("billing_pos").collect()
     assert [(r.actor, r.character) for r in cast] == [("Act", "A"), ("Act", "B")]
     pages = [(i, json.dumps({"query": {"pages": {str(k): {"title": f"t{k}"}, "-1": {"title": "no", "missing": ""}}}})) for i, k in enumerate((1, 2, 1))]
