@@ -5,9 +5,11 @@ from __future__ import annotations
 import base64
 import bisect
 import hashlib
+import operator
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -154,16 +156,16 @@ def open_range(file: str, offset: int, length: int) -> bytes:
 
 
 def lookup(index: DataFrame, urls: list[str]) -> list[dict]:
-    """All captures of a few URLs: the directory is searched for blocks, the blocks for lines, the archives for ranges."""
+    """All captures of a few URLs: directory, block and archive are each read only where they can hold one.
+
+    The blocks are sorted, so the key range of the URLs skips whole index files and row groups by their statistics; the
+    directory columns then name the blocks, in which lines are found by binary search, and the archives are read by range.
+    """
     keys = sorted({reversed_host_key(u) for u in urls})
     if not keys:
         return []
-    directory = index.select("first_key", "last_key").where((F.col("last_key") >= keys[0]) & (F.col("first_key") <= keys[-1]))
-    wanted = [F.lit(k).between(F.col("first_key"), F.col("last_key")) for k in keys]
-    hit = wanted[0]
-    for w in wanted[1:]:
-        hit = hit | w
-    assert set(directory.columns) <= set(index.columns)
+    hit = (F.col("last_key") >= keys[0]) & (F.col("first_key") <= keys[-1])
+    hit = hit & reduce(operator.or_, (F.lit(k).between(F.col("first_key"), F.col("last_key")) for k in keys))
     out = []
     for row in index.where(hit).select("block").collect():  # at most a block or two for each URL asked for
         lines = _unpack(bytes(row.block))
