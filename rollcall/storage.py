@@ -51,8 +51,10 @@ def clean() -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once per context."""
+    """Send this package to the executors' Python workers, once per context; batches of an operator with large rows end here."""
     sc = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) < 1000:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     if getattr(sc, "_rollcall_shipped", False):
         return
     root = Path(__file__).resolve().parent
