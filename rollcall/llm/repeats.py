@@ -162,7 +162,8 @@ def occurrences(docs: DataFrame, plan: Plan, repeated: str) -> DataFrame:
 
 def variants(docs: DataFrame, plan: Plan, blocks: DataFrame) -> DataFrame:
     """Blocks whose anchor has other blocks too, with their payload; only their windows may repeat beyond the block's own copies."""
-    several = blocks.groupBy("a").agg(F.count("*").alias("of_anchor")).where("of_anchor > 1")
+    # written, so that an anchor with very many blocks can be split in the join
+    several = materialize(blocks.groupBy("a").agg(F.count("*").alias("of_anchor")).where("of_anchor > 1"), "anchors")
     several = materialize(blocks.join(several, "a"), "variants")
     bits = docs.sparkSession.sparkContext.broadcast(bits_of(several.select(F.col("a").bitwiseXOR(F.col("body")).alias("k")), "k", plan.filter_bits))
     payload = documents(docs).select("text").mapInArrow(_payloads(plan, bits), f"{BLOCK_SCHEMA}, payload binary")
