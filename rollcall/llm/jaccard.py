@@ -346,6 +346,7 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     lists = shared.groupBy(F.col("r.doc").alias("r"), "doc", "n").agg(F.collect_list("token").alias("tokens"))
     placed = materialize(lists.join(comp, lists.doc == comp.node, "left").select("r", "doc", "n", "tokens", F.coalesce("component", "doc").alias("c")), "placed")
     mixed = placed.groupBy("r").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("r", F.ceil(F.col("size") / GROUP).cast("int").alias("blocks"))
+    mixed = materialize(mixed, "mixed")  # so that a group of very many documents can be split in the join
     cross = apart(placed.join(mixed, "r").join(reps.select("doc_id", "parts"), F.col("doc") == F.col("doc_id")), percent)
     cross = cross.select("x", "y").join(near.select("x", "y"), ["x", "y"], "left_anti")
     more = verified(docs, cross, reps, ngram, percent).where("linked").select(F.col("x").alias("src"), F.col("y").alias("dst"))
