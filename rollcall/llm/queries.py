@@ -23,6 +23,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_document_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for the whole text of every document whose id is divisible by 20, over all documents."""
+    docs = _table(spark, sf_dir, "documents")
+    return search(build_index(docs), docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text"), 10, block=2048)
+
+
 def op1_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents for every benchmark passage whose id is divisible by 20, over all documents."""
     passages = _table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text")

@@ -331,6 +331,36 @@ def test_search(spark, monkeypatch):
     assert search.search(search.build_index(table(spark, [])), spark.createDataFrame(queries, "query_id long, text string")).count() == 0
 
 
+def test_document_search(spark, tmp_path, monkeypatch):
+    """Every document with an id divisible by 20 is a query, with its whole text; long texts give what block-max WAND gives."""
+    from rollcall.llm import queries as Q
+
+    rng = random.Random(19)
+    vocabulary = [f"t{i}" for i in range(400)]
+    weights = [1 / (i + 1) for i in range(400)]
+    rows = [(i, " ".join(rng.choices(vocabulary, weights, k=rng.choice([3, 200, 300])))) for i in range(300)]
+    rows += [(300 + i, rows[20][1]) for i in range(15)] + [(320, None), (340, rows[40][1].upper())]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    out = defaultdict(list)
+    for r in Q.op1_document_search(spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+        out[r.query_id].append((r.doc_id, r.score))
+    assert set(out) == {i for i, t in rows if i % 20 == 0 and t}
+    bags = {i: Counter(w.lower() for w in words_of(t)) for i, t in rows}
+    n, mean = len(bags), sum(b.total() for b in bags.values()) / len(bags)
+    df = Counter(t for b in bags.values() for t in b)
+    for q, got in out.items():
+        scored = []
+        for i, b in bags.items():
+            s = sum(c * np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * b[t] * 2.2 / (b[t] + 1.2 * (0.25 + 0.75 * b.total() / mean)) for t, c in bags[q].items() if b[t])
+            scored += [(i, round(float(s), 6))] if s else []
+        want = sorted(scored, key=lambda x: (-x[1], x[0]))[:10]
+        assert [s for _, s in got] == pytest.approx([s for _, s in want])
+        assert [i for i, _ in got] == [i for i, _ in want]
+    monkeypatch.setattr(search, "LONG", 1 << 30)
+    again = Q.op1_document_search(spark, str(tmp_path)).collect()
+    assert sorted((r.query_id, r.doc_id, r.score) for r in again) == sorted((q, i, s) for q, x in out.items() for i, s in x)
+
+
 def test_warc(spark, tmp_path):
     pages = [(1, "http://www.Ex.org/a#f", "<p>x\r\n\r\ny</p>"), (2, "http://b.ex.org/", "<p>x\r\n\r\ny</p>"), (3, None, None), (4, "http://ex.org/a", ""), (5, "http://ex.org:80/a?q=1", "🙂"), (None, "u", "🙂"), (7, "http://c.org", "é" * 5000)]
     df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, digest string")
