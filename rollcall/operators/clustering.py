@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from rollcall.functions.vectors import cosine
 from rollcall.operators.aggregates import centroid, largest_cluster, prototype, widest_cluster
 from rollcall.operators.windows import threshold_or_quota
-from rollcall.storage import ship
+from rollcall.storage import materialize, ship
 
 LARGEST_GROUP = 20_000
+#: Codes of a group that one task settles; of larger groups, codes that meet in a task are two blocks of so many on average.
+ALONE, MEET = 4096, 1024
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -120,23 +122,70 @@ def near_dup_keep(codes: np.ndarray, most: int = 6) -> np.ndarray:
     return keep
 
 
+def _near(rows: DataFrame, keys: list[str], code: str, pos: str, most: int, earlier: bool) -> DataFrame:
+    """Rows within `most` bits of an earlier row of their group or, if not earlier, rows not kept within that of a kept one.
+
+    Codes that near have one of most + 1 segments of bits in common. Rows meet by segment; those that share one are split
+    into blocks, every two of which meet in a task, and no pairs leave it.
+    """
+    edge = [64 * i // (most + 1) for i in range(most + 2)]
+    parts = [F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(code, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for i, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True))]
+    placed = rows.withColumn("_s", F.explode(F.array(*parts)))
+    on = [*keys, "_s"]
+    sizes = materialize(placed.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1").select(*on, F.ceil(F.col("n") / MEET).cast("int").alias("_n")), "segments")
+    met = placed.join(sizes, on).withColumn("_block", F.pmod(F.xxhash64(code), F.col("_n")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    met = met.withColumns({"_b1": F.least("_block", "_other"), "_b2": F.greatest("_block", "_other")}).drop("_other", "_n")
+
+    def f(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values([pos, code])
+        c, block, kept = g[code].to_numpy(np.int64).view(np.uint64), g["_block"].to_numpy(), g["_kept"].to_numpy(bool)
+        across = bool(g["_b1"].iloc[0] != g["_b2"].iloc[0])
+        at, hit = np.arange(len(g)), np.zeros(len(g), dtype=bool)
+        for x in np.split(at, range(256, len(g), 256)):
+            ok = np.bitwise_count(c[x, None] ^ c) <= most
+            ok &= x[:, None] < at if earlier else kept[x, None] & ~kept
+            if across:
+                ok &= block[x, None] != block
+            hit |= ok.any(axis=0)
+        return g.loc[hit, columns]
+
+    columns = rows.columns
+    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema.fields)
+    return met.groupBy(*on, "_b1", "_b2").applyInPandas(f, schema).distinct()
+
+
 def near_dup_greedy(df: DataFrame, keys: list[str], code: str, pos: str, most: int = 6) -> DataFrame:
     """ITR11: rows that stay, per group, when near duplicates of kept rows go, in the order of pos.
 
-    Greedy removal depends on order within a group only, and a group is one character's images. Equal codes are dropped
-    first, with combining before the shuffle, so copies do not count towards the group's size.
+    Equal codes are dropped first, with combining before the shuffle, so copies do not count towards the group's size.
+    Groups of any size work: in rounds, codes without an earlier near one stay and those near to these go, until what is
+    left of each group fits one task. A round needs no more memory for larger groups; there are as many rounds as chains
+    of near codes in the order of pos are long, at most.
     """
-    ship(df.sparkSession)
+    spark = df.sparkSession
+    ship(spark)
     first = df.groupBy(*keys, code).agg(F.min(pos).alias(pos))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in first.schema.fields)
+    first = materialize(first, "codes")
+    names, ids = first.columns, [*keys, code]
+    large = first.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > ALONE).drop("n")
+    large = materialize(large, "large")
+    small, left, done = first.join(large, keys, "left_anti"), first.join(large, keys, "left_semi"), []
+    while (left.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > ALONE:
+        late = materialize(_near(left.withColumn("_kept", F.lit(False)), keys, code, pos, most, True).select(*names), "late")
+        stays = materialize(left.join(late, ids, "left_anti"), "stays")
+        done.append(stays)
+        both = stays.withColumn("_kept", F.lit(True)).unionByName(late.withColumn("_kept", F.lit(False)))
+        left = materialize(late.join(_near(both, keys, code, pos, most, False).select(*ids), ids, "left_anti"), "left")
 
     def f(g: pd.DataFrame) -> pd.DataFrame:
-        if len(g) > 10 * LARGEST_GROUP:
-            raise ValueError(f"a group has {len(g)} codes; at most {10 * LARGEST_GROUP} fit a task")
-        g = g.sort_values(pos)
+        g = g.sort_values([pos, code])
         return g[near_dup_keep(g[code].to_numpy(np.int64).view(np.uint64), most)]
 
-    return df.join(first.groupBy(*keys).applyInPandas(f, schema), [*keys, code, pos], "left_semi")
+    kept = small.unionByName(left).groupBy(*keys).applyInPandas(f, schema)
+    for stays in done:
+        kept = kept.unionByName(stays)
+    return df.join(kept, [*keys, code, pos], "left_semi")
 
 
 def sign_bits(hashes: pd.Series) -> pd.Series:

@@ -258,6 +258,26 @@ def test_near_dups(spark):
     assert code["a b c"] == code["c a b"] != code[None]
 
 
+def test_near_dups_of_large_groups(spark, monkeypatch):
+    """More codes than a task may take: chains of near codes, a segment that all share, and groups of very different size."""
+    for name, n in (("LARGEST_GROUP", 5), ("ALONE", 7), ("MEET", 9)):
+        monkeypatch.setattr(K, name, n, raising=False)
+    rng = np.random.default_rng(31)
+    base = rng.integers(-(1 << 63), 1 << 63, 25)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(62, rng.integers(0, 8), replace=False)) for _ in range(400)], dtype=np.int64)
+    made = {0: base[rng.integers(0, 25, 400)] ^ flips, 1: np.array([(1 << (4 * i)) - 1 for i in range(16)], dtype=np.int64), 2: np.array([5], dtype=np.int64), 3: rng.permutation(300) << 3}
+    data = [(k, int(c), p) for k, codes in made.items() for p, c in enumerate(codes)]
+    got = rows(K.near_dup_greedy(spark.createDataFrame(data, "k int, code long, pos int"), ["k"], "code", "pos"), "k", "pos")
+    want = []
+    for k, codes in made.items():
+        kept = []
+        for p, c in enumerate(codes.tolist()):
+            if all(((c ^ x) & ((1 << 64) - 1)).bit_count() > 6 for x in kept):
+                kept.append(c)
+                want.append((k, p))
+    assert sorted(got) == want and 25 <= len(want) < 400
+
+
 def test_anchored_selection(spark):
     vec = lambda *x: [float(v) for v in x]
     anchors = spark.createDataFrame([("m", "a", vec(1, 0, 0)), ("m", "b", vec(0, 1, 0))], "movie string, character string, feature array<double>")
