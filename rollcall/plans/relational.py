@@ -189,6 +189,15 @@ Q17 = f"""WITH {SEGMENTS_SQL}, p AS (SELECT clip, unnest(range(min(start), min(s
 SELECT p.clip, p.t, arg_max(label, seg_pos) AS label FROM p LEFT JOIN segments s ON s.clip = p.clip AND p.t >= s.start AND p.t < s.fin GROUP BY 1, 2"""
 
 
+def q39_points_of_whole_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels every ten minutes from the first start to the last end of each clip; q17 is the first day of that."""
+    s = segments(spark, sf_dir)
+    span = s.groupBy("clip").agg(F.min("start").alias("t0"), F.max("end").alias("t1"))
+    points = span.select("clip", F.explode(F.sequence(F.col("t0"), F.greatest("t0", "t1"), F.lit(600).cast("long"))).alias("t"))
+    points = points.hint("merge")  # Spark takes the grid for as small as its clips and would broadcast it
+    return J.label_at(points, s, ["clip"], "t", "start", "end", "label", "seg_pos", bucket=14400)
+
+
 def q18_dense_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.lit("m").alias("movie"), (F.col("o_custkey") % 50).alias("clip"), F.date_diff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).alias("frame"), "o_orderkey")
     pred = o.groupBy("movie", "clip", "frame").agg(F.array_sort(F.collect_list("o_orderkey")).alias("boxes"))

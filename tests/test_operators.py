@@ -278,6 +278,25 @@ def test_near_dups_of_large_groups(spark, monkeypatch):
     assert sorted(got) == want and 25 <= len(want) < 400
 
 
+def test_points_of_whole_clips(spark, tmp_path):
+    import datetime as dt
+
+    from rollcall.plans import queries
+
+    events = [(1, 10, 0, "a", 30.0), (1, 11, 20, "b", 25.0), (1, 12, 29 * 1440, "c", 61.5), (2, 13, 7, "a", 0.0), (2, 14, 4000, "b", 10.0), (3, 15, 5, "c", -3.0)]
+    t = dt.datetime(2024, 1, 1)
+    made = [(u, e, t + dt.timedelta(minutes=m), k, v) for u, e, m, k, v in events]
+    spark.createDataFrame(made, "user_id long, event_id long, ts timestamp_ntz, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    want = []
+    for clip in (1, 2, 3):
+        mine = [(m * 60, m * 60 + int(v * 60), e, k) for u, e, m, k, v in events if u == clip]
+        first = min(x[0] for x in mine)
+        for at in range(first, max(first, *(x[1] for x in mine)) + 1, 600):
+            want.append((clip, at, max(((e, k) for s, f, e, k in mine if s <= at < f), default=(0, None))[1]))
+    got = queries()["q39_points_of_whole_clips"](spark, str(tmp_path))
+    assert rows(got, "clip", "t", "label") == sorted(want) and (1, 29 * 86400, "c") in want
+
+
 def test_anchored_selection(spark):
     vec = lambda *x: [float(v) for v in x]
     anchors = spark.createDataFrame([("m", "a", vec(1, 0, 0)), ("m", "b", vec(0, 1, 0))], "movie string, character string, feature array<double>")
