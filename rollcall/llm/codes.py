@@ -1,11 +1,14 @@
 """Vectorised hashing of the words and bytes of whole Arrow batches.
 
-Every hash is a polynomial over the ring of 64-bit integers, taken from prefix sums: a span's hash is the difference of
-two prefix sums, shifted back to exponent 0, and then mixed. Bytes go through a random table first.
+Two kinds of hashes serve two purposes. What decides that things are equal (word_codes, tuples, digests) is not linear in
+its input: words and word tuples go through two-lane mixing rounds, long words and blocks through BLAKE2. What only finds
+candidates (prefix, spans, windows) is a polynomial over the ring of 64-bit integers, taken from prefix sums. Texts can be
+made whose polynomials collide (Thue-Morse sequences do for any base), so equality is never read off these.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +31,40 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-LOWER = TABLE[[c + 32 if 65 <= c <= 90 else c for c in range(256)]]
+LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint8)
+_KEYS = [np.uint64(int(x) | 1) for x in mix(np.arange(300, 304, dtype=np.uint64) * np.uint64(_BASE))]
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+#: Longer words are hashed by BLAKE2, one by one.
+LONG_WORD = 64
+
+
+def join(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each pair, order kept."""
+    return mix((mix(x + _KEYS[0]) ^ y) + ((y << np.uint64(32)) | (y >> np.uint64(32))) * _KEYS[1])
+
+
+def tuples(values: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every n consecutive values, joined from tuples of powers of two."""
+    m = len(values) - n + 1
+    if m <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    out, at, size = None, 0, 1
+    while True:
+        if n & size:
+            out = values[at : at + m] if out is None else join(out, values[at : at + m])
+            at += size
+        size *= 2
+        if size > n:
+            return out
+        values = join(values[: -size // 2], values[size // 2 :])
+
+
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128 bits of BLAKE2 of the bytes of data[start:end] for each pair, as two columns."""
+    width, raw = data.itemsize, memoryview(np.ascontiguousarray(data)).cast("B")
+    of = hashlib.blake2b
+    out = b"".join([of(raw[a:b], digest_size=16).digest() for a, b in zip((starts * width).tolist(), (ends * width).tolist(), strict=True)])
+    return np.frombuffer(out, dtype=np.uint64).reshape(-1, 2)
 
 
 def powers(n: int, base: int = _BASE) -> np.ndarray:
@@ -48,7 +84,7 @@ def prefix(values: np.ndarray) -> np.ndarray:
 
 
 def spans(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of the values [start, end) for each pair, from prefix()."""
+    """Rabin-Karp hash of the values [start, end) for each pair, from prefix(); it finds candidates."""
     back = powers(len(sums), _INVERSE)
     return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
@@ -87,20 +123,34 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
 
 
-def word_codes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = TABLE) -> np.ndarray:
-    """A 64-bit hash of each word. Long inputs are hashed in stretches that begin with a word, to bound memory."""
-    out = np.zeros(len(starts), dtype=np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, side="right")))
-        a, b = starts[i], ends[j - 1]
-        out[i:j] = spans(prefix(table[raw[a:b]]), starts[i:j] - a, ends[i:j] - a)
-        i = j
+def word_codes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word, of its A-Z lower-cased if asked: eight bytes a round in two lanes."""
+    size = ends - starts
+    if not len(size):
+        return np.zeros(0, dtype=np.uint64)
+    padded = np.zeros(len(raw) + 8, dtype=np.uint8)
+    padded[: len(raw)] = LOWER[raw] if lower else raw
+    eight = np.ndarray((len(raw) + 1,), dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from every place on
+    x = eight[starts] & _MASKS[np.minimum(size, 8)]
+    a = mix(x ^ _KEYS[0])
+    b = mix((a ^ _KEYS[2]) + x * _KEYS[1])
+    more = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+    k = 8
+    while len(more):
+        x = eight[starts[more] + k] & _MASKS[np.minimum(size[more] - k, 8)]
+        a[more] = high = mix(a[more] ^ x)
+        b[more] = mix((b[more] ^ high) + x * _KEYS[1])
+        k += 8
+        more = more[size[more] > k]
+    out = mix(a + b * _KEYS[3] + size.astype(np.uint64))
+    more = np.flatnonzero(size > LONG_WORD)
+    if len(more):
+        out[more] = digests(padded, starts[more], ends[more])[:, 0]
     return out
 
 
 def windows(values: np.ndarray, n: int) -> np.ndarray:
-    """Rabin-Karp hash of every n consecutive values."""
+    """Rabin-Karp hash of every n consecutive values; it finds candidates."""
     m = len(values) - n + 1
     if m <= 0:
         return np.zeros(0, dtype=np.uint64)

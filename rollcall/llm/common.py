@@ -54,11 +54,22 @@ def fetched(df: DataFrame) -> list[np.ndarray]:
     return out
 
 
-def bits_of(keys: DataFrame, column: str, log2_bits: int) -> np.ndarray:
-    """A Bloom filter of 2 ** log2_bits bits with two probes over a long column.
+#: log2 of the bits of the largest filter: 16 MB. Some 11 million keys have twelve bits each in it; beyond that it lets
+#: more and more through, which costs shuffle but no results.
+MOST_BITS = 27
 
-    Its size is fixed whatever the input, so it may be broadcast; when it fills up it only lets more rows through.
+
+def filter_size(n: int) -> int:
+    """log2 of a filter's bits: at least twelve bits a key, within what may be broadcast."""
+    return min(MOST_BITS, max(16, (12 * n).bit_length()))
+
+
+def bits_of(keys: DataFrame, column: str, log2_bits: int | None = None) -> np.ndarray:
+    """A Bloom filter with two probes over a long column, of 2 ** log2_bits bits or as many as the count of keys asks for.
+
+    Its size is bounded whatever the input, so it may be broadcast; when it fills up it only lets more rows through.
     """
+    log2_bits = log2_bits or filter_size(keys.count())
     mask = (1 << log2_bits) - 1
     probes = F.explode(F.array(F.col(column).bitwiseAND(F.lit(mask)), F.shiftrightunsigned(F.col(column), 32).bitwiseAND(F.lit(mask)))).alias("p")
     words = keys.select(probes).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))

@@ -38,12 +38,15 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarra
     for i, j in C.blocks(offsets):
         part, offs = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         starts, ends, offs = C.word_spans(part, offs)
-        words = C.word_codes(part, starts, ends, C.LOWER)
+        words = C.word_codes(part, starts, ends, lower=True)
         size = np.diff(offs)
         count = np.where(size >= n, size - n + 1, np.minimum(size, 1))
         begin = C.ragged(offs[:-1], count)
         doc = np.repeat(np.arange(j - i), count)
-        h = C.spans(C.prefix(words), begin, begin + np.minimum(size, n)[doc])
+        h, long = words[begin], np.minimum(size, n)[doc]
+        for k in range(1, n):
+            go = np.flatnonzero(long > k)
+            h[go] = C.join(h[go], words[begin[go] + k])
         edge = np.searchsorted(doc, np.arange(j - i + 1)).tolist()
         for a, b in zip(edge[:-1], edge[1:], strict=True):
             h[a:b].sort()
@@ -144,7 +147,7 @@ def _digests(n: int, percent: int, order):
             for i, j, h, offs in shingle_sets(batch.column(1), n):
                 size = np.diff(offs)
                 doc = np.repeat(np.arange(j - i), size)
-                both = [C.spans(C.prefix(x), offs[:-1], offs[1:]) for x in (h, C.mix(h ^ np.uint64(0x5851F42D4C957F2D)))]
+                both = C.digests(h, offs[:-1], offs[1:]).T
                 parts = np.bincount(doc * PARTS + (C.mix(h) >> np.uint64(56)).astype(np.int64), minlength=(j - i) * PARTS)
                 parts = np.minimum(parts, 255).astype(np.uint8)  # capped counts differ by less, so the filter stays safe
                 key, ends = _first(order.value.keys(h), offs, prefix_length(size, percent))

@@ -2,7 +2,7 @@
 
 Every window of N symbols holds an anchor: the smallest hash among its k-grams. Equal windows have equal anchors at
 equal offsets, so a window whose anchor occurs once cannot repeat. Anchors are counted first (a fiftieth of all
-positions); a filter of fixed size tells the second scan which windows are worth sending. Windows with the same anchor
+positions); a filter of bounded size tells the second scan which windows are worth sending. Windows with the same anchor
 lie side by side and travel as one block. Copies of a block are combined before the shuffle, and only blocks that
 differ from another block of their anchor need their windows compared one by one.
 """
@@ -24,12 +24,12 @@ from rollcall.storage import materialize
 
 @dataclass(frozen=True)
 class Plan:
-    """unit: word or byte; window: symbols; gram: symbols of an anchor; filter_bits: log2 of the broadcast filter's bits."""
+    """unit: word or byte; window: symbols; gram: symbols of an anchor; filter_bits: log2 of the broadcast filters' bits, by default from the count of keys."""
 
     unit: str
     window: int
     gram: int
-    filter_bits: int = 25
+    filter_bits: int | None = None
 
 
 @dataclass
@@ -45,6 +45,10 @@ class Runs:
     symbols: np.ndarray
     raw: np.ndarray
 
+    def body(self, plan: Plan, hit: np.ndarray) -> np.ndarray:
+        """Digests of the content, words or bytes, of some blocks."""
+        return C.digests(self.symbols if plan.unit == "word" else self.raw, self.first[hit], self.first[hit] + self.count[hit] + plan.window - 1)
+
 
 def stretches(column: pa.Array, plan: Plan) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(symbols, offsets, rows, base, bytes) with at most about a million symbols each; longer documents overlap by a window less one."""
@@ -114,10 +118,10 @@ def _blocks(plan: Plan, bits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                 if not len(hit):
                     continue
                 first, count = r.first[hit], r.count[hit]
-                body = C.spans(C.prefix(r.symbols), first, first + count + plan.window - 1)
+                body = r.body(plan, hit)
                 doc = pa.array(r.doc[hit])
                 yield pa.RecordBatch.from_arrays(
-                    [i64(r.key[hit]), i64(r.at[hit] - first), i64(count), i64(body), batch.column(0).take(doc), batch.column(2).take(doc), i64(first + r.base[hit])],
+                    [i64(r.key[hit]), i64(r.at[hit] - first), i64(count), i64(body[:, 0]), i64(body[:, 1]), batch.column(0).take(doc), batch.column(2).take(doc), i64(first + r.base[hit])],
                     names=[*BLOCK, "doc_id", "text_key", "start"],
                 )
 
@@ -130,24 +134,25 @@ def _payloads(plan: Plan, bits) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(batches):
             for r in runs(batch.column(0), plan):
-                end = r.first + r.count + plan.window - 1
-                body = C.spans(C.prefix(r.symbols), r.first, end)
-                hit = np.flatnonzero(may_hold(bits.value, r.key ^ body))
-                hit = hit[np.unique(r.key[hit] ^ body[hit], return_index=True)[1]]
+                hit = np.flatnonzero(may_hold(bits.value, r.key))
                 if not len(hit):
                     continue
+                body = r.body(plan, hit)
+                once = np.unique(body, axis=0, return_index=True)[1]
+                hit, body = hit[once], body[once]
                 first, count = r.first[hit], r.count[hit]
                 if plan.unit == "word":
-                    payload = binaries(C.windows(r.symbols, plan.window).view(np.uint8), first * 8, (first + count) * 8)
+                    payload = binaries(C.tuples(r.symbols, plan.window).view(np.uint8), first * 8, (first + count) * 8)
                 else:
-                    payload = binaries(r.raw, first, end[hit])
-                yield pa.RecordBatch.from_arrays([i64(r.key[hit]), i64(r.at[hit] - first), i64(count), i64(body[hit]), payload], names=[*BLOCK, "payload"])
+                    payload = binaries(r.raw, first, first + count + plan.window - 1)
+                yield pa.RecordBatch.from_arrays([i64(r.key[hit]), i64(r.at[hit] - first), i64(count), i64(body[:, 0]), i64(body[:, 1]), payload], names=[*BLOCK, "payload"])
 
     return f
 
 
-BLOCK = ["a", "d", "n", "body"]
-BLOCK_SCHEMA = "a long, d long, n long, body long"
+#: A block: its anchor's hash, symbols before the anchor, windows, and 128 bits of BLAKE2 of its content.
+BLOCK = ["a", "d", "n", "body", "body2"]
+BLOCK_SCHEMA = "a long, d long, n long, body long, body2 long"
 
 
 def occurrences(docs: DataFrame, plan: Plan, repeated: str) -> DataFrame:
@@ -156,16 +161,16 @@ def occurrences(docs: DataFrame, plan: Plan, repeated: str) -> DataFrame:
     few = documents(docs)
     anchors = few.select("doc_id", "text").mapInArrow(_anchors(plan), "a long, low long, high long, c long")
     again = anchors.groupBy("a").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("c").alias("c")).where(repeated)
-    bits = spark.sparkContext.broadcast(bits_of(again.select("a"), "a", plan.filter_bits))
+    bits = spark.sparkContext.broadcast(bits_of(materialize(again.select("a"), "again"), "a", plan.filter_bits))
     return materialize(few.mapInArrow(_blocks(plan, bits), f"{BLOCK_SCHEMA}, doc_id long, text_key long, start long"), "blocks")
 
 
 def variants(docs: DataFrame, plan: Plan, blocks: DataFrame) -> DataFrame:
     """Blocks whose anchor has other blocks too, with their payload; only their windows may repeat beyond the block's own copies."""
     # written, so that an anchor with very many blocks can be split in the join
-    several = materialize(blocks.groupBy("a").agg(F.count("*").alias("of_anchor")).where("of_anchor > 1"), "anchors")
-    several = materialize(blocks.join(several, "a"), "variants")
-    bits = docs.sparkSession.sparkContext.broadcast(bits_of(several.select(F.col("a").bitwiseXOR(F.col("body")).alias("k")), "k", plan.filter_bits))
+    anchors = materialize(blocks.groupBy("a").agg(F.count("*").alias("of_anchor")).where("of_anchor > 1"), "anchors")
+    several = materialize(blocks.join(anchors, "a"), "variants")
+    bits = docs.sparkSession.sparkContext.broadcast(bits_of(anchors, "a", plan.filter_bits))
     payload = documents(docs).select("text").mapInArrow(_payloads(plan, bits), f"{BLOCK_SCHEMA}, payload binary")
     return several.join(payload.groupBy(*BLOCK).agg(F.first("payload").alias("payload")), BLOCK)
 
@@ -189,10 +194,10 @@ def _span_list(row: pa.Scalar) -> np.ndarray | None:
 REMOVED = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
 
 
-def finish(docs: DataFrame, spans: DataFrame, digest: Callable[[str | None, list[list[int]]], tuple], kinds: list[tuple[str, pa.DataType, str]], filter_bits: int = 23, carry: Sequence[str] = ()) -> DataFrame:
+def finish(docs: DataFrame, spans: DataFrame, digest: Callable[[str | None, list[list[int]]], tuple], kinds: list[tuple[str, pa.DataType, str]], filter_bits: int | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, the columns of docs named in carry, and the digest of every text and its merged intervals.
 
-    spans: doc_id, text_key, s, e. Texts that a filter of fixed size rules out are settled where they are read; only the
+    spans: doc_id, text_key, s, e. Texts that a filter of bounded size rules out are settled where they are read; only the
     others are shuffled to meet their intervals. kinds: name, Arrow type and Spark type of the digest's columns, which
     are kept apart from carried columns of the same name until the end.
     """

@@ -36,8 +36,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = 8) -> Data
     blocks = occ.groupBy(*BLOCK).agg(F.min("doc_id").alias("owner"))
     # windows of blocks that differ from another block of their anchor, one row each, counted by their hash
     each = variants(docs, plan, blocks).select(*BLOCK, "owner", F.posexplode(F.expr("transform(sequence(0, int(n) - 1), i -> substring(payload, 8 * i + 1, 8))")).alias("j", "h"))
-    first = each.groupBy("h").agg(F.min("owner").alias("first"))
-    earlier = each.join(first, "h").where("first < owner").groupBy(*BLOCK).agg(F.collect_list("j").alias("earlier"))
+    each = each.withColumn("k", F.col("d") - F.col("j"))  # equal windows hold the same anchor at the same place
+    first = each.groupBy("h", "a", "k").agg(F.min("owner").alias("first"))
+    earlier = each.join(first, ["h", "a", "k"]).where("first < owner").groupBy(*BLOCK).agg(F.collect_list("j").alias("earlier"))
     # one row per distinct block; written, so that a block with very many occurrences can be split in the join below
     known = materialize(blocks.select(*BLOCK, "owner").join(earlier, BLOCK, "left"), "owners")
     whole = F.array(F.struct(F.col("start").alias("s"), (F.col("start") + F.col("n") + window - 1).alias("e")))

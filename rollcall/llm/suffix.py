@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 
 from rollcall.llm import codes as C
 from rollcall.llm.common import i64, rebatched
-from rollcall.llm.repeats import BLOCK, REMOVED, Plan, finish, occurrences, variants
+from rollcall.llm.repeats import BLOCK, BLOCK_SCHEMA, REMOVED, Plan, finish, occurrences, variants
 from rollcall.storage import materialize
 
 WINDOW = 200
 KINDS = [("n_bytes", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("n_spans", pa.int64(), "long"), ("kept_sha256", pa.string(), "string"), ("removed", REMOVED, "array<struct<s: long, e: long>>")]
 RUN_BYTES = 32 << 20
+#: What a run says of a block beside its bytes: the columns of a block and its copies.
+META = len(BLOCK) + 1
+#: Payload bytes of a bucket, which one task merges in memory.
+BUCKET_BYTES = 4 << 20
 #: Anchors with more blocks than this have their windows grouped by value over many tasks instead of sorted in one.
 HOT = 4096
 
@@ -116,9 +120,9 @@ def _sorted_runs(buckets: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for batch in rebatched(batches):
-            meta = np.stack([np.asarray(batch.column(i)) for i in range(5)], axis=1)
-            parts.append((meta, batch.column(5).to_pylist()))
-            size += batch.column(5).nbytes
+            meta = np.stack([np.asarray(batch.column(i)) for i in range(META)], axis=1)
+            parts.append((meta, batch.column(META).to_pylist()))
+            size += batch.column(META).nbytes
             if size > RUN_BYTES:
                 yield from flush(parts)
                 parts, size = [], 0
@@ -134,7 +138,7 @@ def _repeated_windows(window: int):
     def f(table: pa.Table) -> pa.Table:
         metas, lefts, runs, n = [], [], [], 0
         for row in table.to_pylist():
-            meta = np.frombuffer(row["meta"], np.int64).reshape(-1, 5)
+            meta = np.frombuffer(row["meta"], np.int64).reshape(-1, META)
             at = 0
             for d in meta[:, 1].tolist():
                 lefts.append(row["body"][at : at + d])
@@ -153,7 +157,7 @@ def _repeated_windows(window: int):
         left = np.array([0] + [common_prefix(keys[a], keys[b]) for a, b in zip(by_left, by_left[1:], strict=False)], np.int64)
         right[0] = left[0] = -1
         by_left = np.array(by_left)
-        d, size, copies = meta[:, 1], meta[:, 2], meta[:, 4]
+        d, size, copies = meta[:, 1], meta[:, 2], meta[:, META - 1]
         found, left_class = [], np.zeros(n, np.int64)
         for t in range(int(d.max()) + 1):  # bytes of the window before the anchor
             member = np.flatnonzero((d >= t) & (d - t < size))
@@ -170,10 +174,10 @@ def _repeated_windows(window: int):
         found = np.concatenate(found)
         found = found[np.lexsort((found[:, 1], found[:, 0]))]
         if not len(found):
-            return pa.table([pa.array([], pa.int64())] * 6, names=[*BLOCK, "j", "m"])
+            return pa.table([pa.array([], pa.int64())] * (len(BLOCK) + 2), names=[*BLOCK, "j", "m"])
         new = np.flatnonzero(np.concatenate([[True], (np.diff(found[:, 0]) != 0) | (np.diff(found[:, 1]) != 1)]))
         rows = meta[found[new, 0]]
-        return pa.table([i64(rows[:, i]) for i in range(4)] + [i64(found[new, 1]), i64(np.diff(np.append(new, len(found))))], names=[*BLOCK, "j", "m"])
+        return pa.table([i64(rows[:, i]) for i in range(len(BLOCK))] + [i64(found[new, 1]), i64(np.diff(np.append(new, len(found))))], names=[*BLOCK, "j", "m"])
 
     return f
 
@@ -185,9 +189,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = 32, hot: i
     occ = occurrences(docs, plan, "c > 1")
     blocks = occ.groupBy(*BLOCK).agg(F.count("*").alias("copies"))
     several = materialize(variants(docs, plan, blocks), "bodies")
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    runs = several.where(F.col("of_anchor") <= hot).select(*BLOCK, "copies", "payload").mapInArrow(_sorted_runs(buckets), RUN_SCHEMA)
-    found = runs.groupBy("bucket").applyInArrow(_repeated_windows(window), "a long, d long, n long, body long, j long, m long").drop("bucket")
+    few = several.where(F.col("of_anchor") <= hot)
+    held = few.agg(F.sum(F.length("payload").cast("long")).alias("n")).first().n or 0
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // BUCKET_BYTES))
+    runs = few.select(*BLOCK, "copies", "payload").mapInArrow(_sorted_runs(buckets), RUN_SCHEMA)
+    found = runs.groupBy("bucket").applyInArrow(_repeated_windows(window), f"{BLOCK_SCHEMA}, j long, m long").drop("bucket")
     # windows of anchors with very many different blocks: grouped by value, with counts combined before the shuffle
     each = several.where(F.col("of_anchor") > hot).select(*BLOCK, "copies", F.posexplode(F.expr(f"transform(sequence(0, int(n) - 1), i -> md5(substring(payload, i + 1, {window})))")).alias("j", "h"))
     twice = each.groupBy("h").agg(F.sum("copies").alias("times")).where("times > 1").select("h")

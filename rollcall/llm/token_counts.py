@@ -21,15 +21,17 @@ END_OF_DOCUMENT, BLOCK_TOKENS = 50256, 1 << 18
 BLOCKS = "file long, block long, tokens binary"
 
 
-def _flatten(path: str, eod: int, size: int, wide: bool):
-    kind = "<u4" if wide else "<u2"
+def _flatten(path: str, eod: int, size: int, width: int):
+    kind = {2: "<u2", 4: "<u4"}[width]
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, block, held, n = TaskContext.get().partitionId(), 0, [], 0
         for batch in rebatched(batches):
             for text in batch.column(1).to_pylist():
-                ids = T.encode(text or "", path)
-                held.append(np.append(ids[ids != eod], np.uint32(eod)).astype(kind))
+                ids = T.encode(text or "", path, special=False)
+                if (ids == eod).any():
+                    raise ValueError(f"a text holds the end-of-document id {eod}")
+                held.append(np.append(ids, np.uint32(eod)).astype(kind))
                 n += len(held[-1])
                 if n >= size:
                     flat = np.concatenate(held)
@@ -43,15 +45,22 @@ def _flatten(path: str, eod: int, size: int, wide: bool):
     return f
 
 
+def id_width(path: str, eod: int) -> int:
+    """Bytes that hold every id of a vocabulary and the end-of-document id: 2 or 4."""
+    return 2 if max(T.tokenizer(path).get_vocab_size(), eod + 1) <= 1 << 16 else 4
+
+
 def write_flat(docs: DataFrame, path: str | None = None, eod: int = END_OF_DOCUMENT, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Token files of all documents, one per task, as a table of blocks: each document's ids and an end-of-document id.
 
-    Nothing says where documents begin; their order in a file is that in which the task reads them.
+    Nothing says where documents begin; their order in a file is that in which the task reads them. Ids take id_width()
+    bytes. Strings of special tokens are ordinary text, so that only ends of documents are end-of-document ids; with an
+    `eod` that texts encode to it raises an error.
     """
     prepare(docs.sparkSession)
     path = path or T.vocabulary_path()
     out = new_path(docs.sparkSession, "tokens")
-    flat = docs.select("doc_id", "text").mapInArrow(_flatten(path, eod, block_tokens, False), BLOCKS)
+    flat = docs.select("doc_id", "text").mapInArrow(_flatten(path, eod, block_tokens, id_width(path, eod)), BLOCKS)
     flat.write.option("compression", "zstd").parquet(out)
     return docs.sparkSession.read.parquet(out)
 
@@ -130,12 +139,13 @@ def document_token_counts(docs: DataFrame, path: str | None = None) -> DataFrame
     """doc_id, n_tokens of every document, by way of flat token files and a manifest of the order of documents in them.
 
     Null texts have no tokens. One row per input row, null and repeated ids included; an empty table gives no rows.
-    Columns other than doc_id and text are ignored. End-of-document ids that a text itself encodes to are left out.
+    Columns other than doc_id and text are ignored. Strings of special tokens in a text are ordinary text.
     """
     path = path or T.vocabulary_path()
     few = documents(docs).select("doc_id", "text")
     flat_dir, eod, size = new_path(docs.sparkSession, "tokens"), END_OF_DOCUMENT, BLOCK_TOKENS
-    flatten = _flatten(path, eod, size, False)
+    width = id_width(path, eod)
+    flatten = _flatten(path, eod, size, width)
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, ordinal = TaskContext.get().partitionId(), [0]
@@ -158,6 +168,6 @@ def document_token_counts(docs: DataFrame, path: str | None = None) -> DataFrame
     # blocks and manifest come from the same reading of the same task, so their orders agree
     few.mapInArrow(both, f"{BLOCKS}, ordinal long, doc_id long").write.option("compression", "zstd").parquet(flat_dir)
     table = docs.sparkSession.read.parquet(flat_dir)
-    counts = count_tokens(table.where("block is not null"), eod)
+    counts = count_tokens(table.where("block is not null"), eod, width)
     manifest = table.where("ordinal is not null").select("file", "ordinal", "doc_id")
     return manifest.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")

@@ -44,9 +44,27 @@ def fast_encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END_OF_TEXT: 50256})
 
 
-def encode(text: str, path: str) -> np.ndarray:
-    """Token ids of a whole text, without added special tokens."""
+@functools.lru_cache(maxsize=2)
+def plain_tokenizer(path: str):
+    """A tokenizer of its own that takes the strings of special tokens as ordinary text."""
+    from tokenizers import Tokenizer
+
+    out = Tokenizer.from_file(path)
+    out.encode_special_tokens = True
+    return out
+
+
+def encode(text: str, path: str, special: bool = True) -> np.ndarray:
+    """Token ids of a whole text, without added special tokens.
+
+    The string of a special token is that token's id, or with special=False ordinary text. Texts with very long runs of
+    white space (from 999,999 characters) are more than the fast encoder's pattern can match; the vocabulary file's own
+    library encodes those.
+    """
     fast = fast_encoder(path)
     if fast is not None:
-        return np.array(fast.encode(text, allowed_special="all"), dtype=np.uint32)
-    return np.array(tokenizer(path).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        try:
+            return np.array(fast.encode(text, allowed_special="all") if special else fast.encode(text, disallowed_special=()), dtype=np.uint32)
+        except ValueError:
+            pass
+    return np.array((tokenizer if special else plain_tokenizer)(path).encode(text, add_special_tokens=False).ids, dtype=np.uint32)

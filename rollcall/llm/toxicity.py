@@ -41,7 +41,7 @@ def token_features(part: np.ndarray, offs: np.ndarray) -> tuple[list[np.ndarray]
     out = []
     for level, size in enumerate(LEVELS):
         stop = ends if size is None else np.minimum(starts + size, ends)
-        out.append(C.word_codes(part, starts, stop, C.LOWER) ^ np.uint64((level + 1) * 0x2545F4914F6CDD1D & (1 << 64) - 1))
+        out.append(C.word_codes(part, starts, stop, lower=True) ^ np.uint64((level + 1) * 0x2545F4914F6CDD1D & (1 << 64) - 1))
     return out, woffs
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rollcall.llm import codes as C
 from rollcall.llm import fingerprint as FP
-from rollcall.llm import jaccard, packing, pieces, search, suffix, token_counts, tokens, toxicity, warc
+from rollcall.llm import jaccard, packing, pieces, repeats, search, suffix, token_counts, tokens, toxicity, warc
 from rollcall.llm.repeats import merged
 from rollcall.llm.substring import substring_dedup
 
@@ -195,6 +195,43 @@ def test_jaccard_blocks(spark, monkeypatch):
     assert out == brute_components(rows, 2, 80)
 
 
+def thue_morse(n, letters):
+    """A sequence that makes polynomial hashes modulo a power of two collide with that of the swapped letters."""
+    return "".join(letters[bin(i).count("1") & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_polynomials_confuse(spark, n):
+    words = [thue_morse(n, x) for x in ("ab", "ba", "xy", "yx", "Pq", "qP")]
+    rows = list(enumerate(words))
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(table(spark, rows)).collect()}
+    assert out == brute_components(rows, 4, 85) == {i: (1, i) for i in range(6)}
+    rows = [(i, " ".join([w] * 60)) for i, w in enumerate(words)]
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(table(spark, rows)).collect()} == brute_words(rows, 50)
+    rows = [(i, thue_morse(n, x).replace("u", "left ").replace("v", "right ")) for i, x in enumerate(("uv", "vu"))]
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(table(spark, rows), 256, 8).collect()} == brute_words(rows, 256)
+    rows = [(i, thue_morse(n, x)) for i, x in enumerate(("ab", "ba"))]
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.suffix_dedup(table(spark, rows)).collect()) == brute_bytes(rows, 200)
+    found = search.search(search.build_index(table(spark, list(enumerate(words)))), spark.createDataFrame([(0, words[0])], "query_id long, text string")).collect()
+    assert [r.doc_id for r in found] == [0]
+    features, _ = toxicity.token_features(*C.utf8(pa.array([" ".join(words)])))
+    assert len(set(features[-1].tolist())) == 6
+
+
+def test_long_documents(spark):
+    """Documents that are cut into stretches, with repeats across the cuts; a filter that is full changes nothing."""
+    rng = random.Random(12)
+    w = [f"w{rng.randrange(50000)}" for _ in range(150_000)]
+    rows = [(1, " ".join(w)), (2, " ".join(["x", *w[60_000:70_000], "y"])), (3, " ".join(w[131_000:131_200] + ["z"] * 300))]
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(table(spark, rows)).collect()} == brute_words(rows, 50)
+    plan = repeats.Plan("word", 50, 8, filter_bits=6)
+    full, usual = (repeats.occurrences(table(spark, rows), p, "low < high").count() for p in (plan, repeats.Plan("word", 50, 8)))
+    assert full > usual
+    rows = [(1, "".join(rng.choice("abcdefgh") for _ in range(200_000))), (2, "q")]
+    rows += [(3, rows[0][1][65_400:65_800]), (4, rows[0][1][131_000:131_300])]
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.suffix_dedup(table(spark, rows)).collect()) == brute_bytes(rows, 200)
+
+
 def test_jaccard_edges(spark):
     assert jaccard.jaccard_components(table(spark, [])).count() == 0
     docs = table(spark, [(None, "a b c d e"), (3, "a b c d e"), (3, "q"), (9, "Q"), (11, "A B c d e"), (12, None), (13, "")])
@@ -257,14 +294,30 @@ def test_encoders_agree():
     tk = tokens.tokenizer(path)
     texts = ["", "<|endoftext|>", "a<|endoftext|> b", "  x\n\n y\t", "naïve 🙂 été", "it's I'LL 1234567", "\x00​", "ſ K"]
     texts += ["".join(rng.choice("abc .,'’\n\t1é🙂ßﬁ中 ") for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    plain = tokens.plain_tokenizer(path)
     for t in texts:
         assert tokens.encode(t, path).tolist() == tk.encode(t, add_special_tokens=False).ids, t
+        assert tokens.encode(t, path, special=False).tolist() == plain.encode(t, add_special_tokens=False).ids, t
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", "\r\n"])
+def test_very_long_white_space(spark, blank):
+    path = tokens.vocabulary_path()
+    tk = tokens.tokenizer(path)
+    rows = [(i, "a" + blank * (n // len(blank)) + "b") for i, n in enumerate((10**6, 1_500_000))]
+    want = {i: tk.encode(t, add_special_tokens=False).ids for i, t in rows}
+    for i, t in rows:
+        assert tokens.encode(t, path).tolist() == want[i]
+    if blank == " ":
+        assert {r.doc_id: r.n_tokens for r in token_counts.document_token_counts(table(spark, rows)).collect()} == {i: len(x) for i, x in want.items()}
+        out = packing.pack_documents(table(spark, rows)).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+        assert {r.doc_id: r.n for r in out} == {i: len(x) + 1 for i, x in want.items()}
 
 
 def test_token_counts(spark, tmp_path, monkeypatch):
     rows = corpus(6) + [(None, "hello"), (3, "a<|endoftext|>b")]
-    tk = tokens.tokenizer(tokens.vocabulary_path())
-    want = sorted(((i, sum(x != 50256 for x in tk.encode(t or "", add_special_tokens=False).ids)) for i, t in rows), key=repr)
+    tk = tokens.plain_tokenizer(tokens.vocabulary_path())  # "<|endoftext|>" in a text is ordinary text
+    want = sorted(((i, len(tk.encode(t or "", add_special_tokens=False).ids)) for i, t in rows), key=repr)
     monkeypatch.setattr(token_counts, "BLOCK_TOKENS", 50)
     got = sorted(((r.doc_id, r.n_tokens) for r in token_counts.document_token_counts(table(spark, rows)).collect()), key=repr)
     assert got == want
