@@ -1,4 +1,4 @@
-"""What several operators of this subpackage share: column handling, fixed-size filters and session settings."""
+"""What several operators of this subpackage share: column handling and filters of bounded size."""
 
 from __future__ import annotations
 
@@ -6,21 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.storage import ship
 
 
-def prepare(spark: SparkSession, rows: int = 2000) -> None:
-    """Keep Arrow batches small enough for Python workers beside a modest heap."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def documents(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text and a key of the text; other columns, whatever their names, are left out unless named in more."""
-    prepare(docs.sparkSession)
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text")).alias("text_key"), *more)
 
 
@@ -39,10 +33,11 @@ def binaries(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())
 
 
-def rebatched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def rebatched(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `rows` rows, whatever the session's settings are, so that workers fit beside a modest heap."""
     for batch in batches:
-        if batch.num_rows:
-            yield batch
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
 
 
 def fetched(df: DataFrame) -> list[np.ndarray]:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm import codes as C
-from rollcall.llm.common import documents, prepare, rebatched
+from rollcall.llm.common import documents, rebatched
 
 #: Bytes of the rolling window; most characters of a signature; fewest wanted before the block size is halved.
 WINDOW, LONGEST, FEWEST = 7, 64, 32
@@ -140,7 +140,7 @@ def _edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     at, ids, texts, head = None, [], [], ""
-    for batch in rebatched(batches):
+    for batch in rebatched(batches, 500):
         for part, ahead, i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             text = text or ""
             if part != at:
@@ -171,7 +171,6 @@ def compare_edited(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     few = documents(docs).select("doc_id", "text")
-    prepare(spark, 500)
     parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shares = F.array(*[F.lit(i / parts) for i in range(1, parts)]) if parts > 1 else F.array(F.lit(0.0))
     row = few.agg(F.min("doc_id").alias("lowest"), F.percentile_approx("doc_id", shares, 10000).alias("q")).first()

@@ -23,16 +23,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op1_document_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op1_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents for the whole text of every document whose id is divisible by 20, over all documents."""
     docs = _table(spark, sf_dir, "documents")
-    return search(build_index(docs), docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text"), 10, block=2048)
-
-
-def op1_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best documents for every benchmark passage whose id is divisible by 20, over all documents."""
-    passages = _table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text")
-    return search(build_index(_table(spark, sf_dir, "documents")), passages, 10)
+    return search(build_index(docs), docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text"), 10)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +74,7 @@ WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP1_SQL = rf"""
 WITH d AS (SELECT doc_id, {WORDS.replace("coalesce(text, '')", LOWERED)} AS w FROM documents),
-q AS (SELECT item_id AS query_id, {WORDS.replace("coalesce(text, '')", LOWERED)} AS w FROM benchmark WHERE item_id % 20 = 0),
+q AS (SELECT doc_id AS query_id, w FROM d WHERE doc_id % 20 = 0),
 s AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS mean FROM d),
 t AS (SELECT doc_id, len(w) AS size, unnest(w) AS term FROM d),
 tf AS (SELECT doc_id, size, term, count(*) AS tf FROM t GROUP BY ALL),

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rollcall.llm import tokens as T
-from rollcall.llm.common import documents, prepare, rebatched
-from rollcall.storage import new_path
+from rollcall.llm.common import documents, rebatched
+from rollcall.storage import new_path, ship
 
 END_OF_DOCUMENT, BLOCK_TOKENS = 50256, 1 << 18
 BLOCKS = "file long, block long, tokens binary"
@@ -57,7 +57,7 @@ def write_flat(docs: DataFrame, path: str | None = None, eod: int = END_OF_DOCUM
     bytes. Strings of special tokens are ordinary text, so that only ends of documents are end-of-document ids; with an
     `eod` that texts encode to it raises an error.
     """
-    prepare(docs.sparkSession)
+    ship(docs.sparkSession)
     path = path or T.vocabulary_path()
     out = new_path(docs.sparkSession, "tokens")
     flat = docs.select("doc_id", "text").mapInArrow(_flatten(path, eod, block_tokens, id_width(path, eod)), BLOCKS)
@@ -84,7 +84,7 @@ def file_blocks(spark: SparkSession, files: list[str], block_tokens: int = BLOCK
                     data = f.read(length)
                 yield pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([block], pa.int64()), pa.array([data], pa.binary())], names=["file", "block", "tokens"])
 
-    prepare(spark)
+    ship(spark)
     schema = "file long, block long, uri string, offset long, length long"
     return spark.createDataFrame(rows, schema).repartition(max(1, min(len(rows), 10000)), "file", "block").mapInArrow(read, BLOCKS)
 
@@ -96,7 +96,7 @@ def _scan(eod: int, width: int):
     kind = {2: "<u2", 4: "<u4"}[width]
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rebatched(batches):
+        for batch in rebatched(batches, 16):
             n, lead, tail, inner = [], [], [], []
             for data in batch.column(2):
                 ids = np.frombuffer(data.as_buffer(), kind) if data.is_valid else np.zeros(0, kind)
@@ -117,7 +117,7 @@ def count_tokens(blocks: DataFrame, eod: int = END_OF_DOCUMENT, width: int = 2)
     file's last document may lack its end-of-document id; it counts if it has tokens. Null blocks are empty. The prefix
     scan sees one row per block.
     """
-    prepare(blocks.sparkSession, 16)
+    ship(blocks.sparkSession)
     seen = blocks.select("file", "block", "tokens").mapInArrow(_scan(eod, width), SCANNED)
     w = Window.partitionBy("file").orderBy("block")
     before = w.rowsBetween(Window.unboundedPreceding, -1)

@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm import codes as C
-from rollcall.llm.common import documents, fetched, i64, prepare, rebatched
+from rollcall.llm.common import documents, fetched, i64, rebatched
+from rollcall.storage import ship
 
 #: At most so many labelled rows are fitted on, chosen by a hash of their ids.
 MAX_LABELLED = 24_000
@@ -228,7 +229,7 @@ def score_toxicity(docs: DataFrame, model: Model, drift: float = DRIFT) -> DataF
 def drop_toxic(docs: DataFrame, model: Model, drift: float = DRIFT) -> DataFrame:
     """The rows of docs, with all their columns, whose score is below a half; null and empty texts stay."""
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
-    prepare(docs.sparkSession)
+    ship(docs.sparkSession)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value

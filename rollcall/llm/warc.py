@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import prepare, rebatched
-from rollcall.storage import materialize, new_path
+from rollcall.llm.common import rebatched
+from rollcall.storage import materialize, new_path, ship
 
 CRLF = "\r\n"
 #: Records of one archive file at most, so that a file fits a task; index lines of one block.
@@ -133,10 +133,9 @@ def build_index(spark: SparkSession, archives: str) -> DataFrame:
 
     Without the column `block` it is the sparse directory, one row for every LINES captures.
     """
-    prepare(spark, 8)
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(archives).select("path", "content")
     captures = materialize(files.mapInArrow(_captures, ENTRY), "captures")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
     ordered = captures.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "file", "offset")
     return materialize(ordered.mapInArrow(_pack_blocks, "first_key string, last_key string, n long, block binary"), "index")
 
@@ -243,7 +242,7 @@ def read_archives(spark: SparkSession, archives: str, index: DataFrame) -> DataF
                 x = list(zip(*_unpack(block), strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(x[4], pa.string()), pa.array(map(int, x[2]), pa.int64()), pa.array(map(int, x[3]), pa.int64())], names=["file", "offset", "length"])
 
-    prepare(spark, 8)
+    ship(spark)
     spans = index.select("block").mapInArrow(lines, "file string, offset long, length long")
     spans = spans.groupBy("file").agg(F.collect_list(F.struct("offset", "length")).alias("spans"))  # at most RECORDS_PER_FILE
     if reachable(archives):
@@ -259,7 +258,7 @@ def archive_round_trip(pages: DataFrame, min_payload: int = 0) -> DataFrame:
     nulls and repeated rows. Columns other than page_id, url and html are ignored; an empty table gives no rows.
     """
     spark = pages.sparkSession
-    prepare(spark)
+    ship(spark)
     path = new_path(spark, "warc")
     write_warc(pages, path, min_payload)
     return read_archives(spark, path, build_index(spark, path))

@@ -366,7 +366,7 @@ def test_search(spark, monkeypatch):
     index = search.build_index(table(spark, rows, 2))
     queries = [(q, " ".join(rng.choices(vocabulary, k=6))) for q in range(5)] + [(7, "absent"), (8, None)]
     out = defaultdict(list)
-    for r in search.search(index, spark.createDataFrame(queries, "query_id long, text string"), 7, block=3).orderBy("query_id", "rank").collect():
+    for r in search.search(index, spark.createDataFrame(queries, "query_id long, text string"), 7, pass_bytes=300).orderBy("query_id", "rank").collect():
         out[r.query_id].append((r.doc_id, r.score))
     lower = [(i, [w.lower() for w in words_of(t)]) for i, t in rows]
     n, mean = len(lower), sum(len(w) for _, w in lower) / len(lower)
@@ -395,7 +395,7 @@ def test_document_search(spark, tmp_path, monkeypatch):
     rows += [(300 + i, rows[20][1]) for i in range(15)] + [(320, None), (340, rows[40][1].upper())]
     spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     out = defaultdict(list)
-    for r in Q.op1_document_search(spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+    for r in Q.op1_top_k_search(spark, str(tmp_path)).orderBy("query_id", "rank").collect():
         out[r.query_id].append((r.doc_id, r.score))
     assert set(out) == {i for i, t in rows if i % 20 == 0 and t}
     bags = {i: Counter(w.lower() for w in words_of(t)) for i, t in rows}
@@ -409,9 +409,43 @@ def test_document_search(spark, tmp_path, monkeypatch):
         want = sorted(scored, key=lambda x: (-x[1], x[0]))[:10]
         assert [s for _, s in got] == pytest.approx([s for _, s in want])
         assert [i for i, _ in got] == [i for i, _ in want]
-    monkeypatch.setattr(search, "LONG", 1 << 30)
-    again = Q.op1_document_search(spark, str(tmp_path)).collect()
-    assert sorted((r.query_id, r.doc_id, r.score) for r in again) == sorted((q, i, s) for q, x in out.items() for i, s in x)
+    for long in (1 << 30, 0):  # all by pivots, all by ranges
+        monkeypatch.setattr(search, "LONG", long)
+        again = Q.op1_top_k_search(spark, str(tmp_path)).collect()
+        assert sorted((r.query_id, r.doc_id, r.score) for r in again) == sorted((q, i, s) for q, x in out.items() for i, s in x)
+
+
+def one_shard(texts):
+    (batch,) = search._shards(iter([pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])]))
+    return search.Shard(*(np.frombuffer(c[0].as_buffer(), t) for c, (_, t) in zip(batch.columns, search.FIELDS, strict=True)), float(np.mean([len(words_of(t)) for t in texts])))
+
+
+@pytest.mark.parametrize("long", [0, 1 << 30])
+def test_most_blocks_are_never_read(monkeypatch, long):
+    """Both ways skip blocks that cannot matter, and give what a reading of all blocks gives."""
+    monkeypatch.setattr(search, "LONG", long)
+    rng = random.Random(4)
+    vocabulary = [f"v{i}" for i in range(20_000)]
+    texts = [" ".join(rng.choices(vocabulary, k=30)) for _ in range(8000)]
+    hot = [f"q{i}" for i in range(24)]
+    for i in range(0, 8000, 4):
+        texts[i] += " " + rng.choice(hot)
+    for i in range(2000, 2030):
+        texts[i] = " ".join(hot * 2)
+    shard = one_shard(texts)
+    terms, counts = np.unique(next(search.term_codes(pa.array([" ".join([*hot, *vocabulary[:30]])])))[0], return_counts=True)
+    here, _ = shard.known(terms)
+    query = [(1, terms[here], np.linspace(1, 2, len(terms))[here] * counts[here])]
+    got = sorted(search.search_shard(shard, query, 10), key=lambda x: (-x[2], x[1]))
+    at = shard.known(query[0][1])[1]
+    total = np.zeros(len(texts))
+    for t, w in zip(at.tolist(), query[0][2].tolist(), strict=True):
+        a, b = shard.posts[shard.starts[t]], shard.posts[shard.starts[t + 1]]
+        total[shard.docs[a:b]] += w * shard.impact(shard.tfs[a:b], shard.norm[shard.docs[a:b]])
+    want = sorted(((-round(float(s), 6), int(i)) for s, i in zip(total, shard.doc_ids, strict=True)))[:10]
+    assert [(-s, i) for _, i, s in got] == want
+    blocks = int((shard.starts[at + 1] - shard.starts[at]).sum())
+    assert 3 * shard.decoded < blocks, (shard.decoded, blocks)
 
 
 def test_warc(spark, tmp_path):
