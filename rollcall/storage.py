@@ -14,9 +14,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder. Only where none is set (tests, a laptop) a temporary one is made."""
+    """The session's checkpoint folder. Only where none is set and all workers are on this machine a temporary one is made."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='rollcall-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -51,10 +53,8 @@ def clean() -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once per context; batches of an operator with large rows end here."""
+    """Send this package to the executors' Python workers, once per context."""
     sc = spark.sparkContext
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) < 1000:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     if getattr(sc, "_rollcall_shipped", False):
         return
     root = Path(__file__).resolve().parent
