@@ -3,14 +3,19 @@
 A text falls into units that no piece crosses. Forward and backward Viterbi scores of all distinct units of a batch are
 computed together, by length; they give each unit's best segmentation and how much its second best loses. The n best
 segmentations of a text differ from the best only in its n - 1 units with the least loss: over the lattice of these a
-backward A-star search runs, for which the forward scores are an exact heuristic.
+backward A-star search runs, for which the forward scores are an exact heuristic. Long units have their lattice made
+band by band, so time is linear in the text and memory bounded by a few numbers for each of its characters.
+
+Segmentations are ranked by the sum of their pieces' log-probabilities, as a unigram model ranks them. A BPE model's
+scores are no log-probabilities but the ranks of its merges, most frequent first; from these the log-probabilities of
+Zipf's law are taken. The best segmentation by these is not what merging gives in the model's own encoder.
 """
 
 from __future__ import annotations
 
 import functools
-import heapq
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +27,21 @@ from rollcall.llm.common import documents, rebatched
 from rollcall.llm.tokens import vocabulary_path
 
 MARK, LONGEST, BLOCK = "▁", 24, 1 << 21
+#: Ends of a band of a long unit's lattice.
+BAND = 1 << 14
 PENALTY = 10.0
+#: Scores are multiples of this, so that sums are exact and equal ones are equal in any order.
+GRAIN = 2.0**-20
+
+
+def log_probabilities(score: np.ndarray) -> np.ndarray:
+    """Piece scores as log-probabilities: those of a unigram model as they are, merge ranks (whole numbers) by Zipf's law."""
+    if len(score) > 1 and (score == np.floor(score)).all():
+        rank = np.empty(len(score))
+        rank[np.argsort(-score, kind="stable")] = np.arange(len(score))
+        weight = 1 / (rank + 2.7)
+        score = np.log(weight / weight.sum())
+    return np.round(score / GRAIN) * GRAIN
 
 
 class Pieces:
@@ -49,7 +68,9 @@ class Pieces:
             else:
                 self.text.append(piece.replace(MARK, " ").encode())
                 self.ids[self.text[-1]] = i
-        self.fallback = float(min(self.score[i] for i in self.ids.values())) - PENALTY
+        whole = list(self.ids.values())
+        self.score[whole] = log_probabilities(self.score[whole])
+        self.fallback = float(self.score[whole].min()) - PENALTY
         self.longest = max(len(p.decode()) for p in self.ids)
         blob = b"".join(self.ids)
         size = np.array([len(p) for p in self.ids])
@@ -93,22 +114,6 @@ class Pieces:
     def expand(self, char: bytes) -> list[int]:
         return [self.bytes[b] for b in char]
 
-    def edges(self, unit: bytes) -> tuple[list[bytes], list[list[tuple[int, int, float]]]]:
-        """The unit's characters, and for each end the (start, id or -1, score) of pieces that end there."""
-        chars = [c.encode() for c in unit.decode()]
-        out: list[list[tuple[int, int, float]]] = [[] for _ in range(len(chars) + 1)]
-        for i in range(len(chars)):
-            piece, found = b"", False
-            for j in range(i, min(len(chars), i + self.longest)):
-                piece += chars[j]
-                k = self.ids.get(piece)
-                if k is not None:
-                    out[j + 1].append((i, k, float(self.score[k])))
-                    found |= j == i
-            if not found:
-                out[i + 1].append((i, -1, self.fallback))
-        return chars, out
-
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces joined, without the blank that encoding puts first."""
         return b"".join(map(self.text.__getitem__, ids)).decode(errors="replace")[1:]
@@ -119,34 +124,110 @@ def load(path: str) -> Pieces:
     return Pieces(path)
 
 
-def n_best(pieces: Pieces, units: list[bytes], n: int) -> list[tuple[float, list[int]]]:
-    """The n highest-scoring segmentations of a few units in a row, best first, ties by the order of their starts from the end.
-
-    Forward Viterbi scores are the best that can still be gained on the way to the start, so the search from the end
-    expands only prefixes of answers.
+class Lattice:
+    """The piece lattice of a unit: for each end the (start, id or -1, score) of the pieces that end there, starts ascending."""
+
+    def __init__(self, pieces: Pieces, unit: bytes):
+        self.pieces, self.raw = pieces, np.frombuffer(unit, np.uint8)
+        self.places = np.append(np.flatnonzero((self.raw & 0xC0) != 0x80), len(self.raw))
+        self.n = len(self.places) - 1
+        self.bands: dict[int, tuple] = {}
+        self.forward = array("d", bytes(8 * (self.n + 1)))
+        for j in range(1, self.n + 1):
+            self.forward[j] = max(self.forward[i] + s for i, _, s in self.into(j))
+
+    def _band(self, band: int) -> tuple[int, list[int], list[int], list[int], list[float]]:
+        p, low, high = self.pieces, band * BAND + 1, min(self.n, (band + 1) * BAND)
+        base = self.places[max(0, low - p.longest)]
+        sums = C.prefix(C.TABLE[self.raw[base : self.places[high]]])
+        at = self.places - base if self.n <= BAND else None
+        starts, ends, ids = [], [], []
+        for size in range(1, min(p.longest, high) + 1):
+            end = np.arange(max(low, size), high + 1)
+            a, b = (at[end - size], at[end]) if at is not None else (self.places[end - size] - base, self.places[end] - base)
+            k = p.lookup(C.spans(sums, a, b))
+            hit = np.flatnonzero(k >= 0) if size > 1 else np.arange(len(k))
+            starts.append(end[hit] - size)
+            ends.append(end[hit])
+            ids.append(k[hit])
+        start, end, k = np.concatenate(starts), np.concatenate(ends), np.concatenate(ids)
+        order = np.lexsort((start, end))
+        start, end, k = start[order], end[order], k[order]
+        score = np.where(k >= 0, p.score[k], p.fallback)
+        return low, np.searchsorted(end, np.arange(low, high + 2)).tolist(), start.tolist(), k.tolist(), score.tolist()
+
+    def into(self, end: int) -> Iterator[tuple[int, int, float]]:
+        band = (end - 1) // BAND
+        if band not in self.bands:
+            while len(self.bands) > 1:
+                self.bands.pop(next(iter(self.bands)))
+            self.bands[band] = self._band(band)
+        low, at, start, k, score = self.bands[band]
+        a, b = at[end - low], at[end - low + 1]
+        return zip(start[a:b], k[a:b], score[a:b], strict=True)
+
+    def ids(self, start: int, k: int) -> list[int]:
+        """The ids of an edge: its piece, or the byte pieces of a character that has none."""
+        return [k] if k >= 0 else self.pieces.expand(self.raw[self.places[start] : self.places[start + 1]].tobytes())
+
+
+class SmallLattice(Lattice):
+    """The same for a unit of few characters, by look-ups of its substrings."""
+
+    def __init__(self, pieces: Pieces, unit: bytes):
+        self.pieces, self.chars = pieces, [c.encode() for c in unit.decode()]
+        self.n = len(self.chars)
+        self.edges: list[list[tuple[int, int, float]]] = [[] for _ in range(self.n + 1)]
+        for i in range(self.n):
+            piece = b""
+            for j in range(i, min(self.n, i + pieces.longest)):
+                piece += self.chars[j]
+                k = pieces.ids.get(piece, -1)
+                if k >= 0 or j == i:
+                    self.edges[j + 1].append((i, k, float(pieces.score[k]) if k >= 0 else pieces.fallback))
+        self.forward = [0.0]
+        for into in self.edges[1:]:
+            self.forward.append(max(self.forward[i] + s for i, _, s in into))
+
+    def into(self, end: int) -> Iterator[tuple[int, int, float]]:
+        return iter(self.edges[end])
+
+    def ids(self, start: int, k: int) -> list[int]:
+        return [k] if k >= 0 else self.pieces.expand(self.chars[start])
+
+
+def lattice(pieces: Pieces, unit: bytes) -> Lattice:
+    return SmallLattice(pieces, unit) if len(unit) <= 4 * LONGEST else Lattice(pieces, unit)
+
+
+def n_best(units: list[Lattice], n: int) -> list[tuple[float, list[list[int]]]]:
+    """The n highest-scoring segmentations of some units in a row, best first, as the ids of each unit. Of equal ones
+    that with the longer last piece comes first, then that with the longer piece before, and so on.
+
+    Forward Viterbi scores are the best that can still be gained on the way to the start, so an open path's sum is the
+    score of its best completion, and completions of different paths differ: no more paths than answers that are still
+    wanted need be kept open.
     """
-    chars: list[bytes] = []
-    into: list[list[tuple[int, int, float]]] = [[]]
-    for unit in units:
-        c, e = pieces.edges(unit)
-        into += [[(i + len(chars), k, s) for i, k, s in x] for x in e[1:]]
-        chars += c
-    forward = [0.0] + [-np.inf] * len(chars)
-    for j in range(1, len(chars) + 1):
-        forward[j] = max(forward[i] + s for i, _, s in into[j])
-    agenda = [(-forward[-1], (), 0.0, len(chars), None)]
-    out: list[tuple[float, list[int]]] = []
+    before = [0.0]
+    for u in units:
+        before.append(before[-1] + u.forward[u.n])
+    agenda: list[tuple] = [(before[-1], 0.0, len(units) - 1, units[-1].n, None)]
+    out: list[tuple[float, list[list[int]]]] = []
     while agenda and len(out) < n:
-        _, order, gained, at, path = heapq.heappop(agenda)
-        if not at:
-            ids: list[int] = []
-            while path is not None:
-                (i, k), path = path
-                ids += [k] if k >= 0 else pieces.expand(chars[i])
-            out.append((gained, ids))
+        _, gained, u, at, path = agenda.pop(0)
+        while not at and u:
+            u, at = u - 1, units[u - 1].n
+        if at:
+            unit, most = units[u], before[u] + gained
+            agenda = [(most + unit.forward[i] + s, gained + s, u, i, (u, i, k, path)) for i, k, s in unit.into(at)] + agenda
+            agenda.sort(key=lambda x: -x[0])  # stable: what continues the path that was first comes before its equals
+            del agenda[n - len(out) :]
             continue
-        for i, k, s in into[at]:
-            heapq.heappush(agenda, (-(forward[i] + s + gained), (*order, i), gained + s, i, ((i, k), path)))
+        ids: list[list[int]] = [[] for _ in units]
+        while path is not None:
+            u, i, k, path = path
+            ids[u] += units[u].ids(i, k)
+        out.append((gained, ids))
     return out
 
 
@@ -186,20 +267,30 @@ def _viterbi(p: Pieces, sums: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray,
     return forward[n], forward[n] - through.reshape(-1, u).max(axis=0), starts, ids
 
 
-def _encode_block(p: Pieces, raw: np.ndarray, offs: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, list[float]]]:
-    """(ids, scores of the n best segmentations) of each text; texts already begin with the blank that encoding adds."""
+def _unit_starts(p: Pieces, raw: np.ndarray) -> np.ndarray:
+    """Which bytes begin a unit: a blank after something else, a byte that is in no piece, and what follows that."""
     space, alone = raw == 32, p.alone[raw]
     start = np.zeros(len(raw) + 1, dtype=bool)
     start[:-1] = space
     start[1:-1] &= ~space[:-1]
     start[:-1] |= alone
     start[1:] |= alone
+    return start
+
+
+#: The ids of the best segmentation of a stretch, its score, and of the units with the least loss: loss, first and last + 1 place in the ids, bytes.
+Stretch = tuple[np.ndarray, float, list[tuple[float, int, int, bytes]]]
+
+
+def _encode_block(p: Pieces, raw: np.ndarray, offs: np.ndarray, n: int) -> Iterator[Stretch]:
+    """The best segmentation of each text, or stretch of one, and the n - 1 units that lose least by another."""
+    start = _unit_starts(p, raw)
     start[offs] = True
     begin = np.flatnonzero(start[:-1])
     end = np.append(begin[1:], len(raw))
     uoff = np.searchsorted(begin, offs)
     sums = C.prefix(C.TABLE[raw])
-    _, first, which = np.unique(C.spans(sums, begin, end), return_index=True, return_inverse=True)
+    _, first, which = np.unique(C.word_codes(raw, begin, end), return_index=True, return_inverse=True)
     a, b = begin[first], end[first]
     border = np.append((raw & 0xC0) != 0x80, True)
     places = np.flatnonzero(border)
@@ -212,8 +303,8 @@ def _encode_block(p: Pieces, raw: np.ndarray, offs: np.ndarray, n: int) -> Itera
         rows = np.flatnonzero(length == size)
         if size > LONGEST:
             for r in rows.tolist():
-                two = n_best(p, [raw[a[r] : b[r]].tobytes()], 2)
-                best[r], ids[r] = two[0][0], np.array(two[0][1])
+                two = n_best([lattice(p, raw[a[r] : b[r]].tobytes())], 2)
+                best[r], ids[r] = two[0][0], np.array(two[0][1][0])
                 loss[r] = two[0][0] - two[1][0] if len(two) > 1 else np.inf
             continue
         for k in range(0, len(rows), 8192):
@@ -224,32 +315,67 @@ def _encode_block(p: Pieces, raw: np.ndarray, offs: np.ndarray, n: int) -> Itera
             for r, line, m, odd in zip(part.tolist(), found, steps.tolist(), bare.tolist(), strict=True):
                 ids[r] = line[size - m :]
                 if odd:
-                    ids[r] = np.array(n_best(p, [raw[a[r] : b[r]].tobytes()], 1)[0][1])
+                    ids[r] = np.array(n_best([lattice(p, raw[a[r] : b[r]].tobytes())], 1)[0][1][0])
     sizes = np.array([len(x) for x in ids], dtype=np.int64)
     flat = np.concatenate([*ids, np.zeros(0, np.int64)])
     at = np.cumsum(sizes) - sizes
     tokens = flat[C.ragged(at[which], sizes[which])]
-    edge = np.concatenate([[0], np.cumsum(sizes[which])])[uoff]
+    edge = np.concatenate([[0], np.cumsum(sizes[which])])
     for d in range(len(offs) - 1):
-        mine = which[uoff[d] : uoff[d + 1]]
-        total = float(best[mine].sum())
-        scores = [total] if len(mine) else [0.0]
+        x, y = uoff[d], uoff[d + 1]
+        mine, origin = which[x:y], edge[x]
+        least = []
         if n > 1 and len(mine):
-            least = np.sort(np.argsort(loss[mine], kind="stable")[: n - 1])
-            least = least[np.isfinite(loss[mine[least]])]
-            if len(least):
-                chosen = mine[least]
-                base = total - float(best[chosen].sum())
-                scores = [total] + [base + s for s, _ in n_best(p, [raw[a[r] : b[r]].tobytes() for r in chosen.tolist()], n)[1:]]
-        yield tokens[edge[d] : edge[d + 1]], scores
+            for i in np.argsort(loss[mine], kind="stable")[: n - 1].tolist():
+                if np.isfinite(loss[mine[i]]):
+                    least.append((float(loss[mine[i]]), int(edge[x + i] - origin), int(edge[x + i + 1] - origin), raw[a[mine[i]] : b[mine[i]]].tobytes()))
+        yield tokens[origin : edge[y]], float(best[mine].sum()), least
+
+
+def _answers(p: Pieces, parts: list[Stretch], n: int, with_ids: bool) -> list[tuple[float, np.ndarray | None]]:
+    """The n best segmentations of a text from those of its stretches; ids of all but the best only if asked for."""
+    sizes = [len(x) for x, _, _ in parts]
+    ids = np.concatenate([x for x, _, _ in parts]) if len(parts) > 1 else parts[0][0]
+    total = sum(t for _, t, _ in parts)
+    out = [(total, ids)]
+    least = sorted(((loss, at + x, at + y, unit) for at, (_, _, few) in zip(np.cumsum([0, *sizes[:-1]]).tolist(), parts, strict=True) for loss, x, y, unit in few), key=lambda u: u[0])
+    if n == 1 or not least:
+        return out
+    chosen = sorted(least[: n - 1], key=lambda u: u[1])
+    units = [lattice(p, unit) for *_, unit in chosen]
+    base = total - sum(u.forward[u.n] for u in units)
+    for score, own in n_best(units, n)[1:]:
+        other = None
+        if with_ids:
+            cuts = [0, *(z for _, x, y, _ in chosen for z in (x, y)), len(ids)]
+            kept = [ids[x:y] for x, y in zip(cuts[::2], cuts[1::2], strict=True)]
+            other = np.concatenate([z for k, o in zip(kept, [*own, []], strict=True) for z in (k, np.array(o, dtype=np.int64))])
+        out.append((base + score, other))
+    return out
 
 
-def encode_batch(path: str, texts: list[str], n: int = 1) -> Iterator[tuple[np.ndarray, list[float]]]:
-    """(ids of the best segmentation, scores of the n best) of each text; the empty text has no ids."""
+def encode_batch(path: str, texts: list[str], n: int = 1, with_ids: bool = False) -> Iterator[list[tuple[float, np.ndarray | None]]]:
+    """(score, ids) of the n best segmentations of each text, best first; the empty text has one, without ids.
+
+    Ids of others than the best are None unless asked for. Texts of more than BLOCK bytes are taken in stretches of
+    whole units.
+    """
     p = load(path)
     raw, offsets = C.utf8(pa.array([f" {t}" if t else "" for t in texts], pa.large_string()))
     for i, j in C.blocks(offsets, BLOCK):
-        yield from _encode_block(p, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)
+        part, offs = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        if len(part) <= BLOCK:
+            for x in _encode_block(p, part, offs, n):
+                yield _answers(p, [x], n, with_ids)
+            continue
+        cuts, starts = [0], np.flatnonzero(_unit_starts(p, part))
+        while cuts[-1] < len(part):
+            far = np.searchsorted(starts, cuts[-1] + BLOCK, side="right")
+            near = int(starts[far - 1]) if far and starts[far - 1] > cuts[-1] else (int(starts[far]) if far < len(starts) else len(part))
+            cuts.append(near if len(part) - cuts[-1] > BLOCK else len(part))
+        del starts
+        stretches = [x for c, e in zip(cuts[:-1], cuts[1:], strict=True) for x in _encode_block(p, part[c:e], np.array([0, e - c]), n)]
+        yield _answers(p, stretches, n, with_ids)
 
 
 SCHEMA = "doc_id long, n_pieces long, ids_crc32 long, scores array<double>, decoded boolean"
@@ -260,11 +386,12 @@ def _encode(path: str, n: int, with_ids: bool):
         p = load(path)
         for batch in rebatched(batches):
             texts, rows = [t or "" for t in batch.column(1).to_pylist()], []
-            for text, (ids, scores) in zip(texts, encode_batch(path, texts, n), strict=True):
+            for text, answers in zip(texts, encode_batch(path, texts, n, with_ids), strict=True):
+                ids = answers[0][1]
                 back = p.decode(ids.tolist()) == text
-                rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), [round(s, 4) for s in scores], back, ids.tolist() if with_ids else None))
+                rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), [round(s, 4) for s, _ in answers], back, [x.tolist() for _, x in answers] if with_ids else None))
             c = list(zip(*rows, strict=True))
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.bool_(), pa.list_(pa.int32())]
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.bool_(), pa.list_(pa.list_(pa.int32()))]
             names = ["n_pieces", "ids_crc32", "scores", "decoded", "ids"]
             m = 5 if with_ids else 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(c[:m], kinds[:m], strict=True))], names=["doc_id", *names[:m]])
@@ -274,10 +401,10 @@ def _encode(path: str, n: int, with_ids: bool):
 
 def encode_documents(docs: DataFrame, n: int = 3, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (little-endian unsigned 32-bit), the scores of the n best segmentations, best first, and
-    whether decoding gives the text back; with_ids the ids too.
+    whether decoding gives the text back; with_ids the ids of the n best too, a list for each.
 
     docs: doc_id, text; other columns are ignored. Null and empty texts have no pieces and a score of 0. One row per
     input row; an empty table gives no rows. Equal scores: the segmentation with the longer last piece is the best.
     """
     path = path or vocabulary_path("piece_bpe_32k.model")
-    return documents(docs).select("doc_id", "text").mapInArrow(_encode(path, n, with_ids), SCHEMA + (", ids array<int>" if with_ids else ""))
+    return documents(docs).select("doc_id", "text").mapInArrow(_encode(path, n, with_ids), SCHEMA + (", ids array<array<int>>" if with_ids else ""))

@@ -331,32 +331,77 @@ def test_token_counts(spark, tmp_path, monkeypatch):
         assert got == list(enumerate(map(len, docs))), size
 
 
-def all_segmentations(p, unit):
-    chars, into = p.edges(unit)
+def all_segmentations(sp, unit, n):
+    """The n best segmentations by their definition, over the pieces as the sentencepiece library lists them."""
+    whole = [i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+    whole.sort(key=lambda i: -sp.get_score(i))
+    weight = np.array([1 / (2.7 + k) for k in range(len(whole))])
+    score = dict(zip(whole, np.round(np.log(weight / weight.sum()) * 2**20) / 2**20, strict=True))
+    unknown, ids = min(score.values()) - 10, {sp.id_to_piece(i).replace("▁", " "): i for i in whole}
 
     def rec(j):
-        return [(0.0, [])] if not j else [(a + s, ids + ([k] if k >= 0 else p.expand(chars[i]))) for i, k, s in into[j] for a, ids in rec(i)]
+        out = [(0.0, [])] if not j else []
+        for i in range(j):
+            k = ids.get(unit[i:j])
+            if k is not None:
+                out += [(s + score[k], [*x, k]) for s, x in rec(i)]
+            elif i == j - 1:
+                out += [(s + unknown, [*x, *(sp.piece_to_id(f"<0x{c:02X}>") for c in unit[i].encode())]) for s, x in rec(i)]
+        return out
 
-    return sorted(rec(len(chars)), key=lambda x: -x[0])
+    return sorted(rec(len(unit)), key=lambda x: -x[0])[:n]
 
 
-def test_pieces(spark):
+def test_pieces(spark, monkeypatch):
+    import sentencepiece
+
     path, rng = tokens.vocabulary_path("piece_bpe_32k.model"), random.Random(1)
-    p = pieces.load(path)
+    sp, p = sentencepiece.SentencePieceProcessor(model_file=path), pieces.load(path)
+    monkeypatch.setattr(pieces, "BAND", 3)
     for _ in range(40):
-        unit = "".join(rng.choice(" abtheéß▁\x00🙂") for _ in range(rng.randint(1, 9))).encode()
-        assert [s for s, _ in pieces.n_best(p, [unit], 4)] == pytest.approx([s for s, _ in all_segmentations(p, unit)[:4]])
-        text = "".join(rng.choice(" abthe\n.é▁") for _ in range(rng.randint(0, 10)))
-        ((ids, scores),) = pieces.encode_batch(path, [text], 3)
-        assert p.decode(ids.tolist()) == text
+        unit = "".join(rng.choice(" abtheéß\x00🙂") for _ in range(rng.randint(1, 9)))
+        want = all_segmentations(sp, unit, 4)
+        for kind in (pieces.SmallLattice, pieces.Lattice):
+            got = pieces.n_best([kind(p, unit.encode())], 4)
+            assert [s for s, _ in got] == pytest.approx([s for s, _ in want]) and [s for s, _ in got] == sorted((s for s, _ in got), reverse=True)
+            assert len({tuple(x[0]) for _, x in got}) <= len(want) and got[0][1][0] in [x for s, x in want if s == want[0][0]]
+        text = "".join(rng.choice(" abthe\n.é") for _ in range(rng.randint(0, 10)))
+        (answers,) = pieces.encode_batch(path, [text], 3, with_ids=True)
+        assert all(p.decode(x.tolist()) == text for _, x in answers) and sp.decode(answers[0][1].tolist()) in (text, f" {text}")
         if text:
-            assert scores == pytest.approx([s for s, _ in all_segmentations(p, f" {text}".encode())[:3]])
+            assert [s for s, _ in answers] == pytest.approx([s for s, _ in all_segmentations(sp, f" {text}", 3)])
+            assert len({tuple(x.tolist()) for _, x in answers}) == len(answers)
     out = {r.doc_id: r for r in pieces.encode_documents(table(spark, [(1, None), (2, ""), (3, "x" * 500), (4, "hello world")]), with_ids=True).collect()}
     assert all(r.decoded for r in out.values()) and out[1].n_pieces == out[2].n_pieces == 0
-    assert p.decode(out[4].ids) == "hello world" and out[4].scores == sorted(out[4].scores, reverse=True)
+    assert p.decode(out[4].ids[0]) == "hello world" and out[4].scores == sorted(out[4].scores, reverse=True) and len(out[4].ids) == 3
     assert pieces.encode_documents(table(spark, [])).count() == 0
 
 
+def test_pieces_of_long_units(monkeypatch):
+    """Time linear and memory bounded for text without blanks; stretches give what the whole gives; totals near the model's own."""
+    import resource
+    import time
+
+    import sentencepiece
+
+    path, rng = tokens.vocabulary_path("piece_bpe_32k.model"), random.Random(5)
+    p, sp = pieces.load(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789+/") for _ in range(200_000))
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.perf_counter()
+    ((best, *others),) = pieces.encode_batch(path, [long], 3)
+    assert time.perf_counter() - began < 20 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500 << 10
+    assert p.decode(best[1].tolist()) == long and best[0] >= others[0][0] >= others[1][0]
+    text = " ".join("".join(rng.choice("abethnos") for _ in range(rng.randint(1, 40))) for _ in range(3000))
+    (whole,) = pieces.encode_batch(path, [text], 4, with_ids=True)
+    monkeypatch.setattr(pieces, "BLOCK", 500)
+    (parts,) = pieces.encode_batch(path, [text], 4, with_ids=True)
+    assert [s for s, _ in whole] == [s for s, _ in parts] and whole[0][1].tolist() == parts[0][1].tolist()
+    assert all(p.decode(x.tolist()) == text for _, x in [*whole, *parts])
+    prose = "The committee agreed that the new harbour should be opened before winter, although nobody knew who would pay. " * 5
+    (own,) = pieces.encode_batch(path, [prose], 1)
+    assert abs(len(own[0][1]) / len(sp.encode(prose)) - 1) < 0.1
+
+
 def test_search(spark, monkeypatch):
     rng = random.Random(9)
     vocabulary = [f"t{i}" for i in range(40)]
