@@ -16,8 +16,8 @@ from rollcall.llm.common import documents, i64, rebatched
 from rollcall.storage import materialize
 
 CAPACITY, SEPARATOR = 2048, 0
-OPEN_BINS = 1 << 17
-GROUP = 1 << 17
+#: Bins that are open at most; pieces of a run, which is placed longest first; pieces that a task packs.
+OPEN_BINS, RUN, GROUP = 1024, 4096, 1 << 17
 
 
 class Bins:
@@ -91,29 +91,61 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, s
     return few.mapInArrow(_pieces(path, capacity, separator, with_ids), PIECES + (", ids binary" if with_ids else ""))
 
 
-def _pack(capacity: int, limit: int, length_at: int, names: list[str]):
+def place_run(bins: Bins, lengths: np.ndarray) -> np.ndarray:
+    """(bin, offset) of each of a run's pieces, which are placed longest first; equal ones in their order."""
+    out = np.zeros((len(lengths), 2), dtype=np.int64)
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        out[i] = bins.place(int(lengths[i]))
+    return out
+
+
+def _pack(capacity: int, limit: int, run: int, length_at: int, names: list[str]):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, base = Bins(capacity, limit), TaskContext.get().partitionId() << 40
-        for batch in rebatched(batches):
-            placed = [bins.place(n) for n in batch.column(length_at).to_pylist()]
-            number, offset = np.array(placed, dtype=np.int64).T
-            yield pa.RecordBatch.from_arrays([*batch.columns, i64(number + base), i64(offset)], names=[*names, "sequence_id", "offset"])
+        held: list[pa.RecordBatch] = []
+        count = 0
+
+        def flush() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            placed = place_run(bins, np.asarray(rows.column(length_at)))
+            held.clear()
+            return pa.RecordBatch.from_arrays([*rows.columns, i64(placed[:, 0] + base), i64(placed[:, 1])], names=[*names, "sequence_id", "offset"])
+
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:  # runs are of `run` rows, however rows come in batches
+                part = batch.slice(at, run - count)
+                held.append(part)
+                at, count = at + part.num_rows, count + part.num_rows
+                if count == run:
+                    yield flush()
+                    count = 0
+        if count:
+            yield flush()
 
     return f
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, group: int = GROUP) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, run: int = RUN, group: int = GROUP) -> DataFrame:
     """Add sequence_id and offset to rows with a `length`, so that each sequence is gapless and holds at most `capacity`.
 
-    Full pieces are sequences by themselves. The others are dealt into groups of about `group` pieces, whatever the
-    input's size, and packed longest first; open bins and memory are bounded by `open_bins`.
+    Full pieces are sequences by themselves, numbered where they are read, from -1 down. The others are dealt evenly to
+    tasks of about `group` pieces, whatever the input's size. There they arrive in the order of a hash; each run of
+    `run` pieces is placed longest first by best fit into at most `open_bins` open bins, the fullest of which closes
+    when there is one too many. Memory is bounded by a run and the open bins.
     """
-    n = parts.where(F.col("length") < capacity).count()
-    # sequence numbers come from the partition's, so the dealing must not depend on which attempt of a task runs
-    dealt = parts.repartition(max(1, -(-n // group)), F.xxhash64("doc_id", "piece", "start", "ids_crc32")).sortWithinPartitions(F.col("length").desc(), "doc_id", "piece", "ids_crc32")
+    short = parts.where(F.col("length") < capacity)
+    tasks = max(1, -(-short.count() // group))
+    # sequence numbers come from the partition's, so neither dealing nor order may depend on which attempt of a task
+    # runs: Spark sorts rows before it deals them evenly, and ties in the order below are equal rows
+    order = F.xxhash64(*parts.columns)
+    dealt = short.repartition(tasks).sortWithinPartitions(order, "doc_id", "piece", "start", "ids_crc32")
     names = parts.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields)
-    return dealt.mapInArrow(_pack(capacity, open_bins, names.index("length"), names), f"{schema}, sequence_id long, offset long")
+    packed = dealt.mapInArrow(_pack(capacity, open_bins, run, names.index("length"), names), f"{schema}, sequence_id long, offset long")
+    whole = parts.where(F.col("length") >= capacity)
+    whole = whole.withColumn("sequence_id", F.lit(-1).cast("long") - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    return packed.unionByName(whole)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, separator: int = SEPARATOR, with_ids: bool = False) -> DataFrame:

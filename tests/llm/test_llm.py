@@ -260,6 +260,7 @@ def test_packing(spark):
     out = packing.pack_documents(table(spark, rows), path, capacity=64, with_ids=True).collect()
     used = check_packing(out, 64)
     assert used <= 1.02 * -(-sum(r.length for r in out) // 64) + 1
+    assert all((r.sequence_id < 0) == (r.length == 64) for r in out)
     tk = tokens.tokenizer(path)
     want = Counter(tuple([*tk.encode(t or "", add_special_tokens=False).ids, 0]) for _, t in rows)
     docs = defaultdict(list)
@@ -285,6 +286,30 @@ def test_bins():
             assert fill[number] == offset
             fill[number] += n
             assert bins.open <= limit and max(fill.values()) <= 100
+    for limit, size in ((4, 30), (64, 4096), (1 << 17, 1)):  # against best fit by a look at all open bins
+        lengths = np.array([rng.randint(1, 99) for _ in range(500)])
+        bins, got = packing.Bins(100, limit), []
+        for i in range(0, 500, size):
+            got += packing.place_run(bins, lengths[i : i + size]).tolist()
+        free, closed, want, opened = {}, 0, [], 0
+        for i in range(0, 500, size):
+            part = lengths[i : i + size].tolist()
+            places = {}
+            for j in sorted(range(len(part)), key=lambda j: (-part[j], j)):
+                fits = [f for f in free.values() if f >= part[j]]
+                room = min(fits) if fits else 100
+                number = max(b for b, f in free.items() if f == room) if fits else opened
+                opened += not fits
+                places[j] = (room, 100 - room)
+                free[number] = room - part[j]
+                if not free[number]:
+                    del free[number]
+                if len(free) > limit:
+                    least = min(free.values())
+                    del free[max(b for b, f in free.items() if f == least)]
+                    closed += 1
+            want += [places[j] for j in range(len(part))]
+        assert [(100 - o, o) for _, o in got] == want and bins.next == opened and (closed > 0) == (limit < 100)
     bins = packing.Bins(10, 2)
     assert [bins.place(n)[0] for n in (6, 5, 8, 4, 5)] == [0, 1, 2, 0, 1]  # the third bin closed at once: it was the fullest
 
@@ -493,7 +518,7 @@ def test_most_blocks_are_never_read(monkeypatch, long):
     assert 3 * shard.decoded < blocks, (shard.decoded, blocks)
 
 
-def test_warc(spark, tmp_path):
+def test_warc(spark, tmp_path, monkeypatch):
     pages = [(1, "http://www.Ex.org/a#f", "<p>x\r\n\r\ny</p>"), (2, "http://b.ex.org/", "<p>x\r\n\r\ny</p>"), (3, None, None), (4, "http://ex.org/a", ""), (5, "http://ex.org:80/a?q=1", "🙂"), (None, "u", "🙂"), (7, "http://c.org", "é" * 5000)]
     df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, digest string")
     out = {r.page_id: r for r in warc.archive_round_trip(df).collect()}
@@ -507,13 +532,50 @@ def test_warc(spark, tmp_path):
     warc.write_warc(df, f"file://{tmp_path}/w", min_payload=1, records_per_file=2)
     index = warc.build_index(spark, f"file://{tmp_path}/w")
     assert index.agg(F.sum("n")).first()[0] == len(pages)
-    found = warc.lookup(index, ["http://ex.org/a", "http://nowhere.org/"])
+    found = list(warc.lookup(index, ["http://ex.org/a", "http://nowhere.org/"]))
     assert [f["page_id"] for f in found] == [1, 4]
     assert all(f["headers"]["warc-type"] == "response" for f in found)
+    monkeypatch.setattr(warc, "CLASSES", ((100, 3), (1000, 2), (None, 1)))  # larger records go to files of fewer
+    warc.write_warc(df, f"file://{tmp_path}/v")
+    assert sorted(r.page_id or 0 for r in warc.read_archives(spark, f"file://{tmp_path}/v", warc.build_index(spark, f"file://{tmp_path}/v")).collect()) == [0, 1, 2, 3, 4, 5, 7]
     assert warc.reversed_host_key("http://www.Ex.org:8080/a?b#c") == "org,ex)/a?b"
     assert warc.archive_round_trip(df.limit(0)).count() == 0
 
 
+def test_archives_of_others(spark, tmp_path):
+    """WARC/1.0 and 1.1, gzip by record and as a whole, records of other types, headers in another order, no digest."""
+    import base64
+    import gzip
+
+    def record(version, kind, uri, content, *more):
+        head = [f"WARC/{version}", f"WARC-Record-ID: <urn:uuid:{uri}>", f"Content-Length: {len(content)}", f"WARC-Type: {kind}", *more]
+        return "\r\n".join(head + ([f"WARC-Target-URI: {uri}"] if uri else [])).encode() + b"\r\n\r\n" + content + b"\r\n\r\n"
+
+    page = lambda b: b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + b
+    sha = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
+    body = b"x" * 100_000
+    records = [
+        record("1.0", "warcinfo", "", b"software: other\r\n"),
+        record("1.0", "request", "http://a.org/1", b"GET / HTTP/1.1\r\n\r\n"),
+        record("1.0", "response", "http://a.org/1", page(b"one"), f"WARC-Payload-Digest: sha1:{sha(b'one')}"),
+        record("1.1", "response", "<http://a.org/2>", page(body)),
+        record("1.1", "revisit", "http://a.org/3", page(b""), f"WARC-Payload-Digest: sha1:{sha(b'one')}", "WARC-Refers-To: <urn:uuid:q>"),
+        record("1.1", "resource", "http://a.org/4", b"plain"),
+    ]
+    d = tmp_path / "w"
+    d.mkdir()
+    (d / "part-a.warc").write_bytes(b"".join(records))
+    (d / "part-b.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    (d / "part-c.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    index = warc.build_index(spark, f"file://{d}")
+    out = warc.read_archives(spark, f"file://{d}", index).collect()
+    want = [("http://a.org/1", 3, sha(b"one"), "response"), ("http://a.org/2", 100_000, sha(body), "response"), ("http://a.org/3", None, sha(b"one"), "revisit"), ("http://a.org/4", 5, sha(b"plain"), "resource")]
+    assert sorted((r.url, r.payload_bytes, r.payload_digest, r.record_type) for r in out) == sorted(want * 3, key=lambda x: x[0])
+    assert all(r.page_id is None and r.refers_to is None for r in out)
+    found = list(warc.lookup(index, ["http://a.org/2"]))
+    assert len(found) == 3 and all(f["content"] == page(body) for f in found)
+
+
 def test_fingerprints(spark):
     rows = corpus(7) + [(None, "tail"), (None, None)]
     out = FP.compare_edited(table(spark, rows), parts=5).collect()
