@@ -16,8 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK = 1 << 16
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -30,9 +30,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint8)
-_KEYS = [np.uint64(int(x) | 1) for x in mix(np.arange(300, 304, dtype=np.uint64) * np.uint64(_BASE))]
+_KEYS = [np.uint64(int(x) | 1) for x in mix(np.arange(300, 304, dtype=np.uint64) * np.uint64(BASE))]
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 #: Longer words are hashed by BLAKE2, one by one.
 LONG_WORD = 64
@@ -67,7 +67,7 @@ def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return np.frombuffer(out, dtype=np.uint64).reshape(-1, 2)
 
 
-def powers(n: int, base: int = _BASE) -> np.ndarray:
+def powers(n: int, base: int = BASE) -> np.ndarray:
     """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
     have = _powers.get(base)
     if have is None or len(have) < n:

@@ -40,6 +40,44 @@ def _signatures(raw: np.ndarray, offs: np.ndarray, sums: np.ndarray, doc: np.nda
     return [chars[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
+def _levels(roll: np.ndarray) -> np.ndarray:
+    """How many ones each hash ends in."""
+    zeros = ~roll
+    lowest = zeros & (np.uint64(0) - zeros)
+    return np.where(lowest == 0, 64, np.log2(np.maximum(lowest, 1).astype(np.float64)).astype(np.int64))
+
+
+def _bits(size: np.ndarray) -> np.ndarray:
+    return np.ceil(np.log2(np.maximum(size, 1) / LONGEST)).clip(0).astype(np.int64)
+
+
+def _long(raw: np.ndarray) -> str:
+    """The fingerprint of one long text, read in pieces: memory is a piece's and a few numbers for each likely chunk."""
+    bits = int(_bits(np.array([len(raw)]))[0])
+    least, ends, levels = max(bits - 1, 0), [], []
+    for a in range(0, len(raw) - WINDOW + 1, C.BLOCK):
+        level = _levels(C.windows(C.TABLE[raw[a : a + C.BLOCK + WINDOW - 1]], WINDOW))
+        hit = np.flatnonzero(level >= least)
+        ends.append(hit + a + WINDOW)
+        levels.append(level[hit])
+    end, level = np.concatenate(ends), np.concatenate(levels)
+    bits = least if (level >= bits).sum() + 1 < FEWEST else bits
+
+    def signature(bits: int) -> str:
+        cuts = [0, *end[level >= bits][: LONGEST - 1].tolist()]
+        cuts += [len(raw)] if cuts[-1] < len(raw) else []
+        out = []
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            h = 0
+            for a in range(s, e, C.BLOCK):
+                part = C.TABLE[raw[a : min(e, a + C.BLOCK)]]
+                h += int((part * C.powers(len(part))).sum(dtype=np.uint64)) * pow(C.BASE, a - s, 1 << 64)
+            out.append(_ALPHABET[int(C.mix(np.array([(h + e - s) % (1 << 64)], dtype=np.uint64))[0]) >> 58])
+        return bytes(out).decode("ascii")
+
+    return f"{1 << bits}:{signature(bits)}:{signature(bits + 1)}"
+
+
 def fingerprints(column: pa.Array) -> list[str]:
     """`block size:signature:signature at twice the block size` of each text; equal texts have equal fingerprints."""
     raw, offsets = C.utf8(column)
@@ -47,7 +85,10 @@ def fingerprints(column: pa.Array) -> list[str]:
     for i, j in C.blocks(offsets):
         part, offs = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         size = np.diff(offs)
-        bits = np.ceil(np.log2(np.maximum(size, 1) / LONGEST)).clip(0).astype(np.int64)
+        if j == i + 1 and len(part) > 2 * C.BLOCK:
+            out.append(_long(part))
+            continue
+        bits = _bits(size)
         values = C.TABLE[part]
         sums = C.prefix(values)
         roll = C.windows(values, WINDOW)
@@ -56,9 +97,7 @@ def fingerprints(column: pa.Array) -> list[str]:
         mask = ((np.uint64(1) << least.astype(np.uint64)) - np.uint64(1))[doc]
         end = np.arange(len(roll)) + WINDOW
         hit = np.flatnonzero(((roll & mask) == mask) & (end <= offs[1:][doc]))
-        ones = ~roll[hit]
-        ones &= np.uint64(0) - ones  # the lowest zero of roll
-        level = np.where(ones == 0, 64, np.log2(np.maximum(ones, 1).astype(np.float64)).astype(np.int64))
+        level = _levels(roll[hit])
         doc, end = doc[hit], end[hit]
         few = np.bincount(doc[level >= bits[doc]], minlength=j - i) + 1 < FEWEST
         bits = np.where(few, least, bits)
@@ -87,7 +126,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars and fingerprint of every document. Null texts are empty; one row per input row."""
+    """doc_id, n_chars and fingerprint of every document. Null texts are empty; one row per input row, none for an empty table."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(batches):

@@ -20,7 +20,7 @@ from rollcall.llm.common import bits_of, documents, fetched, i64, may_hold, reba
 from rollcall.operators.graph import connected_components
 from rollcall.storage import materialize
 
-NGRAM, PERCENT = 4, 85
+NGRAM, PERCENT = 5, 80
 #: log2 of the counters that tell very frequent shingles, and of the slots for those whose documents were counted exactly.
 #: Both tables have a fixed size, so they may be broadcast; when they fill up, fewer shingles are told apart.
 SKETCH_BITS, HOT_BITS = 18, 22

@@ -24,6 +24,9 @@ from rollcall.storage import ship
 #: At most so many labelled rows are fitted on, chosen by a hash of their ids.
 MAX_LABELLED = 24_000
 PRIOR, DRIFT, LEVELS = 10.0, 2.5, (4, 6, None)
+#: Documents of the sample, of either class, that a feature must be in to have log-odds of its own; a rarer one says little
+#: beyond its prior and is read as that: as the next shorter prefix.
+LEAST = 2
 SIGNIFICANT = 0.05
 _PUNCT = np.zeros(256, dtype=bool)
 _PUNCT[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
@@ -158,6 +161,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, prior: float = PRIOR, drift: float = DRIFT) -> Model:
     """Fit on at most `max_labelled` labelled documents outside fold 0: folds 1 to 3 give the log-odds, fold 4 the calibration.
 
+    Repeated labels of a document count once, a toxic one before a clean one. Without any toxic and clean document in
+    fold 4 the curve is a plain one around the share of toxic documents.
     The sample's size is bounded, so it is broadcast; each distinct text counts once. Labels other than 0 and 1 are left out.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(fold(F.col("doc_id")) != 0)
@@ -170,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, pr
         sizes = {r.toxic: r.n for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
         base = (sizes.get(1, 0) + 0.5) / (sum(sizes.values()) + 2.0)
         counted = train.mapInArrow(_count, "level int, key long, parent long, n0 long, n1 long").groupBy("level", "key").agg(F.first("parent").alias("parent"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-        level_of, key_of, parent_of, n0, n1 = fetched(counted.where("n1 >= 2").select(F.col("level").cast("long"), "key", "parent", "n0", "n1"))
+        level_of, key_of, parent_of, n0, n1 = fetched(counted.where(F.col("n0") + F.col("n1") >= LEAST).select(F.col("level").cast("long"), "key", "parent", "n0", "n1"))
         model = Model([], [])
         known, known_share = np.zeros(0, np.int64), np.zeros(0)
         for level in range(len(LEVELS)):

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -232,6 +233,15 @@ def test_long_documents(spark):
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.suffix_dedup(table(spark, rows)).collect()) == brute_bytes(rows, 200)
 
 
+def test_near_copies_between_thresholds(spark):
+    """Two words in a hundred changed: 0.811 of five-word shingles, which is a copy, though 0.848 of four-word ones is not at 85 percent."""
+    w = [f"w{i}" for i in range(100)]
+    near = [*w[:30], "other", *w[31:70], "another", *w[71:]]
+    docs = table(spark, [(1, " ".join(w)), (2, " ".join(near))])
+    assert [r.doc_id for r in jaccard.keep_one(docs).collect()] == [1]
+    assert {r.component_id for r in jaccard.jaccard_components(docs, 4, 85).collect()} == {1, 2}
+
+
 def test_jaccard_edges(spark):
     assert jaccard.jaccard_components(table(spark, [])).count() == 0
     docs = table(spark, [(None, "a b c d e"), (3, "a b c d e"), (3, "q"), (9, "Q"), (11, "A B c d e"), (12, None), (13, "")])
@@ -604,6 +614,75 @@ def test_fingerprints(spark):
     assert FP.compare_edited(table(spark, [(1, "abcd")])).first().edited_sha256 == hashlib.sha256(b"abab").hexdigest()
 
 
+def brute_hash(data):
+    """Rabin-Karp modulo 2 ** 64 over random numbers for bytes, mixed, as the docstrings of codes.py define it."""
+    h = (sum(int(C.TABLE[b]) * pow(C.BASE, k, 1 << 64) for k, b in enumerate(data)) + len(data)) % (1 << 64)
+    h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 % (1 << 64)
+    h = (h ^ (h >> 27)) * 0x94D049BB133111EB % (1 << 64)
+    return h ^ (h >> 31)
+
+
+def brute_fingerprint(text):
+    b = (text or "").encode()
+    roll = {k + 7: brute_hash(b[k : k + 7]) for k in range(len(b) - 6)}
+    size = 1
+    while size * 64 < len(b):
+        size *= 2
+    if sum(h % size == size - 1 for h in roll.values()) + 1 < 32:
+        size = max(size // 2, 1)
+
+    def signature(size):
+        cuts = [0, *[e for e, h in roll.items() if h % size == size - 1][:63]]
+        cuts += [len(b)] * (cuts[-1] < len(b))
+        letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+        return "".join(letters[brute_hash(b[x:y]) >> 58] for x, y in zip(cuts, cuts[1:], strict=False))
+
+    return f"{size}:{signature(size)}:{signature(2 * size)}"
+
+
+def brute_likeness(a, b):
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x):
+            last, row[0] = row[0], i + 1
+            for j, d in enumerate(y):
+                last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (c != d))
+        return row[-1]
+
+    near = lambda x, y: 1 - distance(x, y) / max(len(x), len(y)) if x or y else 1.0
+    (p, a1, a2), (q, b1, b2) = a.split(":"), b.split(":")
+    if int(p) == int(q):
+        return 1.0 if a == b else max(near(a1, b1), near(a2, b2))
+    return near(a2, b1) if int(q) == 2 * int(p) else near(a1, b2) if int(p) == 2 * int(q) else 0.0
+
+
+def test_fingerprints_by_definition(spark, monkeypatch):
+    rng = random.Random(21)
+    base = "".join(rng.choice("abcdefgh é\n") for _ in range(5000))
+    rows = [(i, base[: rng.randint(0, 5000)] + "".join(rng.choice("xyz ") for _ in range(rng.randint(0, 400)))) for i in range(25)]
+    rows += [(30, None), (31, ""), (32, "a" * 3000), (33, "short"), (34, base), (35, base)]
+    out = {r.doc_id: r for r in FP.compare_edited(table(spark, rows), parts=3).collect()}
+    for k, (i, t) in enumerate(rows):
+        t, n = t or "", rows[(k + 1) % len(rows)][1] or ""
+        edited = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        own, other, after = (brute_fingerprint(x) for x in (t, edited, n))
+        assert (out[i].fingerprint, out[i].edited_fingerprint) == (own, other)
+        assert (out[i].near_edited, out[i].near_next) == pytest.approx((brute_likeness(own, other), brute_likeness(own, after)))
+    monkeypatch.setattr(C, "BLOCK", 700)  # texts of more than two blocks are read in pieces
+    assert [FP.fingerprints(pa.array([t], pa.string()))[0] for _, t in rows] == [brute_fingerprint(t) for _, t in rows]
+
+
+def test_fingerprint_of_long_text_is_lean():
+    import tracemalloc
+
+    text = pa.array(["".join(random.Random(2).choices("abcdefgh ", k=1 << 20)) * 10])
+    tracemalloc.start()
+    FP.fingerprints(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 15 * (10 << 20)
+
+
 def brute_segments(values):
     """Ruzzo and Tompa's recursion: the best segment, then what lies left and right of it."""
     best, at = 0.0, None
@@ -661,6 +740,67 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(table(spark, []), model).count() == 0
 
 
+def test_toxicity_by_definition(spark):
+    rows, labels = toxic_rows(300)
+    rows = [(i, " ".join(t.split(" ")[:30])) for i, t in rows] + [(700, "vile grim foul " * 5), (701, ""), (702, "unheard of")]
+    labels += [(3, 1, 1), (3, 1, 0)]  # repeated labels
+    model = toxicity.fit(table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(table(spark, rows), model).collect()}
+
+    def features(text):
+        out = []
+        for w in (text or "").encode().split():
+            for _ in range(4):
+                w = w[:-1] if len(w) > 1 and chr(w[-1]) in string.punctuation else w
+                w = w[1:] if len(w) > 1 and chr(w[0]) in string.punctuation else w
+            w = w.lower()
+            out.append([(0, w[:4]), (1, w[:6]), (2, w)])
+        return out
+
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    toxic = {}
+    for i, _, t in labels:
+        toxic[i] = max(t, toxic.get(i, 0))
+    known = [(i, t, toxic[i]) for i, t in rows if i in toxic and fold(i)]
+    train = [(t, y) for i, t, y in known if fold(i) < 4]
+    base = (sum(y for _, y in train) + 0.5) / (len(train) + 2)
+    n = defaultdict(lambda: [0, 0])
+    for t, y in train:
+        for f in {f for x in features(t) for f in x}:
+            n[f][y] += 1
+    share = lambda f, up: (n[f][1] + 10 * up) / (sum(n[f]) + 10) if f in n and sum(n[f]) >= 2 else None
+
+    def value(levels):
+        up, out = base, 0.0
+        for f in levels:
+            own = share(f, up)
+            if own is not None:
+                out = np.log(own / (1 - own)) - np.log(base / (1 - base))
+            up = base if own is None else own
+        return out - 2.5
+
+    def measure(t):
+        v = [value(x) for x in features(t)]
+        s = [x for _, _, x in brute_segments(v)]
+        return len(v), max(s, default=0.0), sum(s)
+
+    held = [(*measure(t), y) for i, t, y in known if fold(i) == 4]
+    over = [b for _, b, _, y in held if not y and b > 0]
+    K = (len(over) + 0.5) / (sum(m for m, _, _, y in held if not y) + 1)
+    lam = (len(over) + 1) / (sum(over) + 1)
+
+    def evidence(m, best, total):
+        p = 1 - np.exp(-K * max(m, 1) * np.exp(-lam * best))
+        return np.array([1.0, -np.log(max(p, 1e-300)) if best > 0 else 0.0, np.log1p(total)])
+
+    w = np.array(model.curve)
+    slope = sum((1 / (1 + np.exp(-w @ evidence(m, b, s))) - y) * evidence(m, b, s) for m, b, s, y in held) + 0.1 * w
+    assert np.abs(slope).max() < 1e-6  # the curve is where the penalised likelihood is highest
+    assert got == pytest.approx({i: 1 / (1 + np.exp(-w @ evidence(*measure(t)))) for i, t in rows}, abs=1e-9)
+    some = [(i, q, t) for i, q, t in labels if fold(i) != 4]
+    assert 0 <= toxicity.fit(table(spark, rows), spark.createDataFrame(some, "doc_id long, quality int, toxic int")).probability(5, 0.0, 0.0) < 0.5
+
+
 def test_queries_have_sql_or_tests():
     from rollcall.llm import queries
 

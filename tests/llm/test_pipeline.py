@@ -22,7 +22,7 @@ def test_pipeline(spark, tmp_path):
     toxic = {r.doc_id for r in toxicity.score_toxicity(docs, model).collect() if r.predicted}
     assert 30 <= len(toxic) <= 70
     clean = [(i, t) for i, t in rows if i not in toxic]
-    one = brute_components(clean, 4, 85)
+    one = brute_components(clean, 5, 80)
     kept = [(i, t) for i, t in clean if one[i][1] == i]
     count = Counter()
     for _, t in kept:
