@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each component of the n-gram Jaccard join."""
-    return keep_one(docs)
+    """One document, that of the smallest doc_id, of each component of the n-gram Jaccard join: five words, 80 percent or more."""
+    return keep_one(docs, ngram=5, percent=80)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
