@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules() -> list:
-    from rollcall.plans import recognition, relational
+    from rollcall.plans import inventory, recognition, relational
 
-    return [relational, recognition]
+    return [relational, recognition, inventory]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
