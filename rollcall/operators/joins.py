@@ -219,12 +219,12 @@ def roles_of(ids: Column, roles: Column) -> Column:
     return F.transform(ids, lambda i: F.try_element_at(roles, i))
 
 
-def similarity_join(queries: DataFrame, bank: DataFrame, keys: list[str], top: int = 3, block: int = 20_000) -> DataFrame:
+def similarity_join(queries: DataFrame, bank: DataFrame, keys: list[str], top: int = 3, block: int = 20_000, part: int = 20_000) -> DataFrame:
     """JN10 with AGG2: mean of the `top` highest cosines per (query, character), inside the keys, by matrix products.
 
-    queries: keys, query_id, feature; bank: keys, character, pos, feature. At most about `block` queries of a key meet the
-    key's bank in a task, so the bank of a key (a movie's exemplars) must fit one; pairs never leave the function. A
-    character's pos is its smallest.
+    queries: keys, query_id, feature; bank: keys, character, pos, feature. About `block` queries of a key meet about `part`
+    exemplars of the key in a task; a bank is split by character, whose exemplars stay together, as its mean needs them
+    all. Pairs never leave the function. A character's pos is its smallest.
     """
     import numpy as np
     import pandas as pd
@@ -247,23 +247,26 @@ def similarity_join(queries: DataFrame, bank: DataFrame, keys: list[str], top: i
 
         out, qm = [], unit(q["feature"])
         whole = unit(b["feature"])
-        for character, part in b.reset_index(drop=True).groupby("character", sort=False)["pos"]:
-            bm = whole[part.index]
+        for character, places in b.reset_index(drop=True).groupby("character", sort=False)["pos"]:
+            bm = whole[places.index]
             for i in range(0, len(q), 4096):
                 sims = qm[i : i + 4096] @ bm.T
                 if sims.shape[1] > top:
                     sims = np.partition(sims, sims.shape[1] - top, axis=1)[:, -top:]
                 part_q = q.iloc[i : i + 4096]
-                out.append(part_q[[*keys, "query_id"]].assign(character=character, pos=int(part.min()), score=sims.mean(axis=1)))
+                out.append(part_q[[*keys, "query_id"]].assign(character=character, pos=int(places.min()), score=sims.mean(axis=1)))
         return pd.concat(out)[names]
 
-    # a key with very many queries is split into blocks, each of which meets the whole bank of the key
-    q = queries.select(*keys, "query_id", F.col("feature"))
-    blocks = q.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
-    q = q.join(blocks, keys).withColumn("_block", F.pmod(F.xxhash64("query_id"), F.col("_blocks")).cast("int")).drop("_blocks")
-    b = bank.select(*(F.col(k).alias(k) for k in keys), F.col("character").alias("character"), F.col("pos").alias("pos"), F.col("feature").alias("feature"))
-    b = b.join(blocks, keys).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(*(F.col(k).alias(k) for k in keys), F.col("_block").alias("_block"), F.col("character").alias("character"), F.col("pos").alias("pos"), F.col("feature").alias("feature"))
-    return q.groupBy(*keys, "_block").cogroup(b.groupBy(*keys, "_block")).applyInPandas(score, schema)
+    # a key with very many queries or exemplars is split into blocks of both, every two of which meet
+    columns = [F.col(k).alias(k) for k in keys]
+    q, b = queries.select(*columns, "query_id", "feature"), bank.select(*columns, "character", "pos", "feature")
+    count = lambda df, size, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    sizes = count(q, block, "_blocks").join(count(b, part, "_parts"), keys)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = q.join(sizes, keys).withColumn("_block", F.pmod(F.xxhash64("query_id"), F.col("_blocks")).cast("int")).withColumn("_part", each("_parts")).select(*columns, "_block", "_part", "query_id", "feature")
+    b = b.join(sizes, keys).withColumn("_part", F.pmod(F.xxhash64("character"), F.col("_parts")).cast("int")).withColumn("_block", each("_blocks"))
+    b = b.select(*columns, *(F.col(c).alias(c) for c in ("_block", "_part", "character", "pos", "feature")))  # new names, as both may come from one table
+    return q.groupBy(*keys, "_block", "_part").cogroup(b.groupBy(*keys, "_block", "_part")).applyInPandas(score, schema)
 
 
 def box_pairs(a: DataFrame, b: DataFrame, keys: list[str], least: float = 0.0, eps: bool = False) -> DataFrame:

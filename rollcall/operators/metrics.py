@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollcall.operators.windows import running
+
 
 def pr_curve(df: DataFrame, keys: list[str], score: str, hit: str) -> DataFrame:
     """AGG26: precision and recall at every distinct score, from the highest; tied scores are one threshold.
 
-    Rows are first counted per score, so windows see thresholds, not rows.
+    Rows are first counted per score, and thresholds are summed up by ranges, so a group may be of any size.
     """
     at = df.groupBy(*keys, score).agg(F.sum(F.col(hit).cast("long")).alias("tp"), F.count("*").alias("n"))
-    w = Window.partitionBy(*keys).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("tp").over(Window.partitionBy(*keys))
-    out = at.withColumns({"tps": F.sum("tp").over(w), "ns": F.sum("n").over(w), "total": total})
+    out = running(at, keys, [F.col(score).desc()], {"tps": F.col("tp"), "ns": F.col("n")}).withColumnRenamed("total_tps", "total")
     return out.select(*keys, score, "tp", (F.col("tps") / F.col("ns")).alias("precision"), F.try_divide(F.col("tps").cast("double"), F.col("total")).alias("recall"), "total")
 
 
@@ -35,8 +35,7 @@ def average_precision_total(df: DataFrame, key: str, score: str, hit: str) -> Da
 def roc_auc(df: DataFrame, keys: list[str], score: str, hit: str, out: str = "auc") -> DataFrame:
     """AGG27: share of (correct, wrong) pairs in the right order, ties a half; null where either kind is missing."""
     at = df.groupBy(*keys, score).agg(F.sum(F.col(hit).cast("long")).alias("p"), F.sum(1 - F.col(hit).cast("long")).alias("q"))
-    w = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    below = at.withColumn("below", F.coalesce(F.sum("q").over(w), F.lit(0)))
+    below = running(at, keys, [F.col(score)], {"upto": F.col("q")}).withColumn("below", F.col("upto") - F.col("q"))
     won = F.sum(F.col("p") * (F.col("below") + F.col("q") / 2))
     return below.groupBy(*keys).agg(F.try_divide(won.cast("double"), F.sum("p") * F.sum("q")).alias(out))
 
@@ -44,10 +43,10 @@ def roc_auc(df: DataFrame, keys: list[str], score: str, hit: str, out: str = "au
 def detection_ap(matches: DataFrame, keys: list[str], n_gt: str = "n_gt") -> DataFrame:
     """AGG28: rows ranked by score, ties in input order; sum of recall steps times precision, row by row.
 
-    matches: keys, score, pos, tp (0 or 1) and n_gt, the number of true boxes of the whole set.
+    matches: keys, score, pos, tp (0 or 1) and n_gt, the number of true boxes of the whole set. Rows are ranked by ranges,
+    so a group may be of any size.
     """
-    w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("pos"))
-    ranked = matches.withColumns({"rank": F.row_number().over(w), "tps": F.sum("tp").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    ranked = running(matches, keys, [F.col("score").desc(), F.col("pos")], {"rank": F.lit(1), "tps": F.col("tp")})
     return ranked.groupBy(*keys).agg((F.sum(F.when(F.col("tp") == 1, F.col("tps") / F.col("rank")).otherwise(0.0)) / F.max(n_gt)).alias("ap"))
 
 

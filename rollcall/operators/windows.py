@@ -38,9 +38,36 @@ def first_occurrence(df: DataFrame, keys: list[str], pos: str) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column], total: str = "total_") -> DataFrame:
+    """df with running sums in a total order of each group, the row itself included, and with each sum's total of the group.
+
+    A group may be of any size, all rows among them: rows are dealt by ranges of keys and order and written, each range's
+    sums are added up (a row for each range and group that it holds), and windows see one range's rows of a group.
+    """
+    from rollcall.storage import materialize
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = df.withColumns({f"_v_{n}": c for n, c in sums.items()})
+    dealt = materialize(named.repartitionByRange(parts, *map(F.col, keys), *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    ranges = dealt.groupBy(*keys, "_part").agg(*(F.sum(f"_v_{n}").alias(f"_s_{n}") for n in sums))
+    w = Window.partitionBy(*keys)
+    before = w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(
+        *(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_part").alias("_k_part"),
+        *(F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums), *(F.sum(f"_s_{n}").over(w).alias(f"{total}{n}") for n in sums),
+    )
+    on = dealt["_part"] == ranges["_k_part"]
+    for k in keys:
+        on = on & dealt[k].eqNullSafe(ranges[f"_k_{k}"])
+    own = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.join(ranges, on).withColumns({n: F.col(f"_b_{n}") + F.sum(f"_v_{n}").over(own) for n in sums})
+    return out.select(*df.columns, *sums, *(f"{total}{n}" for n in sums))
+
+
 def renumber(df: DataFrame, keys: list[str], pos: str, out: str = "index") -> DataFrame:
-    """WIN6: 0, 1, 2 ... in each group in the order of pos."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(pos)) - 1)
+    """WIN6: 0, 1, 2 ... in each group in the order of pos. Groups may be of any size, see running()."""
+    counted = running(df, keys, [F.col(pos)], {"_i": F.lit(1)})
+    return counted.withColumn(out, (F.col("_i") - 1).cast("int")).select(*df.columns, out)
 
 
 def exact_dedup_renumber(df: DataFrame, keys: list[str], content_key: str, pos: str, out: str = "index") -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules() -> list:
-    from rollcall.plans import inventory, recognition, relational
+    from rollcall.plans import flows, inventory, recognition, relational
 
-    return [relational, recognition, inventory]
+    return [relational, recognition, inventory, flows]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

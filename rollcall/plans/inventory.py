@@ -280,7 +280,7 @@ def q48_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 Q48 = """WITH e AS (SELECT user_id % 40 AS g, event_id AS k, event_type AS t FROM events), n AS (SELECT g, count(*) AS n, count(*) FILTER (k % 11 = 0) AS a, count(*) FILTER (k % 11 = 1) AS b FROM e GROUP BY g),
 p AS (SELECT g, sum(CASE WHEN c > 1 THEN c ELSE 0 END)::BIGINT AS pairs FROM (SELECT g, t, count(*) AS c FROM e GROUP BY 1, 2) GROUP BY g)
-SELECT g, least(n, 7) AS sampled, 3::BIGINT AS strata, true AS in_stratum, n AS split, true AS near_95, pairs, true AS sound, CASE WHEN a < 30 THEN a + least(b, 30 - a) ELSE a END AS bank, 30::BIGINT AS synthetic, 100::BIGINT AS mixed FROM n JOIN p USING (g)"""
+SELECT g, least(n, 7) AS sampled, 3::BIGINT AS strata, true AS in_stratum, n AS split, true AS near_95, pairs, true AS sound, CASE WHEN a < 30 THEN a + least(b, 30 - a) ELSE a END AS bank, (SELECT least(30, count(*) FILTER (g < 20)) FROM e) AS synthetic, (SELECT least(30, count(*) FILTER (g < 20)) + least(70, count(*) FILTER (g >= 20)) FROM e) AS mixed FROM n JOIN p USING (g)"""
 
 
 def q49_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,7 +190,18 @@ def q28_hungarian(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rollcall.functions.boxes import Box
 
     pairs = a.join(c, "image").select("image", "a", "b", F.round(Box.of("a_").iou(Box.of("b_")), 6).alias("iou"))
-    return matching.assign(pairs, ["image"], "a", "b", least=0.3).withColumn("iou", F.round("iou", 4))
+    return matching.assign(pairs, ["image"], "a", "b", least=0.3)
+
+
+Q28 = f"""WITH RECURSIVE {BOXES_SQL}, p AS (SELECT a.image, a.pos AS a, b.pos AS b, {{}} AS c, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS s FROM boxes a JOIN boxes b ON a.image = b.image AND a.line % 2 = 1 AND b.line % 2 = 0),
+u AS (SELECT image, a, b, round(c / (s - c)::DOUBLE, 6) AS iou, dense_rank() OVER (PARTITION BY image ORDER BY a) AS i, dense_rank() OVER (PARTITION BY image ORDER BY b) AS j FROM p),
+k AS (SELECT image, max(i) AS n FROM u GROUP BY image),
+t AS (SELECT image, 0::BIGINT AS n, []::BIGINT[] AS used, 0::DOUBLE AS total, []::BIGINT[] AS picks FROM k
+  UNION ALL SELECT image, n, used, max(total), arg_max(picks, total) FROM
+   (SELECT t.image, t.n + 1 AS n, CASE WHEN u.j IS NULL THEN t.used ELSE list_sort(list_append(t.used, u.j)) END AS used, t.total + coalesce(u.iou, 0) AS total, list_append(t.picks, coalesce(u.j, 0)) AS picks
+    FROM t JOIN (SELECT image, i, j, iou FROM u WHERE iou > 0 UNION ALL SELECT DISTINCT image, i, NULL::BIGINT, NULL::DOUBLE FROM u) u ON u.image = t.image AND u.i = t.n + 1 WHERE u.j IS NULL OR NOT list_contains(t.used, u.j)) GROUP BY image, n, used),
+f AS (SELECT image, arg_max(picks, (n, total)) AS picks FROM t GROUP BY image)
+SELECT u.image, a, b, iou FROM u JOIN f ON f.image = u.image AND f.picks[u.i] = u.j WHERE iou >= 0.3""".replace("{}", "greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0)")
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,11 +230,35 @@ def q30_agglomerative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return picked.select("movie", "image", "speaker", F.round("sim", 4).alias("sim"))
 
 
+Q30 = """WITH RECURSIVE e AS (SELECT label AS movie, vec_id AS speaker, vec_id % 7 AS image, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k, embedding::DOUBLE[] AS v FROM embeddings),
+d AS (SELECT a.movie, a.k AS i, b.k AS j, 1 - list_cosine_similarity(a.v, b.v) AS d FROM e a JOIN e b ON a.movie = b.movie AND a.k < b.k),
+s AS (SELECT movie, 0 AS step, list(k ORDER BY k) AS c FROM e GROUP BY movie
+  UNION ALL SELECT movie, step + 1, list_transform(c, lambda x: CASE WHEN x = p.b THEN p.a ELSE x END) FROM
+   (SELECT movie, step, any_value(c) AS c, arg_min({'a': a, 'b': b}, (m, a, b)) AS p, min(m) AS m FROM
+     (SELECT s.movie, step, any_value(c) AS c, least(c[i], c[j]) AS a, greatest(c[i], c[j]) AS b, avg(d) AS m FROM s JOIN d ON d.movie = s.movie AND s.c[i] <> s.c[j] GROUP BY s.movie, step, least(c[i], c[j]), greatest(c[i], c[j])) GROUP BY movie, step) WHERE m < 0.9),
+f AS (SELECT movie, arg_max(c, step) AS c FROM s GROUP BY movie), r AS (SELECT e.*, f.c[e.k] AS cluster FROM e JOIN f USING (movie)),
+w AS (SELECT movie, arg_max(cluster, (n, -cluster)) AS cluster FROM (SELECT movie, cluster, count(DISTINCT image) AS n FROM r GROUP BY 1, 2) GROUP BY movie HAVING max(n) >= 2),
+m AS (SELECT movie, list(x ORDER BY t) AS v FROM (SELECT r.movie, t, avg(v[t]) AS x FROM r JOIN w ON w.movie = r.movie AND w.cluster = r.cluster, range(1, 65) q(t) GROUP BY 1, 2) GROUP BY movie),
+b AS (SELECT e.movie, image, speaker, list_cosine_similarity(e.v, m.v) AS sim FROM e JOIN m USING (movie) QUALIFY row_number() OVER (PARTITION BY e.movie, image ORDER BY sim DESC, speaker) = 1)
+SELECT movie, image, speaker, round(sim, 4) AS sim FROM b QUALIFY sim >= 1 - 0.9::DOUBLE OR (sim >= 0 AND row_number() OVER (PARTITION BY movie ORDER BY sim DESC, speaker) <= 2)"""
+
+
 def q31_near_dup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("source", "doc_id", K.simhash64(F.col("text")).alias("code"))
     return K.near_dup_greedy(d, ["source"], "code", "doc_id").select("source", "doc_id", "code")
 
 
+Q31 = r"""WITH RECURSIVE w AS (SELECT source, doc_id, unnest(list_distinct(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+', ' ', 'g')), ' '))) AS w FROM documents),
+h AS (SELECT source, doc_id, ('0x' || md5(w)[1:16])::UBIGINT AS h FROM w), n AS (SELECT source, doc_id, count(*) AS n FROM h GROUP BY 1, 2),
+b AS (SELECT source, doc_id, i, sum(((h >> i) & 1::UBIGINT)::INT) AS ones FROM h, range(64) r(i) GROUP BY ALL),
+c AS (SELECT b.source, b.doc_id, string_agg(CASE WHEN 2 * ones > n THEN '1' ELSE '0' END, '' ORDER BY i DESC)::BIT AS code FROM b JOIN n USING (doc_id) GROUP BY 1, 2),
+o AS (SELECT source, code, min(doc_id) AS doc_id, row_number() OVER (PARTITION BY source ORDER BY min(doc_id)) AS k FROM c GROUP BY 1, 2),
+s AS (SELECT source, 1 AS k, [code] AS kept, true AS keep FROM o WHERE k = 1
+  UNION ALL SELECT source, k, CASE WHEN keep THEN list_append(kept, code) ELSE kept END, keep FROM
+   (SELECT o.source, o.k, kept, o.code, len(list_filter(kept, lambda x: bit_count(xor(x, o.code)) <= 6)) = 0 AS keep FROM s JOIN o ON o.source = s.source AND o.k = s.k + 1))
+SELECT o.source, o.doc_id, o.code::BIGINT AS code FROM o JOIN s ON s.source = o.source AND s.k = o.k AND s.keep"""
+
+
 def q32_anchored_two_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bank(spark, sf_dir).select("movie", "character", F.col("vec_id").alias("pos"), (F.col("vec_id") % 20).alias("image"), "feature")
     first = b.groupBy("character").agg(F.min("pos").alias("pos"))

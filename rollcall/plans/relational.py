@@ -179,18 +179,7 @@ least(x.fin, y.fin) - greatest(x.start, y.start) > 15 AS long_enough FROM segmen
 
 
 def q17_point_in_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = segments(spark, sf_dir)
-    span = s.groupBy("clip").agg(F.min("start").alias("t0"))
-    points = span.select("clip", F.explode(F.sequence(F.col("t0"), F.col("t0") + 86400, F.lit(600).cast("long"))).alias("t"))
-    return J.label_at(points, s, ["clip"], "t", "start", "end", "label", "seg_pos", bucket=14400)
-
-
-Q17 = f"""WITH {SEGMENTS_SQL}, p AS (SELECT clip, unnest(range(min(start), min(start) + 86401, 600)) AS t FROM segments GROUP BY clip)
-SELECT p.clip, p.t, arg_max(label, seg_pos) AS label FROM p LEFT JOIN segments s ON s.clip = p.clip AND p.t >= s.start AND p.t < s.fin GROUP BY 1, 2"""
-
-
-def q39_points_of_whole_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels every ten minutes from the first start to the last end of each clip; q17 is the first day of that."""
+    """Labels every ten minutes from the first start to the last end of each clip."""
     s = segments(spark, sf_dir)
     span = s.groupBy("clip").agg(F.min("start").alias("t0"), F.max("end").alias("t1"))
     points = span.select("clip", F.explode(F.sequence(F.col("t0"), F.greatest("t0", "t1"), F.lit(600).cast("long"))).alias("t"))
@@ -198,6 +187,10 @@ def q39_points_of_whole_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.label_at(points, s, ["clip"], "t", "start", "end", "label", "seg_pos", bucket=14400)
 
 
+Q17 = f"""WITH {SEGMENTS_SQL}, p AS (SELECT clip, unnest(range(min(start), greatest(min(start), max(fin)) + 1, 600)) AS t FROM segments GROUP BY clip)
+SELECT p.clip, p.t, arg_max(label, seg_pos) AS label FROM p LEFT JOIN segments s ON s.clip = p.clip AND p.t >= s.start AND p.t < s.fin GROUP BY 1, 2"""
+
+
 def q18_dense_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.lit("m").alias("movie"), (F.col("o_custkey") % 50).alias("clip"), F.date_diff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).alias("frame"), "o_orderkey")
     pred = o.groupBy("movie", "clip", "frame").agg(F.array_sort(F.collect_list("o_orderkey")).alias("boxes"))
@@ -212,18 +205,19 @@ SELECT clip, max(frame) + 1 AS frames, count(*) AS boxes, max(frame) + 1 - count
 def q19_normalised_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     names = p.groupBy("p_name").agg(F.min("p_partkey").alias("pos"))
-    credit = names.select(F.concat(F.lit("The "), F.initcap("p_name"), F.lit(" (voice)")).alias("name"))
-    titles = names.select(F.col("p_name").alias("title"), "pos").where("pos % 3 > 0")
+    # every third credit names a page that does not exist, so that the second tier has work
+    credit = names.select(F.concat(F.lit("The "), F.initcap("p_name"), F.when(F.col("pos") % 3 == 0, F.lit(" Jr.")).otherwise(F.lit("")), F.lit(" (voice)")).alias("name"))
+    titles = names.select(F.col("p_name").alias("title"), "pos")
     exact = J.normalised_match(credit, titles)
     loose = credit.select("name", F.split_part(X.normalise_name(F.col("name")), F.lit(" "), F.lit(1)).alias("w")).join(titles.groupBy(F.split_part("title", F.lit(" "), F.lit(1)).alias("w")).agg(F.min("title").alias("title")), "w").select("name", "title")
     return J.cascade(credit, "name", [("exact", exact.select("name", "title")), ("first_word", loose)]).withColumn("clean", X.clean_name(F.col("name")))
 
 
 Q19 = """WITH n AS (SELECT p_name, min(p_partkey) AS pos FROM part GROUP BY p_name),
-t AS (SELECT p_name AS title FROM n WHERE pos % 3 > 0), f AS (SELECT split_part(title, ' ', 1) AS w, min(title) AS title FROM t GROUP BY 1),
-c AS (SELECT p_name, 'The ' || array_to_string([upper(x[1]) || lower(x[2:]) for x in string_split(p_name, ' ')], ' ') AS clean FROM n)
+t AS (SELECT p_name AS title FROM n), f AS (SELECT split_part(title, ' ', 1) AS w, min(title) AS title FROM t GROUP BY 1),
+c AS (SELECT p_name, pos % 3 > 0 AS known, 'The ' || array_to_string([upper(x[1]) || lower(x[2:]) for x in string_split(p_name, ' ')], ' ') || CASE WHEN pos % 3 = 0 THEN ' Jr.' ELSE '' END AS clean FROM n)
 SELECT clean || ' (voice)' AS name, coalesce(t.title, f.title) AS title, CASE WHEN t.title IS NOT NULL THEN 'exact' ELSE 'first_word' END AS tier_name, clean
-FROM c LEFT JOIN t ON t.title = p_name LEFT JOIN f ON f.w = split_part(p_name, ' ', 1) WHERE coalesce(t.title, f.title) IS NOT NULL"""
+FROM c LEFT JOIN t ON t.title = p_name AND known LEFT JOIN f ON f.w = split_part(p_name, ' ', 1) WHERE coalesce(t.title, f.title) IS NOT NULL"""
 
 
 def q20_token_prefix_match(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,17 +37,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends there, lost executors cost nothing but a reread."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._rollcall_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a materialized table that nothing will read again."""
+    path = getattr(df, "_rollcall_path", None)
+    if path and (df.sparkSession, path) in _written:
+        _written.remove((df.sparkSession, path))
+        _delete(df.sparkSession, path)
 
 
 def clean() -> None:
     """Delete the tables written by this driver; a session that has already stopped is left alone."""
     while _written:
-        spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(*_written.pop())
         except Exception:  # the JVM may be gone at exit
             return
 

@@ -278,6 +278,51 @@ def test_near_dups_of_large_groups(spark, monkeypatch):
     assert sorted(got) == want and 25 <= len(want) < 400
 
 
+def test_running_sums_in_ranges(spark):
+    """Groups that many ranges hold, null keys and ties of the order among them, give what one window gives."""
+    import random
+
+    from rollcall.operators import metrics as M
+
+    rng = random.Random(6)
+    made = [(rng.choice(["a", "b", None]), rng.randint(0, 60) / 10, i, rng.randint(0, 1)) for i in range(900)]
+    df = spark.createDataFrame(made, "g string, score double, pos long, hit int")
+    out = W.running(df, ["g"], [F.col("score").desc(), F.col("pos")], {"n": F.lit(1), "hits": F.col("hit")})
+    want = {}
+    for g in ("a", "b", None):
+        mine = sorted((r for r in made if r[0] == g), key=lambda r: (-r[1], r[2]))
+        want |= {r[2]: (k + 1, sum(x[3] for x in mine[: k + 1]), len(mine)) for k, r in enumerate(mine)}
+    assert {r.pos: (r.n, r.hits, r.total_n) for r in out.collect()} == want
+    assert W.running(df.limit(0), [], [F.col("pos")], {"n": F.lit(1)}).count() == 0
+    whole = sorted(made, key=lambda r: -r[1])
+    ap, tps, ns, total = 0.0, 0, 0, sum(r[3] for r in made)
+    for s in sorted({r[1] for r in whole}, reverse=True):
+        tied = [r[3] for r in whole if r[1] == s]
+        tps, ns = tps + sum(tied), ns + len(tied)
+        ap += sum(tied) / total * tps / ns
+    assert abs(M.average_precision(df, [], "score", "hit").first().ap - ap) < 1e-9
+
+
+def test_similarity_join_in_parts(spark):
+    """A bank that is split by character gives what the whole gives."""
+    from rollcall.operators import joins as J
+
+    vec = [(f"c{i % 9}", i % 9, [float((i * k) % 7 - 3) for k in range(1, 6)]) for i in range(200)]
+    bank = spark.createDataFrame([("m", c, p, v) for c, p, v in vec], "movie string, character string, pos long, feature array<double>")
+    q = spark.createDataFrame([("m", i, vec[i][2]) for i in range(40)], "movie string, query_id int, feature array<double>")
+    got = [rows(J.similarity_join(q, bank, ["movie"], block=b, part=p).withColumn("score", F.round("score", 9)), "query_id", "character", "pos", "score") for b, p in ((20_000, 20_000), (7, 13))]
+    assert got[0] == got[1] and len(got[0]) == 360
+
+
+def test_components_that_do_not_settle(spark):
+    from rollcall.operators.graph import connected_components
+
+    path = spark.createDataFrame([(i, i + 1) for i in range(60)], "src long, dst long")
+    assert {r.component for r in connected_components(path).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        connected_components(path, rounds=1)
+
+
 def test_points_of_whole_clips(spark, tmp_path):
     import datetime as dt
 
@@ -293,7 +338,7 @@ def test_points_of_whole_clips(spark, tmp_path):
         first = min(x[0] for x in mine)
         for at in range(first, max(first, *(x[1] for x in mine)) + 1, 600):
             want.append((clip, at, max(((e, k) for s, f, e, k in mine if s <= at < f), default=(0, None))[1]))
-    got = queries()["q39_points_of_whole_clips"](spark, str(tmp_path))
+    got = queries()["q17_point_in_interval"](spark, str(tmp_path))
     assert rows(got, "clip", "t", "label") == sorted(want) and (1, 29 * 86400, "c") in want
 
 
