@@ -1,8 +1,9 @@
 """N-gram Jaccard join: rare-first prefixes, length, positional and suffix filters, each pair verified once.
 
-Only links that join components are needed, so copies never meet in all pairs: equal shingle sets fall together first,
+Components need only the links that join them, so copies never meet in all pairs: equal shingle sets fall together first,
 every prefix shingle then links its documents to the smallest of them, and only documents that these links leave in
-different components are compared further.
+different components are compared further. Numbers of links, where they are asked for, come from the intersections of
+all different sets of each component, which no link leaves.
 """
 
 from __future__ import annotations
@@ -309,13 +310,95 @@ def apart(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(_pairs(percent), "x long, y long").distinct()
 
 
+#: Bytes of the dense columns that an intersection of sets is summed up by.
+DENSE = 32 << 20
+
+
+def link_counts(sets: list[np.ndarray], weight: np.ndarray, block: np.ndarray, percent: int, across: bool) -> np.ndarray:
+    """For each set the weights of the others that link with it, summed; of those of other blocks only if across."""
+    n = np.array([len(s) for s in sets], dtype=np.int64)
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), n)
+    shared = np.bincount(token)[token] > 1  # a shingle of one set only is in no intersection
+    token, row = np.unique(token[shared], return_inverse=True)[1], row[shared]
+    order = np.argsort(token, kind="stable")
+    token, row = token[order], row[order]
+    common = np.zeros((len(sets), len(sets)), dtype=np.float64)
+    width = max(1, DENSE // (4 * len(sets)))
+    for low in range(0, int(token[-1]) + 1 if len(token) else 0, width):
+        a, b = np.searchsorted(token, [low, low + width])
+        dense = np.zeros((len(sets), width), dtype=np.float32)
+        dense[row[a:b], token[a:b] - low] = 1
+        common += dense @ dense.T
+    linked = 100 * common >= percent * (n[:, None] + n[None] - common)
+    np.fill_diagonal(linked, False)
+    if across:
+        linked &= block[:, None] != block[None]
+    return linked.astype(np.int64) @ weight
+
+
+def _link_sums(percent: int):
+    """Sorted groups of sets, two blocks of a component each, to the weights of each set's links within them."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            weight, block = (np.array([r[k] for r in held], dtype=np.int64) for k in (5, 6))
+            sums = link_counts([np.frombuffer(r[7], np.uint64) for r in held], weight, block, percent, held[0][1] != held[0][2])
+            s1, s2 = (np.array([r[k] for r in held], dtype=np.int64) for k in (3, 4))
+            held.clear()
+            return pa.RecordBatch.from_arrays([i64(s1), i64(s2), i64(sums)], names=["s1", "s2", "links"])
+
+        for batch in rebatched(batches):
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and r[:3] != held[0][:3]:
+                    yield flush()
+                held.append(r)
+        if held:
+            yield flush()
+
+    return f
+
+
+def _class_links(docs: DataFrame, classes: DataFrame, ngram: int, percent: int) -> DataFrame:
+    """(s1, s2, links): how many rows of other sets link with each set that shares its component with another.
+
+    classes: rep, s1, s2, size, component. The sets of a component are dealt into blocks, every two of which meet in a
+    task, as in apart().
+    """
+    spark = docs.sparkSession
+    several = classes.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component", F.ceil(F.col("n") / GROUP).cast("int").alias("blocks"))
+    members = materialize(classes.join(materialize(several, "several"), "component"), "members")
+    hashed = members.select(F.col("rep").alias("doc_id")).distinct().mapInArrow(lambda it: (pa.RecordBatch.from_arrays([i64(C.mix(np.asarray(b.column(0)).astype(np.uint64)))], names=["k"]) for b in it), "k long")
+    bits = spark.sparkContext.broadcast(bits_of(materialize(hashed, "ids"), "k"))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sets(ngram, bits)(batches):
+            both = [C.digests(np.frombuffer(x.as_buffer(), np.uint64), np.zeros(1, np.int64), np.array([len(x.as_buffer()) // 8]))[0] for x in batch.column(1)]
+            both = np.array(both, dtype=np.uint64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([i64(both[:, 0]), i64(both[:, 1]), batch.column(1)], names=["s1", "s2", "shingles"])
+
+    sets = docs.select("doc_id", "text").mapInArrow(found, "s1 long, s2 long, shingles binary").groupBy("s1", "s2").agg(F.first("shingles").alias("shingles"))
+    rows = members.join(sets, ["s1", "s2"])
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("s1", "s2"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("component", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "s1", "s2", F.col("size").alias("weight"), "block", "shingles")
+    count = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartition(count, "component", "b1", "b2").sortWithinPartitions("component", "b1", "b2", "s1", "s2")
+    return dealt.mapInArrow(_link_sums(percent), "s1 long, s2 long, links long").groupBy("s1", "s2").agg(F.sum("links").alias("links"))
+
+
 def _length_filter(a: str, b: str, percent: int) -> Column:
     return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
 
 
-def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, links: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; documents link when 100 * intersection >= percent * union.
 
+    With links also n_links, the rows that a row links with, each counted: those with an equal set and those of other
+    sets, found from the intersections of all sets of its component. Its cost grows with the square of the different
+    sets of a component. Rows with a null doc_id have none and are none.
+
     Sets are of `ngram`-word shingles, A-Z lower-cased; a shorter text is one shingle, an empty or null one has none and
     links with nothing. component_id is the smallest doc_id reachable, itself included. One row per input row; rows that
     share a doc_id are one node, linked if any of their texts is; a null doc_id is its own component, null. Columns
@@ -328,7 +411,7 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
 
     # equal sets: one representative each, the copies' rows are combined before the shuffle
     full = digests.where("n_shingles > 0 and doc_id is not null")
-    classes_of = materialize(full.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts")), "classes")
+    classes_of = materialize(full.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.count("*").alias("size"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts")), "classes")
     copies = full.select("doc_id", "n_shingles", "s1", "s2").join(classes_of.where("rep < last").select("n_shingles", "s1", "s2", "rep"), ["n_shingles", "s1", "s2"]).select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
 
     # every prefix shingle links its documents to the smallest of them; those of one document only are left where they are
@@ -342,10 +425,10 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     star = star.select(F.col("r.doc").alias("x"), F.col("doc").alias("y")).distinct()
     reps = classes_of.select(F.col("rep").alias("doc_id"), "n_shingles", "parts")
     near = verified(docs, star, reps, ngram, percent)
-    links = near.where("linked").select(F.col("x").alias("src"), F.col("y").alias("dst"))
+    joined = near.where("linked").select(F.col("x").alias("src"), F.col("y").alias("dst"))
 
     # what is still apart although it shares a prefix shingle: documents of different components only
-    comp = connected_components(links)
+    comp = connected_components(joined)
     lists = shared.groupBy(F.col("r.doc").alias("r"), "doc", "n").agg(F.collect_list("token").alias("tokens"))
     placed = materialize(lists.join(comp, lists.doc == comp.node, "left").select("r", "doc", "n", "tokens", F.coalesce("component", "doc").alias("c")), "placed")
     mixed = placed.groupBy("r").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("r", F.ceil(F.col("size") / GROUP).cast("int").alias("blocks"))
@@ -354,9 +437,16 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     cross = cross.select("x", "y").join(near.select("x", "y"), ["x", "y"], "left_anti")
     more = verified(docs, cross, reps, ngram, percent).where("linked").select(F.col("x").alias("src"), F.col("y").alias("dst"))
 
-    comp = connected_components(links.unionByName(more).unionByName(copies))
-    out = digests.select("doc_id", "n_shingles")
-    return out.join(comp, out.doc_id == comp.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    comp = connected_components(joined.unionByName(more).unionByName(copies))
+    out = digests.select("doc_id", "n_shingles", "s1", "s2")
+    out = out.join(comp, out.doc_id == comp.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "s1", "s2")
+    if not links:
+        return out.drop("s1", "s2")
+    classes = materialize(classes_of.join(comp, classes_of.rep == comp.node, "left").select("rep", "s1", "s2", "size", F.coalesce("component", "rep").alias("component")), "members")
+    found = classes.join(_class_links(few, classes, ngram, percent), ["s1", "s2"], "left").select("s1", "s2", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    found = materialize(found.where("links > 0"), "links")
+    number = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long")
+    return out.join(found, ["s1", "s2"], "left").select("doc_id", "n_shingles", "component_id", number.alias("n_links"))
 
 
 def keep_one(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:

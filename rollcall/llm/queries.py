@@ -48,7 +48,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(_table(spark, sf_dir, "documents"), 4, 85)
+    return jaccard_components(_table(spark, sf_dir, "documents"), 4, 85, links=True)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +109,7 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
 e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
 r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT e.x, r.c FROM r JOIN e ON e.y = r.doc_id WHERE r.c < e.x)
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, min(r.c)) AS component_id
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, min(r.c)) AS component_id, (SELECT count(*) FROM e WHERE e.x = d.doc_id) AS n_links
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id, n.n
 """
 

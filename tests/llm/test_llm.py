@@ -174,6 +174,26 @@ def brute_components(rows, n, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
+def brute_links(rows, n, percent):
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    sets = []
+    for i, t in rows:
+        w = words_of((t or "").translate(lower))
+        sets.append((i, {tuple(w[k : k + n]) for k in range(max(len(w) - n + 1, min(len(w), 1)))}))
+    link = lambda a, b: a and b and 100 * len(a & b) >= percent * len(a | b)
+    return sorted(((i, sum(1 for y, (j, b) in enumerate(sets) if x != y and None not in (i, j) and link(a, b))) for x, (i, a) in enumerate(sets)), key=repr)
+
+
+@pytest.mark.parametrize(("group", "dense"), [(512, 32 << 20), (3, 64)])
+def test_numbers_of_links(spark, monkeypatch, group, dense):
+    monkeypatch.setattr(jaccard, "GROUP", group)
+    monkeypatch.setattr(jaccard, "DENSE", dense)
+    rows = [(i, t) for i, t in corpus(14, 30) if len(t or "") < 9000] + [(None, "a b c d e"), (300, "a b c d e"), (300, "A b c d e"), (301, "a b c d e f"), (302, "a b c d e")]
+    out = jaccard.jaccard_components(table(spark, rows), 2, 70, links=True).collect()
+    assert sorted(((r.doc_id, r.n_links) for r in out), key=repr) == brute_links(rows, 2, 70)
+    assert jaccard.jaccard_components(table(spark, []), links=True).count() == 0
+
+
 @pytest.mark.parametrize(("n", "percent"), [(4, 85), (2, 60), (1, 50)])
 def test_jaccard(spark, n, percent):
     rows = corpus(4, 60)
