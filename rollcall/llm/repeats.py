@@ -202,7 +202,7 @@ def finish(docs: DataFrame, spans: DataFrame, digest: Callable[[str | None, list
     are kept apart from carried columns of the same name until the end.
     """
     few = documents(docs, F.struct(F.lit(True).alias("row"), *(F.col(f"`{c}`") for c in carry)).alias("carried"))
-    each = materialize(spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+    each = materialize(spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "spans")  # a set: equal rows have equal spans
     bits = docs.sparkSession.sparkContext.broadcast(bits_of(each.select("text_key"), "text_key", filter_bits))
     names, types = [f"out_{k[0]}" for k in kinds], [k[1] for k in kinds]
 

@@ -54,6 +54,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = 8, keep_t
     word intervals) and with keep_text the kept words joined by one space. One row per input row. Null texts have no
     words; a row with null doc_id neither removes nor loses words; rows that share a doc_id count as one document, so
     they never remove from each other. Texts shorter than the window are left alone. An empty table gives no rows.
+    Words are compared by 64 bits, windows by 64 bits over these together with the hash and place of their anchor,
+    blocks by 128 bits of BLAKE2: none is a polynomial, but windows that differ can be taken as equal with the odds of
+    such hashes.
     """
     assert 0 < gram <= window
     kinds = [*KINDS, ("kept", pa.string(), "string")] if keep_text else KINDS
