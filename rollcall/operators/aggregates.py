@@ -118,7 +118,7 @@ def score_grid(predictions: DataFrame, truth: DataFrame, unit: list[str], label:
     rows = predictions.select(*unit, label, F.col(score).cast("double").alias("score"), F.lit(0).alias("truth")).unionByName(truth.select(*unit, label, F.lit(None).cast("double").alias("score"), F.lit(1).alias("truth")))
     words = rows.select(*group, label).distinct()
     units = rows.select(*unit).distinct()
-    grid = units.join(words, group) if group else units.join(F.broadcast(words.withColumn("_k", F.lit(1))), F.lit(1) == F.col("_k")).drop("_k")
+    grid = units.join(words, group) if group else units.crossJoin(words)  # the grid itself; Spark sends the vocabulary whole only if it is small
     seen = rows.groupBy(*unit, label).agg(F.max("score").alias("score"), F.max("truth").alias("truth"))
     out = grid.join(seen, [*unit, label], "left")
     return out.withColumns({"score": F.coalesce("score", F.lit(0.0)), "truth": F.coalesce("truth", F.lit(0))})

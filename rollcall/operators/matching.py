@@ -6,7 +6,6 @@ checked, since grouped functions cannot spill.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -289,11 +288,3 @@ def merge_tracks(boxes: DataFrame, keys: list[str], least: float = 0.5) -> DataF
     links = link_tracks(boxes, keys, least)
     chosen = representatives(components(links, keys), links, keys)
     return boxes.join(chosen.select(*keys, "set_idx", "track_id"), [*keys, "set_idx", "track_id"])
-
-
-def brute_force_assignment(cost: np.ndarray) -> float:
-    """Least total cost over all assignments; for tests on small matrices."""
-    n, m = cost.shape
-    if n > m:
-        return brute_force_assignment(cost.T)
-    return min(sum(cost[i, p[i]] for i in range(n)) for p in itertools.permutations(range(m), n))

@@ -225,7 +225,7 @@ def contrastive_pairs(df: DataFrame, keys: list[str], label: str, item: str) ->
     pairs = df.withColumn("positive", F.coalesce(F.lead(item).over(w), first)).where(F.col("positive") != F.col(item))
     chosen = df.groupBy(*keys, label).agg(F.min_by(item, F.xxhash64(item)).alias("_x"))
     each = chosen.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("l"), F.col("_x").alias("x")))).alias("_all"))
-    out = pairs.join(each, keys) if keys else pairs.join(F.broadcast(each.withColumn("_k", F.lit(1))), F.lit(1) == F.col("_k")).drop("_k")
+    out = pairs.join(each, keys) if keys else pairs.crossJoin(each)  # one row
     return out.withColumn("negatives", F.expr(f"transform(filter(_all, s -> s.l <> {label}), s -> s.x)")).drop("_all")
 
 

@@ -21,6 +21,14 @@ def rows(df, *cols):
     return sorted(tuple(r) for r in df.select(*cols).collect())
 
 
+def brute_force_assignment(cost):
+    """Least total cost over all assignments."""
+    n, m = cost.shape
+    if n > m:
+        return brute_force_assignment(cost.T)
+    return min(sum(cost[i, p[i]] for i in range(n)) for p in itertools.permutations(range(m), n))
+
+
 def test_ties(spark):
     t = spark.createDataFrame([(1, "A", 0.5, 0), (1, "B", 0.5, 1), (2, "A", -0.2, 0)], "u int, name string, score double, pos int")
     assert rows(A.argmax_first(t, ["u"], "name", "score", "pos"), "u", "name") == [(1, "A"), (2, "A")]
@@ -216,7 +224,7 @@ def test_hungarian():
     for n, m in itertools.product(range(1, 6), repeat=2):
         c = rng.random((n, m))
         got = matching.hungarian(c)
-        assert len(got) == min(n, m) and sum(c[i, j] for i, j in got) == pytest.approx(matching.brute_force_assignment(c))
+        assert len(got) == min(n, m) and sum(c[i, j] for i, j in got) == pytest.approx(brute_force_assignment(c))
 
 
 def test_track_merge(spark):
