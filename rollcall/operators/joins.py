@@ -238,7 +238,8 @@ def similarity_join(queries: DataFrame, bank: DataFrame, keys: list[str], top: i
     def score(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         names = [*keys, "query_id", "character", "pos", "score"]
         if q.empty or b.empty:
-            return pd.DataFrame({n: [] for n in names})
+            kind = {"pos": "int64", "score": "float64"}
+            return pd.DataFrame({n: pd.Series(dtype=kind.get(n, object)) for n in names})
 
         def unit(x: pd.Series) -> np.ndarray:
             m = np.array(x.tolist(), dtype=np.float64)
