@@ -535,11 +535,12 @@ def test_most_blocks_are_never_read(monkeypatch, long):
     shard = one_shard(texts)
     terms, counts = np.unique(next(search.term_codes(pa.array([" ".join([*hot, *vocabulary[:30]])])))[0], return_counts=True)
     here, _ = shard.known(terms)
-    query = [(1, terms[here], np.linspace(1, 2, len(terms))[here] * counts[here])]
+    weights = np.linspace(1, 2, len(terms)) * counts
+    query = search.Queries(np.array([1]), np.array([len(terms)]), terms, np.arange(len(terms)), weights)
     got = sorted(search.search_shard(shard, query, 10), key=lambda x: (-x[2], x[1]))
-    at = shard.known(query[0][1])[1]
+    at = shard.known(terms)[1]
     total = np.zeros(len(texts))
-    for t, w in zip(at.tolist(), query[0][2].tolist(), strict=True):
+    for t, w in zip(at.tolist(), weights[here].tolist(), strict=True):
         a, b = shard.posts[shard.starts[t]], shard.posts[shard.starts[t + 1]]
         total[shard.docs[a:b]] += w * shard.impact(shard.tfs[a:b], shard.norm[shard.docs[a:b]])
     want = sorted(((-round(float(s), 6), int(i)) for s, i in zip(total, shard.doc_ids, strict=True)))[:10]
@@ -572,6 +573,18 @@ def test_warc(spark, tmp_path, monkeypatch):
     assert warc.archive_round_trip(df.limit(0)).count() == 0
 
 
+def test_lookup_of_many_captures(spark, tmp_path, monkeypatch):
+    """A URL whose captures fill many blocks; they come one by one, in the order of pages."""
+    monkeypatch.setattr(warc, "LINES", 8)
+    pages = [(i, "http://x.org/same" if i % 3 else f"http://x.org/{i}", f"page {i}") for i in range(90)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    warc.write_warc(df, f"file://{tmp_path}/w")
+    index = warc.build_index(spark, f"file://{tmp_path}/w")
+    found = warc.lookup(index, ["http://x.org/same", "http://x.org/30"])
+    assert [f["page_id"] for f in found] == [i for i in range(90) if i % 3 or i == 30]
+    assert list(warc.lookup(index, [])) == []
+
+
 def test_archives_of_others(spark, tmp_path):
     """WARC/1.0 and 1.1, gzip by record and as a whole, records of other types, headers in another order, no digest."""
     import base64
@@ -821,8 +834,23 @@ def test_toxicity_by_definition(spark):
     assert 0 <= toxicity.fit(table(spark, rows), spark.createDataFrame(some, "doc_id long, quality int, toxic int")).probability(5, 0.0, 0.0) < 0.5
 
 
-def test_queries_have_sql_or_tests():
-    from rollcall.llm import queries
+def test_queries_have_sql_or_tests(spark, tmp_path):
+    """One query an operator; those without SQL are, as queries, what the tests named here hold their operators to."""
+    from rollcall.llm import queries as Q
 
-    assert set(queries.oracle_sql()) <= set(queries.queries())
-    assert sorted({int(re.match(r"op(\d+)_", k)[1]) for k in queries.queries()}) == list(range(1, 11))
+    assert set(Q.oracle_sql()) <= set(Q.queries())
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in Q.queries()) == list(range(1, 11))
+    tested = {"op3_token_counts": test_token_counts, "op4_sentencepiece": test_pieces, "op5_best_fit_packing": test_packing, "op9_fingerprints": test_fingerprints_by_definition, "op10_toxicity": test_toxicity_by_definition}
+    assert set(Q.queries()) - set(Q.oracle_sql()) == set(tested)
+    rows, labels = toxic_rows(120)
+    table(spark, [*rows, (None, "x"), (500, None)]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = {n: sorted(map(tuple, Q.queries()[n](spark, str(tmp_path)).collect()), key=repr) for n in tested}
+    tk = tokens.plain_tokenizer(tokens.vocabulary_path())
+    assert got["op3_token_counts"] == sorted(((r.doc_id, len(tk.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect()), key=repr)
+    assert got["op9_fingerprints"] == sorted(map(tuple, FP.compare_edited(docs).collect()), key=repr)
+    assert [(r[0], r[1]) for r in got["op10_toxicity"]] == sorted(((r.doc_id, r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in docs.collect()), key=repr)
+    scored = toxicity.score_toxicity(docs, toxicity.fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))).collect()
+    assert sorted(((r[0], round(r[2], 9), r[3]) for r in got["op10_toxicity"]), key=repr) == sorted(((r.doc_id, round(r.score, 9), r.predicted) for r in scored), key=repr)
+    assert [r[:2] for r in got["op5_best_fit_packing"] if r[0] == 500] == [(500, 0)] and len(got["op4_sentencepiece"]) == 122
