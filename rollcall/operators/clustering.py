@@ -12,7 +12,8 @@ from rollcall.operators.aggregates import centroid, largest_cluster, prototype,
 from rollcall.operators.windows import threshold_or_quota
 from rollcall.storage import materialize, ship
 
-LARGEST_GROUP = 20_000
+#: Vectors of a group at most: of greedy clusters, and of average linkage.
+LARGEST_GROUP, LARGEST_LINKED = 20_000, 100_000
 #: Codes of a group that one task settles; of larger groups, codes that meet in a task are two blocks of so many on average.
 ALONE, MEET = 4096, 1024
 
@@ -32,37 +33,100 @@ def greedy_speakers(vectors: np.ndarray, threshold: float = 0.25) -> list[int]:
     return ids
 
 
-def average_link(vectors: np.ndarray, cut: float = 0.3) -> list[int]:
-    """Average-linkage clusters by cosine distance, merged while the nearest two are closer than the cut; numbered by first member."""
-    n = len(vectors)
-    if n == 1:
-        return [0]
-    unit = _unit(np.asarray(vectors, dtype=float))
-    dist = 1.0 - unit @ unit.T
-    np.fill_diagonal(dist, np.inf)
-    size, root = np.ones(n), np.arange(n)
-    for _ in range(n - 1):
-        k = int(np.argmin(dist))
-        a, b = sorted(divmod(k, n))
-        if dist[a, b] >= cut:
-            break
-        row = (dist[a] * size[a] + dist[b] * size[b]) / (size[a] + size[b])
-        row[[a, b]] = np.inf
-        dist[a], dist[:, a] = row, row
-        dist[b], dist[:, b] = np.inf, np.inf
-        size[a] += size[b]
-        root[root == b] = a
-    first: dict[int, int] = {}
-    return [first.setdefault(int(r), len(first)) for r in root]
+def _nearest(mean: np.ndarray, of: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each cluster of `of` the most similar other one of `live` (ascending), the first on ties, and that similarity."""
+    others = mean[live]
+    where, best = np.empty(len(of), dtype=np.int64), np.empty(len(of))
+    step = max(1, (1 << 21) // len(live))
+    for i in range(0, len(of), step):
+        part = of[i : i + step]
+        sim = mean[part] @ others.T
+        sim[np.arange(len(part)), np.searchsorted(live, part)] = -np.inf
+        at = np.argmax(sim, axis=1)
+        where[i : i + step], best[i : i + step] = live[at], sim[np.arange(len(part)), at]
+    return where, best
+
 
+def average_link(vectors: np.ndarray, cut: float = 0.3) -> list[int]:
+    """Average-linkage clusters by cosine distance, merged while the nearest two are closer than the cut; numbered by first member.
 
-def _clusters(df: DataFrame, keys: list[str], order: list[str], feature: str, rule, out: str) -> DataFrame:
+    The mean cosine of two clusters is the product of the means of their unit vectors, so no distances are held. A merge
+    brings no cluster nearer to others than its parts were, so clusters that are each other's nearest may be merged in
+    any order: all such pairs in a round, then, where a round has few, along a chain of nearest neighbours, which takes
+    three steps a cluster at most. Equal vectors are one cluster from the start, if they may be merged at all.
+    """
+    raw = np.asarray(vectors, dtype=float)
+    n = len(raw)
+    unit = _unit(raw)
+    unit[np.isnan(unit).any(axis=1)] = 0.0
+    root = np.arange(n)
+    if cut > 0:
+        _, at, same = np.unique(unit, axis=0, return_index=True, return_inverse=True)
+        root = np.where(unit.any(axis=1), at[same.ravel()], root)
+    live, slack = np.unique(root), 1e-12
+    size = np.bincount(root, minlength=n).astype(float)
+    mean, into = unit.copy(), np.arange(n)
+
+    def merge(a: np.ndarray, b: np.ndarray) -> None:
+        """Put clusters b into clusters a."""
+        mean[a] = (mean[a] * size[a, None] + mean[b] * size[b, None]) / (size[a] + size[b])[:, None]
+        size[a] += size[b]
+        into[b] = a
+
+    near, best = np.full(n, -1), np.full(n, -np.inf)
+    ask = live
+    while len(live) > 1:
+        near[ask], best[ask] = _nearest(mean, ask, live)
+        live_near = near[live]
+        pair = live[(live < live_near) & (near[live_near] == live) & (1.0 - best[live] < cut)]
+        if not len(pair):
+            if not (1.0 - best[live] < cut).any():
+                live = live[:0]
+            break
+        gone = near[pair]
+        merge(pair, gone)
+        live = np.setdiff1d(live, gone, assume_unique=True)
+        changed = np.zeros(n, dtype=bool)
+        changed[pair] = changed[gone] = True
+        ask = live[changed[live] | changed[near[live]]]
+        if len(ask) > 64 * len(pair):
+            break
+    # what is too far from all others stays so: merged clusters are no nearer to it than their parts
+    means, places, left = mean[live], live, len(live)
+    dead = np.zeros(left, dtype=bool)
+    for first in range(len(live)):
+        chain = [] if dead[first] else [first]
+        while chain and left > 1:
+            top = chain[-1]
+            sim = means @ means[top]
+            sim[dead], sim[top] = -np.inf, -np.inf
+            k = int(np.argmax(sim))
+            if len(chain) > 1 and sim[chain[-2]] >= sim[k] - slack:
+                k = chain[-2]
+            if 1.0 - sim[k] >= cut:
+                break
+            if len(chain) > 1 and k == chain[-2]:
+                a, b = sorted((top, k))
+                merge(places[[a]], places[[b]])
+                means[a] = mean[places[a]]
+                dead[b], left = True, left - 1
+                del chain[-2:]
+                chain = chain or [a]
+            else:
+                chain.append(k)
+    for i in range(n):  # parts go into clusters of smaller places, which come first
+        into[i] = into[into[i]]
+    number: dict[int, int] = {}
+    return [number.setdefault(int(into[r]), len(number)) for r in root]
+
+
+def _clusters(df: DataFrame, keys: list[str], order: list[str], feature: str, rule, out: str, most: int) -> DataFrame:
     ship(df.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", {out} int"
 
     def f(g: pd.DataFrame) -> pd.DataFrame:
-        if len(g) > LARGEST_GROUP:
-            raise ValueError(f"a group has {len(g)} vectors; at most {LARGEST_GROUP} fit a task")
+        if len(g) > most:
+            raise ValueError(f"a group has {len(g)} vectors; at most {most} fit a task")
         g = g.sort_values(order, kind="stable")
         return g.assign(**{out: rule(np.array(g[feature].tolist(), dtype=float))})
 
@@ -71,12 +135,12 @@ def _clusters(df: DataFrame, keys: list[str], order: list[str], feature: str, ru
 
 def speaker_clusters(df: DataFrame, keys: list[str], order: list[str], feature: str = "feature", threshold: float = 0.25) -> DataFrame:
     """ITR6: greedy any-link clusters of each group, in order; clusters are never merged, so the order matters."""
-    return _clusters(df, keys, order, feature, lambda v: greedy_speakers(v, threshold), "cluster")
+    return _clusters(df, keys, order, feature, lambda v: greedy_speakers(v, threshold), "cluster", LARGEST_GROUP)
 
 
 def agglomerative(df: DataFrame, keys: list[str], order: list[str], feature: str = "feature", cut: float = 0.3) -> DataFrame:
     """ITR7."""
-    return _clusters(df, keys, order, feature, lambda v: average_link(v, cut), "cluster")
+    return _clusters(df, keys, order, feature, lambda v: average_link(v, cut), "cluster", LARGEST_LINKED)
 
 
 def dominant_cluster(instances: DataFrame, keys: list[str], image: str, order: str, feature: str = "feature", cut: float = 0.3, floor: float = 0.0, quota: int = 0) -> DataFrame:

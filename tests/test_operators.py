@@ -280,6 +280,36 @@ def test_clusters():
         assert {frozenset(i for i, x in enumerate(ids) if x == k) for k in ids} == naive(v, cut)
 
 
+def test_average_linkage_of_many():
+    """No distances are held; copies, scaled copies and zero vectors give what merging the nearest two gives."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+
+    def nearest_two(v, cut):
+        unit = np.divide(v, n := np.linalg.norm(v, axis=1, keepdims=True), out=np.zeros_like(v), where=n > 0)
+        groups = [[i] for i in range(len(v))]
+        while len(groups) > 1:
+            d, a, b = min((1 - float(np.mean(unit[x] @ unit[y].T)), a, b) for (a, x), (b, y) in itertools.combinations(enumerate(groups), 2))
+            if d >= cut:
+                break
+            groups[a] += groups.pop(b)
+        return {frozenset(g) for g in groups}
+
+    for trial in range(6):
+        v = rng.normal(size=(24, 4))[rng.integers(0, 24, 30)] * rng.choice([0, 1, 2, 3], (30, 1))
+        v = np.concatenate([v, rng.normal(size=(8, 4)) * 0.01 + 1])
+        for cut in (0.05, 0.5, 0.9):
+            ids = K.average_link(v, cut)
+            assert {frozenset(i for i, x in enumerate(ids) if x == k) for k in ids} == nearest_two(v, cut), (trial, cut)
+    many = rng.normal(size=(2500, 16))
+    tracemalloc.start()
+    ids = K.average_link(many, 0.9)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(ids) == 2500 and most < 8 * 2500 * 2500, most
+
+
 def test_near_dups(spark):
     assert K.near_dup_keep(np.array([0, 0b111111, 0b1111111, 0b1111110], dtype=np.int64)).tolist() == [True, False, True, False]
     t = spark.createDataFrame([(1, 0, 0), (1, 63, 1), (1, 127, 2), (1, 0, 3), (2, 63, 4)], "k int, code long, pos int")
