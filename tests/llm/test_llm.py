@@ -520,6 +520,29 @@ def one_shard(texts):
     return search.Shard(*(np.frombuffer(c[0].as_buffer(), t) for c, (_, t) in zip(batch.columns, search.FIELDS, strict=True)), float(np.mean([len(words_of(t)) for t in texts])))
 
 
+def test_search_needs_little_memory():
+    """What a shard and its queries take beside the index, as two tasks do it next to an executor's heap."""
+    import tracemalloc
+
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"w{i}" for i in 40_000 * rng.random(60) ** 3 // 1) for _ in range(8000)]
+    shard = one_shard(texts)
+    terms, counts, ends = [], [], []
+    for t in texts[:256]:
+        code, n = np.unique(next(search.term_codes(pa.array([t])))[0], return_counts=True)
+        terms.append(code)
+        counts.append(n)
+        ends.append(len(code))
+    known, places = np.unique(np.concatenate(terms), return_inverse=True)
+    queries = search.Queries(np.arange(256), np.cumsum(ends), known, places.astype(np.int32), np.concatenate(counts).astype(float))
+    index = [getattr(shard, n) for n, _ in search.FIELDS]
+    tracemalloc.start()
+    found = sum(1 for _ in search.search_shard(search.Shard(*index, shard.mean_length), queries, 10))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 2560 and most < 30_000_000, (most, len(shard.docs))
+
+
 @pytest.mark.parametrize("long", [0, 1 << 30])
 def test_most_blocks_are_never_read(monkeypatch, long):
     """Both ways skip blocks that cannot matter, and give what a reading of all blocks gives."""
