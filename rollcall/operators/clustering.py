@@ -145,7 +145,7 @@ def agglomerative(df: DataFrame, keys: list[str], order: list[str], feature: str
 
 def dominant_cluster(instances: DataFrame, keys: list[str], image: str, order: str, feature: str = "feature", cut: float = 0.3, floor: float = 0.0, quota: int = 0) -> DataFrame:
     """ITR8: the cluster that covers most images; by similarity to its centroid the best instance of each image, then threshold 1 - cut or quota."""
-    clustered = agglomerative(instances, keys, [order], feature, cut)
+    clustered = materialize(agglomerative(instances, keys, [order], feature, cut), "clusters")  # read twice
     wide = widest_cluster(clustered, keys, "cluster", image).select(*keys, "cluster")
     centre = centroid(clustered.join(wide, [*keys, "cluster"]), keys, feature, "raw_mean")
     scored = instances.join(centre, keys).withColumn("sim", cosine(F.col(feature), F.col("centroid"))).drop("centroid")
