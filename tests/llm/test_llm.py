@@ -543,6 +543,52 @@ def test_search_needs_little_memory():
     assert found == 2560 and most < 30_000_000, (most, len(shard.docs))
 
 
+def test_index_rows_are_small(spark):
+    """The JVM holds several copies of an index row: fields take as few bytes as their largest number needs, and come back unchanged."""
+    rng = np.random.default_rng(13)
+    texts = [" ".join(f"w{i}" for i in 40_000 * rng.random(60) ** 3 // 1) for _ in range(2000)]
+    (row,) = search.build_index(table(spark, list(enumerate(texts)), 1)).collect()
+    shard = one_shard(texts)
+    assert sum(len(row[n]) for n, _ in search.FIELDS) < sum(getattr(shard, n).nbytes for n, _ in search.FIELDS) / 2
+    for some in (texts, [*texts, "often " * 70_000], ["", "one"]):
+        shard = one_shard(some)
+        for n, t in search.FIELDS:
+            blob = search._packed(n, pa.scalar(getattr(shard, n).tobytes(), pa.binary()), t)
+            back = search._unpacked(n, pa.scalar(blob, pa.binary()), t)
+            assert len(back) == len(getattr(shard, n)) and (back == getattr(shard, n)).all(), n
+
+
+def test_search_in_rounds(spark, monkeypatch):
+    """Shards of later rounds leave out what k documents of earlier ones beat, keep ties, and nothing is lost."""
+    rng = random.Random(23)
+    vocabulary = [f"t{i}" for i in range(300)]
+    weights = [1 / (i + 1) for i in range(300)]
+    rows = [(i, " ".join(rng.choices(vocabulary, weights, k=rng.choice([3, 20])))) for i in range(3000)]
+    rows = [(i, rows[i // 300][1] if i % 7 == 0 else t) for i, t in rows]
+    index = search.build_index(table(spark, rows, 14))
+    assert index.count() >= 12
+    queries = spark.createDataFrame([r for r in rows if r[0] % 200 == 0] + [(7, "absent"), (8, "t299")], "query_id long, text string")
+    monkeypatch.setattr(search, "FIRST", 1000)
+    want = sorted(search.search(index, queries, 7).collect())
+    sent = []
+    kept = search._search
+    monkeypatch.setattr(search, "_search", lambda q, floors, *a: sent.append(floors) or kept(q, floors, *a))
+    monkeypatch.setattr(search, "FIRST", 1)
+    monkeypatch.setattr(search, "GROWTH", 2)
+    assert sorted(search.search(index, queries, 7, pass_bytes=3000).collect()) == want
+    assert sent[0] is None and sent[-1] is not None and len({id(x) for x in sent}) > 4
+    # one shard: what is left under a floor
+    shard = one_shard([t for _, t in rows[:512]])
+    terms = shard.terms[:40]
+    query = search.Queries(np.array([1]), np.array([40]), terms, np.arange(40), np.linspace(1, 2, 40))
+    plain = list(search.search_shard(shard, query, 10))
+    floor = plain[4][2]
+    for long in (0, 1 << 30):  # by ranges, by pivots
+        monkeypatch.setattr(search, "LONG", long)
+        assert list(search.search_shard(shard, query, 10, np.array([floor]))) == [x for x in plain if x[2] >= floor]
+        assert not list(search.search_shard(shard, query, 10, np.array([1e9])))
+
+
 @pytest.mark.parametrize("long", [0, 1 << 30])
 def test_most_blocks_are_never_read(monkeypatch, long):
     """Both ways skip blocks that cannot matter, and give what a reading of all blocks gives."""
