@@ -618,6 +618,33 @@ def test_most_blocks_are_never_read(monkeypatch, long):
     assert 3 * shard.decoded < blocks, (shard.decoded, blocks)
 
 
+def test_frequent_terms_are_multiplied_where_ranges_are_open():
+    """Whole documents as queries, in two languages: with floors, what frequent terms add is made for few ranges, and nothing is lost."""
+    rng = random.Random(31)
+    words = [[f"{x}{i}" for i in range(3000)] for x in "ab"]
+    weights = [1 / (i + 1) for i in range(3000)]
+    texts = [" ".join(rng.choices(words[i % 2], weights, k=rng.randint(60, 300))) for i in range(2000)]
+    shard = one_shard(texts)
+    bags = [np.unique(next(search.term_codes(pa.array([t])))[0], return_counts=True) for t in texts[::20] + texts[1::20]]
+    queries = search.arranged(np.arange(200), np.cumsum([len(c) for c, _ in bags]), np.concatenate([c for c, _ in bags]), np.concatenate([n for _, n in bags]).astype(float))
+    begin, want, floors = 0, [], []
+    for q, end in zip(queries.ids.tolist(), queries.ends.tolist(), strict=True):
+        here, at = shard.known(queries.terms[queries.places[begin:end]])
+        total = np.zeros(len(texts))
+        for t, w in zip(at.tolist(), queries.weights[begin:end][here].tolist(), strict=True):
+            own = slice(shard.posts[shard.starts[t]], shard.posts[shard.starts[t + 1]])
+            total[shard.docs[own]] += w * shard.impact(shard.tfs[own], shard.norm[shard.docs[own]])
+        best = sorted((-round(s, 6), i) for s, i in zip(total.tolist(), shard.doc_ids.tolist(), strict=True))[:10]
+        floors.append(-best[5][0])
+        want += [(q, i, -s) for s, i in best]
+        begin = end
+    assert sorted(search.search_shard(shard, queries, 10)) == sorted(want)
+    shard.multiplied = 0
+    low = dict(zip(queries.ids.tolist(), floors, strict=True))
+    assert sorted(search.search_shard(shard, queries, 10, np.array(floors))) == sorted(x for x in want if x[2] >= low[x[0]])
+    assert 0 < shard.multiplied < 0.6 * 200 * shard.often[1].shape[1], shard.multiplied
+
+
 def test_warc(spark, tmp_path, monkeypatch):
     pages = [(1, "http://www.Ex.org/a#f", "<p>x\r\n\r\ny</p>"), (2, "http://b.ex.org/", "<p>x\r\n\r\ny</p>"), (3, None, None), (4, "http://ex.org/a", ""), (5, "http://ex.org:80/a?q=1", "🙂"), (None, "u", "🙂"), (7, "http://c.org", "é" * 5000)]
     df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, digest string")
