@@ -618,6 +618,22 @@ def test_most_blocks_are_never_read(monkeypatch, long):
     assert 3 * shard.decoded < blocks, (shard.decoded, blocks)
 
 
+def test_postings_of_terms_that_share_their_upper_bits():
+    """Terms are sorted by the bits that the documents leave free only where these tell them apart."""
+    rng = np.random.default_rng(14)
+    for vocabulary in (rng.integers(0, 1 << 63, 90), np.concatenate([np.arange(40), (1 << 60) + np.arange(50)])):
+        vocabulary, size = vocabulary.astype(np.uint64), rng.integers(0, 40, 150)
+        term = rng.choice(vocabulary, size.sum())
+        order, known, starts, ranges, posts, most, least, docs, tfs = search._postings(term, size)
+        got = [(int(known[t]), int(order[docs[p]]), int(tfs[p])) for t in range(len(known)) for p in range(posts[starts[t]], posts[starts[t + 1]])]
+        assert sorted(order.tolist()) == list(range(150)) and (np.diff(known.astype(object)) > 0).all()
+        want = Counter(zip(term.tolist(), np.repeat(np.arange(150), size).tolist(), strict=True))
+        assert len(got) == len(want) and {(t, d): n for t, d, n in got} == want
+        for b, (i, j) in enumerate(zip(posts[:-1].tolist(), posts[1:].tolist(), strict=True)):
+            assert (docs[i:j] >> search.RANGE == ranges[b]).all() and (np.diff(docs[i:j]) > 0).all()
+            assert most[b] == tfs[i:j].max() and least[b] == size[order[docs[i:j]]].min()
+
+
 def test_frequent_terms_are_multiplied_where_ranges_are_open():
     """Whole documents as queries, in two languages: with floors, what frequent terms add is made for few ranges, and nothing is lost."""
     rng = random.Random(31)
