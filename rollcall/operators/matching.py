@@ -191,8 +191,9 @@ def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(match[j]) - 1, j - 1) for j in range(1, m + 1) if match[j])
 
 
-def best_subset(rows: list[list[tuple[int, float]]]) -> list[tuple[int, int]]:
-    """The assignment whose values have the largest sum in double, added row by row; on equal sums the earliest rows take the first columns.
+def best_subset(rows: list[list[tuple[int, float]]], last: bool = False) -> list[tuple[int, int]]:
+    """The assignment whose values have the largest sum in double, added row by row; on equal sums the earliest rows take the
+    first columns, or, with last, none or else the last.
 
     rows: (column, value) of each row, values above 0. Exponential in the columns, for few of them.
     """
@@ -203,17 +204,17 @@ def best_subset(rows: list[list[tuple[int, float]]]) -> list[tuple[int, int]]:
             for j, v in row:
                 if not used >> j & 1:
                     to, sum_, chosen = used | 1 << j, total + v, (*picks, j)
-                    if to not in after or sum_ > after[to][0] or (sum_ == after[to][0] and chosen < after[to][1]):
+                    if to not in after or sum_ > after[to][0] or (sum_ == after[to][0] and (chosen > after[to][1] if last else chosen < after[to][1])):
                         after[to] = (sum_, chosen)
         best = after
-    _, picks = min(best.values(), key=lambda x: (-x[0], x[1]))
+    _, picks = max(best.values()) if last else min(best.values(), key=lambda x: (-x[0], x[1]))
     return [(i, j) for i, j in enumerate(picks) if j != FREE]
 
 
-def assign(pairs: DataFrame, keys: list[str], a: str, b: str, iou: str = "iou", least: float = 0.5) -> DataFrame:
+def assign(pairs: DataFrame, keys: list[str], a: str, b: str, iou: str = "iou", least: float = 0.5, last: bool = False) -> DataFrame:
     """JN13: optimal 1:1 assignment per group on 1 - IoU; pairs of at least `least` are accepted. Missing pairs have IoU 0.
 
-    In groups of up to FEW columns, equal totals are told apart as best_subset does; in larger ones an optimal assignment
+    In groups of up to FEW columns, equal totals are told apart as best_subset does (last is its); in larger ones an optimal assignment
     is found by augmenting paths, in double.
     """
 
@@ -230,7 +231,7 @@ def assign(pairs: DataFrame, keys: list[str], a: str, b: str, iou: str = "iou",
                 for (r, c), k in where.items():
                     if v[k] > 0:
                         few[r].append((c, v[k]))
-                found = best_subset(few)
+                found = best_subset(few, last)
             else:
                 m = np.zeros((len(rows), len(cols)))
                 for p, k in where.items():

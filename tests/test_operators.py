@@ -249,6 +249,26 @@ def test_assignment_of_equal_totals(spark):
     assert rows(got, "k", "a", "b") == sorted(want)
 
 
+def test_assignment_ties_go_as_in_one_thread_of_the_sql(spark, tmp_path):
+    """Two even lines overlap the odd one alike; which is taken the SQL leaves open, and one thread takes the last."""
+    import duckdb
+
+    from rollcall.plans import recognition
+
+    # the odd line, two even ones that overlap it alike, and one that overlaps nothing, of an order of sf0.1
+    lines = [(2, 347, 518, 21, 22602.08), (2, 13147, 609, 21, 38525.95), (3, 5741, 711, 35, 73236.75), (6, 5822, 246, 27, 19202.0)]
+    data = [(order, n, p, s, float(q), x, 0.05, "N") for order in range(4) for n, p, s, q, x in lines]
+    names = "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string"
+    spark.createDataFrame(data, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    c = duckdb.connect()
+    c.sql("SET threads = 1")
+    c.sql(f"CREATE TABLE lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet' ORDER BY l_orderkey, l_linenumber, l_partkey")
+    want = sorted(c.sql(recognition.Q28).fetchall())
+    assert len(want) == 4 and rows(recognition.q28_hungarian(spark, str(tmp_path)), "image", "a", "b", "iou") == want
+    assert matching.best_subset([[(0, 0.5), (1, 0.5)], [(0, 0.5), (1, 0.5)]], last=True) == [(0, 1), (1, 0)]
+    assert matching.best_subset([[(0, 0.5)], [(0, 0.5)]], last=True) == [(1, 0)]
+
+
 def test_track_merge(spark):
     data = [(1, s, t, f, x, 0.0, x + 10, 10.0) for s, t, x in [(0, 0, 0.0), (1, 5, 1.0), (2, 7, 2.0), (0, 1, 100.0), (1, 6, 200.0)] for f in range(3)]
     b = spark.createDataFrame(data, "shot int, set_idx int, track_id int, frame int, x0 double, y0 double, x1 double, y1 double")
